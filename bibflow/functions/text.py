@@ -54,15 +54,13 @@ def _code_point(number: Column) -> Column:
     """The character of a code point, null where there is none."""
     valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
     bytes_ = F.unhex(F.lpad(F.hex(F.when(valid, number)), 8, "0"))
-    return F.decode(bytes_, "UTF-32BE")
+    return F.decode(bytes_, "UTF-32")
 
 
 def decode_entities(html: Column) -> Column:
     """Decode named, decimal and hexadecimal entities; each is decoded once."""
-    names = F.create_map(
-        *[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))],
-        F.lit("apos"), F.lit("'"),
-    )
+    table = " ".join(f"{name}={chr(code)}" for name, code in [*name2codepoint.items(), ("apos", 39)])
+    names = F.str_to_map(F.lit(table), F.lit(" "), F.lit("="))
 
     def piece(part: Column, index: Column) -> Column:
         body = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)

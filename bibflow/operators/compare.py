@@ -75,12 +75,16 @@ def compare_runs(
 
 
 def restrict_to_ids(
-    records: DataFrame, ids: DataFrame, on: str = "pmid", row_id: str | None = None, limits: Limits = Limits()
+    records: DataFrame,
+    ids: DataFrame,
+    on: str = "pmid",
+    row_id: list[str] | None = None,
+    limits: Limits = Limits(),
 ) -> DataFrame:
     """The records whose id is in the list."""
     wanted = ids.where(F.col(on).isNotNull()).select(key_of(on).alias(KEY)).distinct()
     keyed = records.withColumn(KEY, F.when(F.col(on).isNotNull(), key_of(on)))
-    spread = row_hash(*([row_id] if row_id else records.columns))
+    spread = row_hash(*(row_id or records.columns))
     return member_join(keyed, materialise(wanted, "ids"), "left_semi", spread, limits=limits).drop(KEY)
 
 
@@ -89,7 +93,7 @@ def attach_detail(
     details: DataFrame,
     on: str = "url",
     order: str | None = None,
-    row_id: str | None = None,
+    row_id: list[str] | None = None,
     limits: Limits = Limits(),
 ) -> DataFrame:
     """Every item with the columns of its detail row, or nulls.
@@ -105,6 +109,6 @@ def attach_detail(
         .agg(F.min_by(packed, F.col(order) if order else packed).alias("_detail"))
     )
     keyed = items.withColumn(KEY, F.when(F.col(on).isNotNull(), key_of(on)))
-    spread = row_hash(*([row_id] if row_id else items.columns))
+    spread = row_hash(*(row_id or items.columns))
     joined = sliced_join(keyed, one, "left", spread, limits=limits)
     return joined.select(*[F.col(f"`{c}`") for c in items.columns], *[f"_detail.{c}" for c in payload])

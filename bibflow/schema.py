@@ -17,13 +17,13 @@ ARTICLES = T.StructType(
     [T.StructField(c, T.IntegerType() if c == "year" else T.StringType()) for c in ARTICLE_COLUMNS]
 )
 
-# Where a record was found, which gives its place in arrival order:
-# articles before books, then by landed file, then by place in the file.
-INGEST_ORDER = ["record_kind", "ingest_file", "ingest_seq"]
+# Where a record was found, which gives its place in arrival order: by landed
+# file, in a file articles before books, then by place in the file.
+INGEST_ORDER = ["ingest_file", "record_kind", "ingest_seq"]
 INGEST = T.StructType([
     T.StructField("run_id", T.StringType()),
-    T.StructField("record_kind", T.IntegerType()),
     T.StructField("ingest_file", T.StringType()),
+    T.StructField("record_kind", T.IntegerType()),
     T.StructField("ingest_seq", T.LongType()),
 ])
 

@@ -30,13 +30,16 @@ def _replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     )
 
 
-def export_csv(df: DataFrame, path: str, sep: str = ";") -> None:
-    """Delimited files with a header. Line breaks and quotes in fields survive."""
+def export_csv(df: DataFrame, path: str, sep: str = ";", mode: str = "error") -> None:
+    """Delimited files with a header. Line breaks, quotes and outer blanks of fields survive."""
     (
-        df.write.option("sep", sep)
+        df.write.mode(mode)
+        .option("sep", sep)
         .option("header", True)
         .option("escape", '"')
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 

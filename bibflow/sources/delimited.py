@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,27 +23,30 @@ def _reader(spark: SparkSession, sep: str):
     )
 
 
-def _blanks_to_null(df: DataFrame) -> DataFrame:
-    return df.select(*[
-        blank_to_null(F.col(f"`{name}`")).alias(name) if kind == "string" else F.col(f"`{name}`")
-        for name, kind in df.dtypes
-    ])
-
-
 def read_delimited(
-    spark: SparkSession, path: str | list[str], sep: str = ",", glob: str | None = None
+    spark: SparkSession, path: str | list[str], sep: str = ",", glob: str | None = None, arrival: bool = False
 ) -> DataFrame:
     """Files with one header, every column as text.
 
     Blank fields are null; words such as ``NA`` stay text. Files whose headers
-    differ raise instead of mixing up their columns.
+    differ raise instead of mixing up their columns. ``arrival`` adds the
+    columns that give a record its place in arrival order.
     """
     reader = _reader(spark, sep)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    names = reader.option("inferSchema", False).csv(path).columns
+    names = reader.csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return _blanks_to_null(reader.schema(schema).option("enforceSchema", False).csv(path))
+    df = reader.schema(schema).option("enforceSchema", False).csv(path)
+    texts = [blank_to_null(F.col(f"`{n}`")).alias(n) for n in names]
+    if not arrival:
+        return df.select(*texts)
+    return df.select(
+        F.col("_metadata.file_path").alias("ingest_file"),
+        F.lit(0).alias("record_kind"),
+        F.monotonically_increasing_id().alias("ingest_seq"),
+        *texts,
+    )
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, sep: str = ",") -> DataFrame:
@@ -60,24 +63,25 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, sep: str
     raise ValueError(f"cannot read {path}: unknown format {kind!r}")
 
 
-def _headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
-    """The different header lines of a folder, each with its files.
+def _headers(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files of a folder, grouped by header line.
 
-    The line is found by the column names that an export must have.
+    The line is found by the column names that an export must have. Each task
+    reduces its lines to one row per file.
     """
     lines = spark.read.option("pathGlobFilter", "*.csv*").text(path)
-    bare = F.trim(F.regexp_replace(F.replace("value", F.lit("﻿"), F.lit("")), r"\r$", ""))
     is_header = F.lit(True)
-    for name in IEEE_RENAMES:
+    for name in [*IEEE_RENAMES, *IEEE_DROPS]:
         is_header = is_header & F.col("value").contains(name)
-    found = (
-        lines.select(bare.alias("value"), F.col("_metadata.file_path").alias("file"))
-        .where(is_header)
-        .distinct()
-        .groupBy("value")
-        .agg(F.collect_set("file").alias("files"))
+    per_file = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.max(F.when(is_header, F.regexp_replace("value", "^\ufeff|\r$", ""))).alias("header")
     )
-    return sorted((r["value"], sorted(r["files"])) for r in found.collect())
+    plain_path = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    groups = per_file.groupBy("header").agg(F.array_sort(F.collect_list(plain_path)).alias("files")).collect()
+    for row in groups:
+        if row["header"] is None:
+            raise ValueError(f"no header with all columns of an IEEE export in {', '.join(row['files'])}")
+    return sorted(r["files"] for r in groups)
 
 
 def ieee_columns(df: DataFrame) -> DataFrame:
@@ -98,18 +102,7 @@ def read_ieee(spark: SparkSession, path: str) -> DataFrame:
     if not shapes:
         raise ValueError(f"no IEEE export in {path}")
     frames = []
-    for _, files in shapes:
-        files_read = read_delimited(spark, files)
-        frames.append(replace_separators(ieee_columns(files_read)))
+    for files in shapes:
+        frames.append(replace_separators(ieee_columns(read_delimited(spark, files, arrival=True))))
     articles = union_sources(*frames)
     return articles.withColumn("year", F.col("year").try_cast("int"))
-
-
-def with_arrival(df: DataFrame, file: Column, kind: int | Column = 0) -> DataFrame:
-    """Adds the columns that give a record its place in arrival order."""
-    return df.select(
-        F.lit(kind).cast("int").alias("record_kind"),
-        file.alias("ingest_file"),
-        F.monotonically_increasing_id().alias("ingest_seq"),
-        *[F.col(f"`{c}`") for c in df.columns],
-    )

@@ -15,11 +15,12 @@ ERROR_DETAILS = r"Details:\s*([^\n]*?)(?:</|$)"
 NO_DETAILS = "No 'Details' found."
 
 
-def _article(df: DataFrame) -> DataFrame:
+def _article(df: DataFrame, in_order: bool = True) -> DataFrame:
     citation, article = F.col("MedlineCitation"), F.col("MedlineCitation.Article")
     issued = article["Journal"]["JournalIssue"]["PubDate"]
     return _select(
         df,
+        in_order,
         kind=0,
         pmid=citation["PMID"]["_VALUE"],
         title=article["ArticleTitle"],
@@ -33,12 +34,13 @@ def _article(df: DataFrame) -> DataFrame:
     )
 
 
-def _book(df: DataFrame) -> DataFrame:
+def _book(df: DataFrame, in_order: bool = True) -> DataFrame:
     doc = F.col("BookDocument")
     none = F.array().cast("array<struct<_IdType:string,_VALUE:string>>")
     people = F.array().cast("array<struct<Author:array<struct<ForeName:string,LastName:string>>>>")
     return _select(
         df,
+        in_order,
         kind=1,
         pmid=doc["PMID"]["_VALUE"],
         title=doc["ArticleTitle"],
@@ -55,7 +57,7 @@ def _book(df: DataFrame) -> DataFrame:
     )
 
 
-def _select(df: DataFrame, kind: int, **raw: Column) -> DataFrame:
+def _select(df: DataFrame, in_order: bool, kind: int, **raw: Column) -> DataFrame:
     columns = {
         "source": F.lit("PubMed"),
         "title": fields.title(raw["title"]),
@@ -70,10 +72,12 @@ def _select(df: DataFrame, kind: int, **raw: Column) -> DataFrame:
         "keywords": fields.keywords(raw["keywords"]),
         "citation": F.lit(None).cast("string"),
     }
+    # A stream has no row numbers.
+    place = [F.monotonically_increasing_id().alias("ingest_seq")] if in_order else []
     return df.select(
-        F.lit(kind).alias("record_kind"),
         F.col("_metadata.file_path").alias("ingest_file"),
-        F.monotonically_increasing_id().alias("ingest_seq"),
+        F.lit(kind).alias("record_kind"),
+        *place,
         *[columns[c].alias(c) for c in ARTICLE_COLUMNS],
         fields.first_type(raw["types"]).alias("publication_type"),
     )
@@ -97,8 +101,9 @@ def read_pubmed_stream(spark: SparkSession, path: str, files_per_batch: int = 10
     def reader():
         return spark.readStream.option("maxFilesPerTrigger", files_per_batch)
 
-    articles = _article(_xml(reader(), "PubmedArticle", PUBMED_ARTICLE, path))
-    return articles.unionByName(_book(_xml(reader(), "PubmedBookArticle", PUBMED_BOOK, path)))
+    articles = _article(_xml(reader(), "PubmedArticle", PUBMED_ARTICLE, path), in_order=False)
+    books = _book(_xml(reader(), "PubmedBookArticle", PUBMED_BOOK, path), in_order=False)
+    return articles.unionByName(books)
 
 
 def split_errors(bodies: DataFrame, body: str = "value") -> tuple[DataFrame, DataFrame]:
