@@ -12,9 +12,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bibflow.functions.text import (
-    blank_to_null, comma_list, extract, markup_text, thousands_to_int, trimmed,
-)
+from bibflow.functions.text import comma_list, extract, let, markup_text, thousands_to_int, trimmed
 
 # Addresses, element classes and formats of the result pages.
 SITE = "https://dl.acm.org"
@@ -43,8 +41,7 @@ def opening(tag: str, **attributes: str) -> str:
 
 def element(html: Column, tag: str, **attributes: str) -> Column:
     """Inner HTML of the first such element, null if there is none."""
-    pattern = rf"(?s){opening(tag, **attributes)}(.*?)</{tag}\s*>"
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
+    return extract(html, rf"(?s){opening(tag, **attributes)}(.*?)</{tag}\s*>")
 
 
 def items(html: Column) -> Column:
@@ -82,8 +79,10 @@ def date_text(item: Column) -> Column:
 
 def date(text: Column) -> Column:
     """``June 2020`` to ``Jun 2020``; null unless there are two words."""
-    words = F.split(trimmed(text), r"\s+")
-    return F.when(F.size(words) >= 2, F.concat_ws(" ", F.left(words[0], F.lit(3)), words[1]))
+    return let(
+        F.split(trimmed(text), r"\s+"),
+        lambda w: F.when(F.size(w) >= 2, F.concat_ws(" ", F.left(w[0], F.lit(3)), w[1])),
+    )
 
 
 def year(text: Column) -> Column:
@@ -106,4 +105,4 @@ def citation(item: Column) -> Column:
 def detail_abstract(html: Column) -> Column:
     """Abstract of a detail page; null where the page has no abstract section."""
     section = element(html, "section", role="doc-abstract")
-    return blank_to_null(markup_text(element(section, "div", role="paragraph"), ""))
+    return markup_text(element(section, "div", role="paragraph"), "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bibflow.functions.text import blank_to_null, comma_list, strip_inline, title_case, trimmed
+from bibflow.functions.text import comma_list, strip_inline, title_case, trimmed
 
 # Fixed value: address of a PubMed record.
 RECORD_URL = "https://pubmed.ncbi.nlm.nih.gov/"
@@ -39,7 +39,7 @@ def keywords(lists: Column) -> Column:
 def first_id(ids: Column, kind: str) -> Column:
     """First identifier of the given kind."""
     found = F.filter(ids, lambda i: i["_IdType"] == kind)
-    return blank_to_null(F.try_element_at(found, F.lit(1))["_VALUE"])
+    return F.try_element_at(found, F.lit(1))["_VALUE"]
 
 
 def url(pubmed_id: Column) -> Column:

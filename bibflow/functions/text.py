@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLANKS = " \t\n\r\f\u000b\u00a0"
-_NOT_TEXT = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+_NOT_TEXT = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>)"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def trimmed(text: Column) -> Column:
@@ -22,7 +28,7 @@ def blank_to_null(text: Column) -> Column:
 
 def extract(text: Column, pattern: str, group: int = 1) -> Column:
     """First match of ``pattern``, or null."""
-    return blank_to_null(F.regexp_extract(text, pattern, group))
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
 
 
 def comma_list(items: Column) -> Column:
