@@ -26,7 +26,8 @@ def build_run(sources: list[DataFrame], params: Params, run_id: str, limits: Lim
     happens once; later passes read the written records.
     """
     frames = [conform(s, keep_extra=True) for s in sources]
-    records = materialise(union_sources(*frames), "records").withColumn("run_id", F.lit(run_id))
+    parsed = materialise(union_sources(*frames), "records")
+    records = conform(parsed.withColumn("run_id", F.lit(run_id)), keep_extra=True)
     exempt = F.col("source") == UNCAPPED
     if params.max_results is not None:
         capped = cap_per_source(
