@@ -467,26 +467,30 @@ def match_page_searches(spark, sf_dir):
 
 _SYNTAX = [
     ("PubMed", "Title/Abstract", 0, "After", "[Title/Abstract]"),
+    ("PubMed", "Title", 0, "After", "[Title]"),
     ("IEEE", "Title/Abstract", 0, "Before", '"Document Title": '),
     ("IEEE", "Title/Abstract", 1, "Before", '"Abstract": '),
+    ("IEEE", "Title", 0, "Before", '"Document Title": '),
     ("ACM", "Title/Abstract", 0, "Before", "Title:( "),
     ("ACM", "Title/Abstract", 1, "Before", "Abstract:("),
     ("ACM", "Title/Abstract", 2, "After", ") "),
+    ("ACM", "Title", 0, "Before", "Title:( "),
+    ("ACM", "Title", 1, "After", ") "),
 ]
-_PARTS = ", ".join(
-    f"('{d}', {i}, '{before}', '{after}')"
-    for d, i, before, after in [
-        ("PubMed", 0, "", "[Title/Abstract]"), ("IEEE", 0, '"Document Title": ', ""), ("IEEE", 1, '"Abstract": ', ""),
-        ("ACM", 0, "Title:( ", ") "), ("ACM", 1, "Abstract:(", ") "),
-    ]
-)
+_PARTS = """
+    ('PubMed', 'both', 0, '', '[Title/Abstract]'), ('PubMed', 'title', 0, '', '[Title]'),
+    ('IEEE', 'both', 0, '"Document Title": ', ''), ('IEEE', 'both', 1, '"Abstract": ', ''),
+    ('IEEE', 'title', 0, '"Document Title": ', ''),
+    ('ACM', 'both', 0, 'Title:( ', ') '), ('ACM', 'both', 1, 'Abstract:(', ') '), ('ACM', 'title', 0, 'Title:( ', ') ')"""
 
 
 @_query(f"""
     WITH categories AS (
         SELECT conv_id, role, database,
                '(' || string_agg(before || text || after, ' OR ' ORDER BY part, turn) || ')' AS body
-        FROM conversations, (VALUES {_PARTS}) p(database, part, before, after)
+        FROM conversations
+        JOIN (VALUES {_PARTS}) p(database, kind, part, before, after)
+          ON kind = CASE role WHEN 'assistant' THEN 'title' ELSE 'both' END
         GROUP BY conv_id, role, database)
     SELECT conv_id AS search_id, database,
            regexp_replace(string_agg(CASE WHEN role = 'system' THEN ' NOT ' ELSE ' AND ' END || body, ''
@@ -504,7 +508,8 @@ def render_queries(spark, sf_dir):
         F.col("turn").cast("int").alias("term_pos"),
         F.col("text").alias("term"),
     )
-    types = terms.select("search_id", F.lower("category").alias("category"), F.lit("title/ABSTRACT").alias("search_type"))
+    kind = F.when(F.col("category") == "Assistant", "title").otherwise("title/ABSTRACT")
+    types = terms.select("search_id", F.lower("category").alias("category"), kind.alias("search_type"))
     return render.render_queries(terms, spark.createDataFrame(_SYNTAX, schema.SYNTAX), types)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibflow.functions.keys import key_of, row_hash
+from bibflow.operators.harmonise import assign_ids, cap_per_source
 from bibflow.plans.skew import KEY, ROWS, Limits, first_per_group, key_counts, member_join
 from bibflow.runtime import materialise
 
@@ -56,15 +57,25 @@ def draw_pilot(
     seed: int = 42,
     run_key: str | list[str] | None = "run_id",
     row_id: str = "article_id",
+    limits: Limits = Limits(),
 ) -> DataFrame:
-    """Run and number of ``n`` random articles per run; the same ones on every call."""
+    """Run and number of ``n`` random articles per run; the same ones on every call.
+
+    Small samples are picked by every task and then merged; for large ones
+    the candidates are sorted over all tasks.
+    """
     runs = _names(run_key)
-    order = [F.col("_order"), F.col(row_id)]
+    order = ["_order", row_id]
     candidates = articles.select(*runs, row_id, sample_order(seed, row_id).alias("_order"))
-    if runs:
-        drawn = first_per_group(candidates, runs, order, n, row_hash(row_id))
-    else:
+    small = n <= limits.window_rows
+    if runs and small:
+        drawn = first_per_group(candidates, runs, [F.col(c) for c in order], n, row_hash(row_id))
+    elif runs:
+        drawn = cap_per_source(candidates, n, runs, order, limits)
+    elif small:
         drawn = candidates.orderBy(*order).limit(n)
+    else:
+        drawn = assign_ids(candidates, order, "_place").where(F.col("_place") < n).drop("_place")
     return drawn.drop("_order")
 
 
@@ -83,7 +94,7 @@ def pilot_sample(
     is marked whole.
     """
     runs = _names(run_key)
-    drawn = materialise(draw_pilot(articles, n, seed, run_key, row_id), "pilot")
+    drawn = materialise(draw_pilot(articles, n, seed, run_key, row_id, limits), "pilot")
     if strict:
         _require_full(drawn, n, runs)
     members = drawn.select(key_of(*runs, row_id).alias(KEY), F.lit(True).alias("_drawn"))

@@ -112,6 +112,7 @@ class Params:
     max_results: int | None = None
     screening: str | None = None
     nr_randomizations: int = 25
+    database: str | None = None
     seed: int = 42
 
     @classmethod
@@ -131,4 +132,5 @@ class Params:
             max_results=value("search", "max_results", int),
             screening=value("pilot", "screening"),
             nr_randomizations=value("pilot", "nr_randomizations", int) or cls.nr_randomizations,
+            database=value("search", "manual_database"),
         )

@@ -12,20 +12,23 @@ COMPARISON_SUFFIX = "combined_search_articles.csv"
 
 
 def write_run(articles: DataFrame, path: str) -> None:
-    """Add one run to the article table. Writing a run again replaces it."""
-    _replace_partitions(articles, path, ["run_id", "source"])
+    """Add runs to the article table. Writing a run again replaces all of it."""
+    _replace_runs(articles, path)
 
 
 def write_screened(screened: DataFrame, path: str) -> None:
     """Write marked runs to a table of their own. Other runs in it stay."""
-    _replace_partitions(screened, path, ["run_id", "source"])
+    _replace_runs(screened, path)
 
 
-def _replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
+def _replace_runs(df: DataFrame, path: str) -> None:
+    # Partitioned by run alone: with the source as well, a source that a run no
+    # longer has would stay behind. Rows come sorted by source, so a filter on
+    # it still skips most row groups.
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*by)
+        .partitionBy("run_id")
         .parquet(path)
     )
 

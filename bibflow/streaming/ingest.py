@@ -29,7 +29,7 @@ def ingest_pubmed(
         conform(records).writeStream.format("parquet")
         .option("path", table)
         .option("checkpointLocation", checkpoint)
-        .partitionBy("run_id", "source")
+        .partitionBy("run_id")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from bibflow.operators.screen import draw_pilot, id_range, mark_duplicates, pilot_sample
 from bibflow.plans.skew import Limits
 
-SHUFFLED = Limits(broadcast_keys=0, hot_rows=3, hot_keys=2)
+SHUFFLED = Limits(broadcast_keys=0, hot_rows=3, hot_keys=2, window_rows=0)
 SCHEMA = "run_id STRING, article_id BIGINT, doi STRING"
 QUICK = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -82,7 +82,8 @@ def test_pilot_of_one_run(spark):
     df = spark.createDataFrame([("a", i, None) for i in range(30)], SCHEMA)
     with_runs = {r["article_id"] for r in draw_pilot(df, 7).collect()}
     without = {r["article_id"] for r in draw_pilot(df, 7, run_key=None).collect()}
-    assert with_runs == without and len(without) == 7
+    sorted_all = {r["article_id"] for r in draw_pilot(df, 7, run_key=None, limits=SHUFFLED).collect()}
+    assert with_runs == without == sorted_all and len(without) == 7
 
 
 def test_id_range(spark):

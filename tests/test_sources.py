@@ -1,0 +1,286 @@
+import pytest
+from pyspark.sql import functions as F
+
+from bibflow import sinks
+from bibflow.functions import listing, text
+from bibflow.operators.harmonise import conform
+from bibflow.operators.render import render_queries
+from bibflow.schema import ARTICLE_COLUMNS, IEEE_DROPS, IEEE_RENAMES
+from bibflow.sources.delimited import read_delimited, read_ieee, read_table
+from bibflow.sources.listing import read_items, read_listing, reported_hits
+from bibflow.sources.pubmed import read_bodies, read_pubmed, split_errors
+from bibflow.sources.strategy import read_search_types, read_syntax, read_terms
+from bibflow.streaming.ingest import ingest_pubmed
+
+
+def column(spark, value, expression):
+    return spark.createDataFrame([(value,)], "v STRING").select(expression(F.col("v"))).first()[0]
+
+
+# Text
+
+@pytest.mark.parametrize("label,want", [
+    ("AIM/OBJECTIVE", "Aim/Objective"), ("PATIENT'S", "Patient'S"), ("ÉTUDE ÜBER", "Étude Über"),
+    ("3D motion", "3D Motion"), ("methods", "Methods"), ("a-b_c d", "A-B_C D"),
+])
+def test_title_case(spark, label, want):
+    assert column(spark, label, text.title_case) == want == label.title()
+
+
+@pytest.mark.parametrize("html,want", [
+    ("a &amp; b", "a & b"), ("&amp;lt;", "&lt;"), ("&lt;i&gt;", "<i>"), ("&eacute;&nbsp;x", "é x"), ("&#8211;&#x2014;", "–—"),
+    ("&#128512;", "😀"), ("&unknown; & &; &#; AT&T", "&unknown; & &; &#; AT&T"), ("&#55296;", "&#55296;"), ("", ""), (None, None),
+    ("&apos;&quot;", "'\""),
+])
+def test_entities(spark, html, want):
+    assert column(spark, html, text.decode_entities) == want
+
+
+def test_inline_markup(spark):
+    assert column(spark, 'a <i>b<sup x="1">2</sup></i> p <0.05 and n>3 <mml:math>x</mml:math>', text.strip_inline) == "a b2 p <0.05 and n>3 x"
+
+
+def test_markup_text(spark):
+    html = "<p> a\n</p><!-- no <b>x</b> --><script>var t='<p>';</script><b>&nbsp;</b><i>b &amp;</i> c"
+    assert column(spark, html, text.markup_text) == "a b & c"
+    assert column(spark, html, lambda c: text.markup_text(c, "")) == "ab &c"
+
+
+def test_counts_with_thousands(spark):
+    assert column(spark, " 12,345 ", text.thousands_to_int) == 12345
+    assert column(spark, "many", text.thousands_to_int) is None
+
+
+def test_run_stamp(spark):
+    assert column(spark, "2024-01-02 03:04:05", lambda c: text.run_stamp(c.cast("timestamp_ntz"))) == "2024-01-02_030405"
+
+
+# Delimited files
+
+def test_quotes_line_breaks_and_words_for_nothing(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('title,doi\n"a ""b""\nc, d",10.1/x\nNA,\n', encoding="utf-8")
+    assert [tuple(r) for r in read_table(spark, str(path)).collect()] == [('a "b"\nc, d', "10.1/x"), ("NA", None)]
+    path = tmp_path / "b.tsv"
+    path.write_text("title\tdoi\nx\ty\n")
+    assert [tuple(r) for r in read_table(spark, str(path)).collect()] == [("x", "y")]
+
+
+def test_unknown_formats(spark, tmp_path):
+    for path, sep in [("a.xlsx", ","), ("a", ","), ("a.csv", "|")]:
+        with pytest.raises(ValueError):
+            read_table(spark, str(tmp_path / path), sep=sep)
+
+
+def test_differing_headers_raise(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,x\n3,4\n")
+    with pytest.raises(Exception):
+        read_delimited(spark, str(tmp_path)).collect()
+
+
+def test_export_keeps_fields_as_they_are(spark, tmp_path):
+    rows = [(0, ' a;"b"\n', None), (1, "NA", "ü\\")]
+    df = spark.createDataFrame(rows, "article_id BIGINT, title STRING, doi STRING")
+    path = sinks.export_run(df.select("title", "doi", "article_id"), str(tmp_path), "2024-01-02_030405")
+    assert path.endswith("/2024-01-02_030405_complete_articles.csv")
+    back = read_table(spark, path, sep=";")
+    assert back.columns == ["article_id", "title", "doi"]
+    assert sorted((int(r[0]), r[1], r[2]) for r in back.collect()) == rows
+
+
+HEADER = [*IEEE_RENAMES, *IEEE_DROPS, "Document Number"]
+
+
+def export(path, rows, header=HEADER):
+    cell = lambda v: '"' + str(v).replace('"', '""') + '"'
+    lines = [",".join(cell(n) for n in header)]
+    lines += [",".join(cell(r.get(n, "-")) for n in header) for r in rows]
+    path.write_text("\n".join(lines) + "\n", encoding="utf-8")
+
+
+def test_ieee_exports_with_drifting_headers(spark, tmp_path):
+    one = {"Document Title": 'A "q"; b', "Authors": "X; Y;Z", "Publication Year": "2020", "Abstract": "l1\nl2", "DOI": "10.1/a"}
+    two = {"Document Title": "Other", "Authors": "W", "Publication Year": "", "DOI": ""}
+    (tmp_path / "with space").mkdir()
+    export(tmp_path / "with space" / "a.csv", [one])
+    export(tmp_path / "with space" / "b.csv.old", [two], list(reversed(HEADER)))
+    (tmp_path / "with space" / "notes.txt").write_text("not an export")
+    df = read_ieee(spark, str(tmp_path / "with space"))
+    rows = df.orderBy("ingest_file").collect()
+    assert [(r["title"], r["authors"], r["year"], r["abstract"], r["doi"], r["source"]) for r in rows] == [
+        ('A "q", b', "X, Y;Z", 2020, "l1\nl2", "10.1/a", "IEEE"), ("Other", "W", None, "-", None, "IEEE")]
+    assert "Document Number" in df.columns and not set(IEEE_DROPS) & set(df.columns)
+    assert conform(df).columns == ["ingest_file", "record_kind", "ingest_seq", *ARTICLE_COLUMNS]
+
+
+def test_ieee_export_without_a_column(spark, tmp_path):
+    export(tmp_path / "a.csv", [{}])
+    export(tmp_path / "b.csv", [{}], [n for n in HEADER if n != "ISSN"])
+    with pytest.raises(ValueError, match="b.csv"):
+        read_ieee(spark, str(tmp_path))
+
+
+# PubMed
+
+ARTICLES = """<?xml version="1.0"?>
+<!DOCTYPE PubmedArticleSet>
+<PubmedArticleSet>
+<PubmedBookArticle><BookDocument><PMID>9</PMID><ArticleIdList><ArticleId IdType="bookaccession">NBK1</ArticleId></ArticleIdList>
+<Book><PubDate><Year>2011</Year></PubDate><BookTitle>Whole book</BookTitle><AuthorList Type="editors"><Author><LastName>Ed</LastName><ForeName>An</ForeName></Author></AuthorList></Book>
+<ArticleTitle>Chapter</ArticleTitle><AuthorList Type="authors"><Author><LastName>Au</LastName><ForeName>Thor</ForeName></Author></AuthorList>
+<Abstract><AbstractText>Book text</AbstractText></Abstract></BookDocument>
+<PubmedBookData><ArticleIdList><ArticleId IdType="pubmed">9</ArticleId></ArticleIdList></PubmedBookData></PubmedBookArticle>
+<PubmedArticle><MedlineCitation><PMID Version="1">1</PMID><Article><Journal><JournalIssue><PubDate><Year>2019</Year><Month>Mar</Month><Day>2</Day></PubDate></JournalIssue><Title>J &amp; K</Title></Journal>
+<ArticleTitle>A <i>b <sup>2</sup> c</i> d</ArticleTitle>
+<Abstract><AbstractText Label="AIM/OBJECTIVE" NlmCategory="OBJECTIVE">one <i>two <sub>3</sub></i> p &lt;0.05 and n&gt;3</AbstractText>
+ <AbstractText>plain</AbstractText><CopyrightInformation>All rights</CopyrightInformation></Abstract>
+<AuthorList><Author><LastName>Doe</LastName><ForeName>Jane</ForeName></Author><Author><CollectiveName>Group</CollectiveName></Author><Author><LastName>Roe</LastName><ForeName>R</ForeName></Author></AuthorList>
+<PublicationTypeList><PublicationType UI="D1">Journal Article</PublicationType><PublicationType>Review</PublicationType></PublicationTypeList></Article>
+<KeywordList Owner="a"><Keyword MajorTopicYN="N">k <i>1</i></Keyword><Keyword>k2</Keyword></KeywordList><KeywordList><Keyword>z</Keyword></KeywordList></MedlineCitation>
+<PubmedData><ArticleIdList><ArticleId IdType="pubmed">1</ArticleId><ArticleId IdType="doi">10.1/a</ArticleId></ArticleIdList></PubmedData></PubmedArticle>
+<PubmedArticle><MedlineCitation><PMID>2</PMID><Article><Journal><JournalIssue><PubDate><MedlineDate>2018 Jan-Feb</MedlineDate></PubDate></JournalIssue></Journal><ArticleTitle>T</ArticleTitle>
+<AuthorList><Author><CollectiveName>Only a group</CollectiveName></Author></AuthorList></Article></MedlineCitation>
+<PubmedData><ArticleIdList><ArticleId IdType="pii">x</ArticleId></ArticleIdList>
+<ReferenceList><Reference><ArticleIdList><ArticleId IdType="doi">10.9/cited</ArticleId></ArticleIdList></Reference></ReferenceList></PubmedData></PubmedArticle>
+<PubmedArticle><MedlineCitation><PMID>3</PMID><Article><Journal><JournalIssue><PubDate><Year>2017</Year></PubDate></JournalIssue></Journal><ArticleTitle>U</ArticleTitle></Article></MedlineCitation></PubmedArticle>
+<PubmedArticle><MedlineCitation><PMID>4</PMID><Article><Journal><JournalIssue><PubDate><Year>soon</Year><Month>May</Month></PubDate></JournalIssue><Title>Late</Title></Journal><ArticleTitle>V</ArticleTitle></Article></MedlineCitation></PubmedArticle>
+</PubmedArticleSet>
+"""
+
+
+@pytest.fixture
+def landed(tmp_path):
+    folder = tmp_path / "landed"
+    folder.mkdir()
+    (folder / "batch_0.xml").write_text(ARTICLES, encoding="utf-8")
+    return folder
+
+
+def test_pubmed_records(spark, landed):
+    rows = {r["pmid"]: r for r in read_pubmed(spark, str(landed)).collect()}
+    fields = ["title", "authors", "date", "year", "journal_book", "doi", "url", "abstract", "keywords", "publication_type", "record_kind"]
+    got = {pmid: tuple(r[f] for f in fields) for pmid, r in rows.items()}
+    assert got == {
+        "1": ("A b 2 c d", "Jane Doe, R Roe", "Mar 2019", 2019, "J & K", "10.1/a", "https://pubmed.ncbi.nlm.nih.gov/1/",
+              "Aim/Objective: one two 3 p <0.05 and n>3 plain", "k 1, k2", "Journal Article", 0),
+        "2": ("T", "", None, None, None, None, None, "", None, None, 0),
+        "3": ("U", "", None, 2017, None, None, None, "", None, None, 0),
+        "4": ("V", "", "May soon", None, "Late", None, None, "", None, None, 0),
+        "9": ("Chapter", "An Ed, Thor Au", None, 2011, None, None, "https://pubmed.ncbi.nlm.nih.gov/9/", "Book text", None, None, 1),
+    }
+    assert {r["source"] for r in rows.values()} == {"PubMed"}
+
+
+def test_stream_takes_new_files_once_and_equals_batch(spark, landed, tmp_path):
+    def ingest():
+        ingest_pubmed(spark, str(landed), str(tmp_path / "table"), str(tmp_path / "progress"), "r1", files_per_batch=1).awaitTermination()
+        return spark.read.parquet(str(tmp_path / "table"))
+    assert ingest().count() == 5
+    (landed / "batch_1.xml").write_text(ARTICLES.replace("<PMID", "<PMID x='1'").replace(">1</PMID>", ">11</PMID>"), encoding="utf-8")
+    table = ingest()
+    batch = conform(read_pubmed(spark, str(landed)))
+    key = lambda df: sorted(map(repr, df.select(*ARTICLE_COLUMNS).collect()))
+    assert key(table) == key(batch) and table.count() == 10
+    assert {r["run_id"] for r in table.select("run_id").collect()} == {"r1"}
+
+
+def test_error_answers(spark, tmp_path):
+    error = "<E>An error occurred while processing request</E>"
+    for name, body in [("a", "<Set/>"), ("b", error), ("c", error + "\nDetails:\n  no backend</E>"), ("d", error + " Details: rest\nmore")]:
+        (tmp_path / name).write_text(body)
+    good, failed = split_errors(read_bodies(spark, str(tmp_path)))
+    assert [r["file"][-2:] for r in good.collect()] == ["/a"]
+    assert {r["file"][-1]: r["details"] for r in failed.collect()} == {
+        "b": "No 'Details' found.", "c": "no backend", "d": "No 'Details' found."}
+
+
+# ACM
+
+def item(**parts):
+    defaults = dict(
+        title='<span class="hlFld-Title"><a href="/doi/10.1145/1.2">A <i>b</i>&amp;\n c</a></span>',
+        authors='<ul class="rlist--inline loa truncate-list" title="x"><li><a><span>Ann <b>Lee</b></span></a><span>no</span></li><li>none</li><li><span>Bo</span></li></ul>',
+        date='<div class="bookPubDate simple-tooltip__block--b" data-x>June 2020</div>',
+        journal="<span class='epub-section__title'>Proc. X</span>",
+        doi='<a href="/doi/10.9999/wrong" class="issue-item__doi dot-separator">https://doi.org/10.1145/1.2 </a>',
+        citation='<span class="citation big"><i class="icon"></i><span>12</span></span>',
+    )
+    return '<li class="search__item issue-item-container">' + "".join({**defaults, **parts}.values()) + "</li>"
+
+
+def items_of(spark, *items):
+    html = '<span class="hitsLength">1,234</span><ul><li class="search__item other">no</li>' + "\n".join(items) + "</ul>"
+    return spark.createDataFrame([(1, "u", html), (2, "v", "<p>no results</p>"), (3, "w", None)], "page_id BIGINT, url STRING, html STRING")
+
+
+def test_listing_fields(spark):
+    row = read_items(items_of(spark, item())).first()
+    assert row.asDict() == {
+        "page_id": 1, "pos": 0, "source": "ACM", "title": "A b &\n c", "authors": "AnnLee, Bo", "date": "Jun 2020", "year": 2020,
+        "journal_book": "Proc. X", "doi": "10.1145/1.2", "url": "https://dl.acm.org/doi/10.1145/1.2", "citation": "12"}
+
+
+@pytest.mark.parametrize("part,html,want", [
+    ("title", "", {"title": None, "url": None}),
+    ("title", '<span class="hlFld-Titles"><a href="/x">no</a></span>', {"title": None, "url": None}),
+    ("authors", "", {"authors": None}),
+    ("authors", '<ul class="loa rlist--inline truncate-list"><li><span>no</span></li></ul>', {"authors": None}),
+    ("date", "", {"date": None, "year": None}),
+    ("date", '<div class="bookPubDate simple-tooltip__block--b">2021</div>', {"date": None, "year": 2021}),
+    ("date", '<div class="bookPubDate simple-tooltip__block--b">02 March 2020</div>', {"date": "02 March", "year": 2020}),
+    ("date", '<div class="bookPubDate simple-tooltip__block--b">in press</div>', {"date": "in press", "year": None}),
+    ("journal", "", {"journal_book": None}), ("doi", "", {"doi": None}), ("citation", "", {"citation": None}),
+    ("doi", '<a class="issue-item__doi dot-separator">none</a>', {"doi": None}),
+])
+def test_listing_without_a_part(spark, part, html, want):
+    row = read_items(items_of(spark, item(**{part: html}))).first().asDict()
+    assert {k: row[k] for k in want} == want
+
+
+def test_listing_with_details(spark):
+    second = item(title='<span class="hlFld-Title"><a href="/doi/2">Second</a></span>')
+    pages = items_of(spark, item(), second)
+    html = '<section class="s" role="doc-abstract"><h2>Abstract</h2><div role="paragraph"> One <b>two</b>\n</div><div role="paragraph">three</div></section>'
+    details = spark.createDataFrame(
+        [(5, "https://dl.acm.org/doi/10.1145/1.2", html), (6, "https://dl.acm.org/doi/3", html)], "page_id BIGINT, url STRING, html STRING")
+    rows = read_listing(pages, details).orderBy("ingest_file", "ingest_seq").collect()
+    assert [(r["title"], r["abstract"]) for r in rows] == [("A b &\n c", "Onetwo"), ("Second", None)]
+    assert {r["page_id"]: r["hits"] for r in reported_hits(pages).collect()} == {1: 1234, 2: None, 3: None}
+
+
+# Strategies
+
+CONFIG = """<SearchConfig><Databases>
+<Database name = "PubMed"><Syntax name = "Title"><Term position = "After">[Title]</Term></Syntax></Database>
+<Database name = "ACM" position = "Both"><Syntax name = "Title"><Term position = "Before">Title:( </Term><Term position = "After">) </Term></Syntax>
+<Syntax name = "FullText"><Term position = "Before"> </Term><Term position = "After"> </Term></Syntax></Database></Databases>
+<Categories><Category name="Category_1"><SearchTerms><Term>Gait</Term><!--<Term>no</Term>--><Term>"motor control"</Term></SearchTerms></Category>
+<!--<Category name="category_9"><SearchTerms><Term>no</Term></SearchTerms></Category>-->
+<Category name="exclusion_category"><SearchTerms><Term>robot*</Term></SearchTerms></Category></Categories></SearchConfig>"""
+INI = "[search]\nstart_year = 2014\ncategory_1_search_type = FULLTEXT\nexclusion_category_search_type = title\n"
+
+
+def test_strategy_files(spark, tmp_path):
+    (tmp_path / "gait.xml").write_text(CONFIG)
+    (tmp_path / "p.ini").write_text(INI)
+    terms = read_terms(spark, str(tmp_path / "*.xml"))
+    assert sorted(map(tuple, terms.collect())) == [
+        ("gait", "Category_1", 0, False, 0, "Gait"), ("gait", "Category_1", 0, False, 1, '"motor control"'),
+        ("gait", "exclusion_category", 1, True, 0, "robot*")]
+    syntax = read_syntax(spark, str(tmp_path / "gait.xml"))
+    assert ("ACM", "Title", 0, "Before", "Title:( ") in set(map(tuple, syntax.collect()))
+    types = read_search_types(spark, str(tmp_path / "p.ini"), "gait")
+    rows = render_queries(terms, syntax, types, ["acm"]).collect()
+    assert [tuple(r) for r in rows] == [("gait", "ACM", '( Gait  OR  "motor control" ) NOT (Title:( robot*) )')]
+
+
+# Tables
+
+def test_writing_one_run_again_keeps_the_others(spark, tmp_path):
+    path = str(tmp_path / "table")
+    schema = "run_id STRING, source STRING, article_id BIGINT, mark STRING"
+    sinks.write_run(spark.createDataFrame([("a", "IEEE", 0, "1"), ("a", "ACM", 1, "1"), ("b", "ACM", 0, "1")], schema), path)
+    sinks.write_screened(spark.createDataFrame([("a", "ACM", 0, "2")], schema), path)
+    got = sorted((r["run_id"], r["source"], r["mark"]) for r in spark.read.parquet(path).collect())
+    assert got == [("a", "ACM", "2"), ("b", "ACM", "1")]
