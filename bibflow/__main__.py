@@ -89,11 +89,12 @@ def main(argv: list[str] | None = None) -> None:
     for step, names in options.items():
         sub = steps.add_parser(step.__name__)
         sub.set_defaults(run=step)
+        sub.add_argument("--input-gb", type=int, help="size of the input, to cut shuffles accordingly")
         sub.add_argument("--params", required=step in (render, search), help="INI file with years, cap, sample and search types")
         for name, required in names.items():
             sub.add_argument(f"--{name}", required=required)
     args = parser.parse_args(argv)
-    spark = session("bibflow")
+    spark = session("bibflow", args.input_gb << 30 if args.input_gb else None)
     params = Params.from_ini(args.params) if args.params else Params()
     try:
         args.run(spark, args, params, datetime.now().strftime("%Y-%m-%d_%H%M%S"))

@@ -21,13 +21,14 @@ class Limits:
     broadcast_keys: most fixed-width rows (about 100 bytes each in memory) to broadcast.
     hot_rows: rows per slice of a key that is spread over tasks.
     hot_keys: most keys that are spread; their list is broadcast.
-    window_rows: largest n for which first-n uses windows and not a distributed sort.
+    window_rows: largest n for which first-n uses windows, which Spark prunes inside each
+        task up to this size, and not a distributed sort.
     """
 
-    broadcast_keys: int = 1_000_000
+    broadcast_keys: int = 250_000
     hot_rows: int = 100_000
     hot_keys: int = 10_000
-    window_rows: int = 10_000
+    window_rows: int = 1_000
 
 
 def hot_keys(counts: DataFrame, limits: Limits) -> DataFrame:

@@ -10,8 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[str] = []
 
 
-def session(app: str = "bibflow", **conf: str) -> SparkSession:
-    """A session with the settings the operators count on; a cluster's own settings win."""
+def shuffle_partitions(input_bytes: int, cores: int) -> int:
+    """Enough shuffle partitions that each holds about 256 MB and every core has one."""
+    return max(cores, min(-(-input_bytes // (256 << 20)), 200_000))
+
+
+def session(app: str = "bibflow", input_bytes: int | None = None, **conf: str) -> SparkSession:
+    """A session with the settings the operators count on.
+
+    Give the size of the input on a cluster: shuffles are cut accordingly and
+    merged again at run time where less data arrives.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -21,7 +30,11 @@ def session(app: str = "bibflow", **conf: str) -> SparkSession:
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if input_bytes is not None:
+        wanted = shuffle_partitions(input_bytes, spark.sparkContext.defaultParallelism)
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:

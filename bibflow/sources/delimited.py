@@ -76,6 +76,7 @@ def _headers(spark: SparkSession, path: str) -> list[list[str]]:
     per_file = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(
         F.max(F.when(is_header, F.regexp_replace("value", "^\ufeff|\r$", ""))).alias("header")
     )
+    # Paths only: as many as the driver lists for any scan of the folder.
     plain_path = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
     groups = per_file.groupBy("header").agg(F.array_sort(F.collect_list(plain_path)).alias("files")).collect()
     for row in groups:
