@@ -21,7 +21,7 @@ from bibflow.runtime import drop_scratch, session
 from bibflow.schema import Params
 from bibflow.sources.delimited import read_ieee, read_table
 from bibflow.sources.listing import read_listing
-from bibflow.sources.pubmed import read_pubmed
+from bibflow.sources.pubmed import read_bodies, read_pubmed, split_errors
 from bibflow.sources.strategy import read_search_types, read_syntax, read_terms
 
 
@@ -31,6 +31,8 @@ def build(spark, args, params, stamp):
         sources.append(read_ieee(spark, args.ieee))
     if args.pubmed:
         sources.append(read_pubmed(spark, args.pubmed))
+        if args.rejected:
+            sinks.write_rejected(split_errors(read_bodies(spark, args.pubmed))[1], args.rejected, stamp)
     if args.acm_pages:
         sources.append(read_listing(spark.read.parquet(args.acm_pages), spark.read.parquet(args.acm_details)))
     if not sources:
@@ -80,7 +82,7 @@ def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="bibflow", description=__doc__, formatter_class=argparse.RawTextHelpFormatter)
     steps = parser.add_subparsers(dest="step", required=True)
     options = {
-        build: {"ieee": False, "pubmed": False, "acm-pages": False, "acm-details": False, "table": True, "export": False},
+        build: {"ieee": False, "pubmed": False, "acm-pages": False, "acm-details": False, "table": True, "export": False, "rejected": False},
         screen: {"table": True, "out": True},
         compare: {"table": False, "old": True, "new": False, "out": True},
         render: {"strategy": True, "database": False},

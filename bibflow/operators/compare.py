@@ -103,10 +103,11 @@ def attach_detail(
     """
     payload = [c for c in details.columns if c not in (on, order)]
     packed = F.struct(*payload)
+    rank = F.struct(order) if order else packed
     one = (
         details.where(F.col(on).isNotNull())
         .groupBy(key_of(on).alias(KEY))
-        .agg(F.min_by(packed, F.col(order) if order else packed).alias("_detail"))
+        .agg(F.min_by(packed, rank).alias("_detail"))
     )
     keyed = items.withColumn(KEY, F.when(F.col(on).isNotNull(), key_of(on)))
     spread = row_hash(*(row_id or items.columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from bibflow.operators.harmonise import assign_ids
 
@@ -21,6 +22,11 @@ def write_screened(screened: DataFrame, path: str) -> None:
     _replace_runs(screened, path)
 
 
+def write_rejected(failed: DataFrame, path: str, run_id: str) -> None:
+    """Keep landed answers that only hold an error, with the reason, apart from the articles."""
+    failed.select(F.lit(run_id).alias("run_id"), "file", "details").write.mode("append").parquet(path)
+
+
 def _replace_runs(df: DataFrame, path: str) -> None:
     # Partitioned by run alone: with the source as well, a source that a run no
     # longer has would stay behind. Rows come sorted by source, so a filter on

@@ -28,7 +28,8 @@ def read_delimited(
 ) -> DataFrame:
     """Files with one header, every column as text.
 
-    Blank fields are null; words such as ``NA`` stay text. Files whose headers
+    A file is read by one task, since fields may hold line breaks. Blank
+    fields are null; words such as ``NA`` stay text. Files whose headers
     differ raise instead of mixing up their columns. ``arrival`` adds the
     columns that give a record its place in arrival order.
     """

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibflow.runtime import scratch_path
+from bibflow.runtime import scratch_path, spread_small
 from bibflow.schema import IEEE_DROPS
 from bibflow.sinks import export_csv
 
@@ -43,7 +43,7 @@ def filled(template: str, **values: Column) -> Column:
 
 def ieee_exports(docs: DataFrame) -> str:
     """Two kinds of export files in one folder; the second has its columns the other way round."""
-    path = scratch_path(docs.sparkSession, "ieee")
+    path, docs = scratch_path(docs.sparkSession, "ieee"), spread_small(docs, "doc_id")
     columns = {
         "Document Title": F.concat(F.lit('A "study"; of '), F.col("source")),
         "Authors": F.concat(F.col("lang"), F.lit(" One; "), F.col("source"), F.lit(" Two")),
@@ -82,7 +82,7 @@ _BOOK = """<PubmedBookArticle><BookDocument><PMID Version="1">{id}</PMID><Articl
 
 def pubmed_files(docs: DataFrame) -> str:
     """XML files of 200 records: Spanish documents as book chapters, the others as articles."""
-    path = scratch_path(docs.sparkSession, "pubmed")
+    path, docs = scratch_path(docs.sparkSession, "pubmed"), spread_small(docs, "doc_id")
     own_doi = filled('<ArticleId IdType="doi">{doi}</ArticleId>', doi=doi())
     author = filled(
         "<Author><LastName>{source}</LastName><ForeName>{lang}</ForeName></Author>",
@@ -135,6 +135,7 @@ _ITEM = """<li class="search__item issue-item-container"><div class="issue-item_
 
 def listing_pages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Result pages of 20 items, and detail pages for all but the French documents."""
+    docs = spread_small(docs, "doc_id")
     item = filled(
         _ITEM,
         id=F.col("doc_id"), lang=F.col("lang"), source=F.col("source"), doi=doi(), cites=F.col("n_chars"),

@@ -45,6 +45,15 @@ def test_missing_titles_match_each_other(spark):
         (0, 0, None, "seen", "k", None): 1, (0, 1, "a", "Remove", "k", None): 1}
 
 
+def test_hot_titles(spark):
+    """A third of each run under one title and a third without a title, joined by shuffle."""
+    title = lambda i, side: [None, "hot", f"{side if i % 2 else ''}{i}"][i % 3]
+    old = [(i, title(i, "o"), None, "k") for i in range(600)]
+    new = [(i, title(i, "n"), "e") for i in range(600)]
+    limits = Limits(broadcast_keys=0, hot_rows=20, hot_keys=4)
+    assert compared(spark, old, new, limits) == brute_force(old, new)
+
+
 def test_run_against_itself_and_empty_runs(spark):
     old = [(i, t, None, "k") for i, t in enumerate(["a", "a", None])]
     new = [(i, t, "e") for i, t, *_ in old]

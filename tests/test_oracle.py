@@ -15,6 +15,9 @@ def con(sf_dir):
 def test_query_equals_sql(spark, sf_dir, con, name):
     df = registered.queries()[name](spark, sf_dir)
     assert differences(df, con, registered.oracle_sql()[name]) == []
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for bad in ("EvalPython", "InPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert bad not in plan
 
 
 def test_every_query_has_sql():

@@ -11,19 +11,22 @@ def test_build_screen_compare_render_search(spark, tmp_path, capsys):
     (tmp_path / "pubmed").mkdir()
     export(tmp_path / "ieee" / "a.csv", [{"Document Title": f"Gait {i}", "Publication Year": 2015 + i, "DOI": f"10.1/{i % 2}"} for i in range(3)])
     (tmp_path / "pubmed" / "a.xml").write_text(ARTICLES, encoding="utf-8")
+    (tmp_path / "pubmed" / "b.xml").write_text("<E>An error occurred while processing request. Details: no backend</E>")
     (tmp_path / "p.ini").write_text(INI.replace("start_year = 2014", "start_year = 2016") + "manual_database = pubmed\n[pilot]\nscreening = Pilot\nnr_randomizations = 2\n")
     (tmp_path / "gait.xml").write_text(CONFIG.replace(
         '<Syntax name = "Title"><Term position = "After">[Title]',
         '<Syntax name = "FullText"><Term position = "After">[All Fields]</Term></Syntax><Syntax name = "Title"><Term position = "After">[Title]', 1))
     params = ["--params", path("p.ini")]
 
-    main(["build", *params, "--ieee", path("ieee"), "--pubmed", path("pubmed"), "--table", path("runs"), "--export", path("out")])
+    main(["build", *params, "--ieee", path("ieee"), "--pubmed", path("pubmed"), "--table", path("runs"), "--export", path("out"), "--rejected", path("rejected")])
     exported = capsys.readouterr().out.strip()
     rows = sorted(read_table(spark, exported, sep=";").collect(), key=lambda r: int(r["article_id"]))
     assert [(r["article_id"], r["source"], r["title"], r["year"]) for r in rows] == [
         ("0", "IEEE", "Gait 1", "2016"), ("1", "IEEE", "Gait 2", "2017"), ("2", "PubMed", "A b 2 c d", "2019"),
         ("3", "PubMed", "T", None), ("4", "PubMed", "U", "2017"), ("5", "PubMed", "V", None)]
 
+    assert [r["details"] for r in spark.read.parquet(path("rejected")).collect()] == ["no backend"]
+
     main(["screen", *params, "--table", path("runs"), "--out", path("screened")])
     marked = spark.read.parquet(path("screened"))
     assert marked.where("pilot = 'x'").count() == 2
