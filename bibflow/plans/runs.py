@@ -25,7 +25,7 @@ def build_run(sources: list[DataFrame], params: Params, run_id: str, limits: Lim
     are filtered, then the rest is numbered by source and arrival. Parsing
     happens once; later passes read the written records.
     """
-    frames = [conform(s, keep_extra=True) for s in sources]
+    frames = [conform(_with_arrival(s), keep_extra=True) for s in sources]
     parsed = materialise(union_sources(*frames), "records")
     records = conform(parsed.withColumn("run_id", F.lit(run_id)), keep_extra=True)
     exempt = F.col("source") == UNCAPPED
@@ -38,6 +38,14 @@ def build_run(sources: list[DataFrame], params: Params, run_id: str, limits: Lim
     return assign_ids(kept, [source_rank(), "source", *INGEST_ORDER]).drop(*INGEST_ORDER)
 
 
+def _with_arrival(records: DataFrame) -> DataFrame:
+    """Fill in what a source does not say about arrival: its rows then follow in the order they are read."""
+    defaults = {
+        "ingest_file": F.lit(""), "record_kind": F.lit(0), "ingest_seq": F.monotonically_increasing_id(),
+    }
+    return records.withColumns({c: v for c, v in defaults.items() if c not in records.columns})
+
+
 def screen_runs(articles: DataFrame, params: Params, limits: Limits = Limits()) -> DataFrame:
     """Pilot and duplicate marks for every run in the table. The pilot ignores duplicates."""
     if params.screening is not None:

@@ -5,7 +5,8 @@ from bibflow import sinks
 from bibflow.functions import listing, text
 from bibflow.operators.harmonise import conform
 from bibflow.operators.render import render_queries
-from bibflow.schema import ARTICLE_COLUMNS, IEEE_DROPS, IEEE_RENAMES
+from bibflow.plans.runs import build_run
+from bibflow.schema import ARTICLE_COLUMNS, IEEE_DROPS, IEEE_RENAMES, Params
 from bibflow.sources.delimited import read_delimited, read_ieee, read_table
 from bibflow.sources.listing import read_items, read_listing, reported_hits
 from bibflow.sources.pubmed import read_bodies, read_pubmed, split_errors
@@ -183,6 +184,8 @@ def test_stream_takes_new_files_once_and_equals_batch(spark, landed, tmp_path):
     key = lambda df: sorted(map(repr, df.select(*ARTICLE_COLUMNS).collect()))
     assert key(table) == key(batch) and table.count() == 10
     assert {r["run_id"] for r in table.select("run_id").collect()} == {"r1"}
+    run = build_run([table], Params(start_year=2012), "r2")
+    assert sorted((r["article_id"], r["run_id"]) for r in run.collect()) == [(i, "r2") for i in range(8)]
 
 
 def test_error_answers(spark, tmp_path):
