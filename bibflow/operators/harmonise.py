@@ -81,7 +81,7 @@ def cap_per_source(
     place = F.struct(*[F.col(c) for c in order])
     narrow = df.select(*groups, place.alias("_place"))
     if n <= limits.window_rows:
-        last = first_per_group(narrow, groups, [F.col("_place")], n, row_hash("_place"))
+        last = first_per_group(narrow, groups, [F.col("_place")], n)
         last = last.groupBy(*groups).agg(F.max("_place").alias("_last"))
     else:
         last = _nth_place(narrow, groups, n, limits)

@@ -69,7 +69,7 @@ def draw_pilot(
     candidates = articles.select(*runs, row_id, sample_order(seed, row_id).alias("_order"))
     small = n <= limits.window_rows
     if runs and small:
-        drawn = first_per_group(candidates, runs, [F.col(c) for c in order], n, row_hash(row_id))
+        drawn = first_per_group(candidates, runs, [F.col(c) for c in order], n)
     elif runs:
         drawn = cap_per_source(candidates, n, runs, order, limits)
     elif small:

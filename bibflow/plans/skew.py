@@ -101,15 +101,15 @@ def member_join(
 
 
 def first_per_group(
-    df: DataFrame, groups: list[str], order: list[Column], n: int, spread: Column, slices: int = 64
+    df: DataFrame, groups: list[str], order: list[Column], n: int, slices: int = 64
 ) -> DataFrame:
-    """The first ``n`` rows of each group, found in two steps.
+    """The first ``n`` rows of each group, found in three steps.
 
-    Each group is cut into slices that keep their own first ``n``; only those
-    meet in one task. So no task sees more than ``slices * n`` rows of a
-    group in the end, however large the group is.
+    Every task keeps its own first ``n`` of a group, every slice of tasks the
+    first ``n`` of those, and then the slices meet. So no task sees a whole
+    group, however large it is. Rows may fall into any slice.
     """
-    sliced = df.withColumn(_SLICE, F.pmod(spread, F.lit(slices)))
+    sliced = df.withColumn(_SLICE, F.spark_partition_id() % slices)
     rank, by_slice = "_rank", Window.partitionBy(*groups, _SLICE).orderBy(*order)
     best = sliced.withColumn(rank, F.row_number().over(by_slice)).where(F.col(rank) <= n).drop(rank, _SLICE)
     by_group = Window.partitionBy(*groups).orderBy(*order)
