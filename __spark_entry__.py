@@ -62,19 +62,19 @@ _MISSING = "CASE WHEN lang = 'de' THEN NULL WHEN lang = 'fr' THEN '' ELSE text E
 @_query(_duplicates("text"))
 def mark_duplicates(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "source", F.col("text").alias("doi"))
-    return screen.mark_duplicates(docs, run_key=None, row_id="doc_id").drop("doi")
+    return screen.mark_duplicates(docs, run_key=None).drop("doi")
 
 
 @_query(_duplicates("text", "source,"))
 def mark_duplicates_per_run(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "source", F.col("text").alias("doi"))
-    return screen.mark_duplicates(docs, run_key="source", row_id="doc_id").drop("doi")
+    return screen.mark_duplicates(docs, run_key="source").drop("doi")
 
 
 @_query(_duplicates(_MISSING))
 def mark_duplicates_missing(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "source", F.expr(_MISSING).alias("doi"))
-    return screen.mark_duplicates(docs, run_key=None, row_id="doc_id").drop("doi")
+    return screen.mark_duplicates(docs, run_key=None).drop("doi")
 
 
 @_query(_duplicates("text"))
@@ -82,7 +82,7 @@ def mark_duplicates_shuffled(spark, sf_dir):
     """The plan for more repeated keys than may be broadcast, with hot keys sliced."""
     docs = documents(spark, sf_dir).select("doc_id", "source", F.col("text").alias("doi"))
     limits = Limits(broadcast_keys=0, hot_rows=2, hot_keys=100)
-    return screen.mark_duplicates(docs, run_key=None, row_id="doc_id", limits=limits).drop("doi")
+    return screen.mark_duplicates(docs, run_key=None, limits=limits).drop("doi")
 
 
 @_query("""

@@ -24,8 +24,3 @@ def key_of(*columns: Column | str) -> Column:
             F.coalesce(F.concat(F.length(t).cast("string"), F.lit("="), t), F.lit("-")) for t in texts
         ])
     return F.when(F.octet_length(value) <= _WIDTH, value).otherwise(F.concat(F.lit("#"), F.sha2(value, 256)))
-
-
-def row_hash(*columns: Column | str) -> Column:
-    """A number that spreads rows and stays the same when a task is run again."""
-    return F.xxhash64(*columns)

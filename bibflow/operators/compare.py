@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibflow.functions.keys import key_of, row_hash
+from bibflow.functions.keys import key_of
 from bibflow.plans.skew import KEY, ROWS, Limits, member_join, sliced_join
 from bibflow.runtime import materialise
 
@@ -27,7 +27,6 @@ def compare_runs(
     new: DataFrame,
     title: str = "title",
     notes: str = "notes",
-    row_id: str = "article_id",
     with_side: bool = False,
     limits: Limits = Limits(),
 ) -> DataFrame:
@@ -61,8 +60,7 @@ def compare_runs(
 
     def flagged(rows: DataFrame, side: str) -> DataFrame:
         counts = tallies.where(F.col(side) > 0).select(KEY, F.col(side).alias(ROWS))
-        spread = row_hash(*([row_id] if row_id in rows.columns else rows.columns))
-        return member_join(rows, members, "left", spread, counts=counts, limits=limits)
+        return member_join(rows, members, "left", counts=counts, limits=limits)
 
     kept = flagged(old_keyed, "_old").withColumn(notes, F.when(in_both, F.col(notes)).otherwise("Remove"))
     added = flagged(new_keyed, "_new").where(~in_both).withColumn(notes, F.lit("Add"))
@@ -78,14 +76,12 @@ def restrict_to_ids(
     records: DataFrame,
     ids: DataFrame,
     on: str = "pmid",
-    row_id: list[str] | None = None,
     limits: Limits = Limits(),
 ) -> DataFrame:
     """The records whose id is in the list."""
     wanted = ids.where(F.col(on).isNotNull()).select(key_of(on).alias(KEY)).distinct()
     keyed = records.withColumn(KEY, F.when(F.col(on).isNotNull(), key_of(on)))
-    spread = row_hash(*(row_id or records.columns))
-    return member_join(keyed, materialise(wanted, "ids"), "left_semi", spread, limits=limits).drop(KEY)
+    return member_join(keyed, materialise(wanted, "ids"), "left_semi", limits=limits).drop(KEY)
 
 
 def attach_detail(
@@ -93,7 +89,6 @@ def attach_detail(
     details: DataFrame,
     on: str = "url",
     order: str | None = None,
-    row_id: list[str] | None = None,
     limits: Limits = Limits(),
 ) -> DataFrame:
     """Every item with the columns of its detail row, or nulls.
@@ -110,6 +105,5 @@ def attach_detail(
         .agg(F.min_by(packed, rank).alias("_detail"))
     )
     keyed = items.withColumn(KEY, F.when(F.col(on).isNotNull(), key_of(on)))
-    spread = row_hash(*(row_id or items.columns))
-    joined = sliced_join(keyed, one, "left", spread, limits=limits)
+    joined = sliced_join(keyed, one, "left", limits=limits)
     return joined.select(*[F.col(f"`{c}`") for c in items.columns], *[f"_detail.{c}" for c in payload])

@@ -7,7 +7,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bibflow.functions.keys import key_of, row_hash
+from bibflow.functions.keys import key_of
 from bibflow.functions.text import semicolons_to_commas
 from bibflow.plans.skew import KEY, Limits, first_per_group, member_join
 from bibflow.runtime import materialise
@@ -87,7 +87,7 @@ def cap_per_source(
         last = _nth_place(narrow, groups, n, limits)
     last = materialise(last.select(key_of(*groups).alias(KEY), "_last"), "cap")
     keyed = df.withColumn(KEY, key_of(*groups))
-    joined = member_join(keyed, last, "left", row_hash(place), limits=limits)
+    joined = member_join(keyed, last, "left", limits=limits)
     kept = F.col("_last").isNull() | (place <= F.col("_last"))
     return joined.where(kept).select(*[F.col(f"`{c}`") for c in df.columns])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibflow.functions.keys import key_of, row_hash
+from bibflow.functions.keys import key_of
 from bibflow.operators.harmonise import assign_ids, cap_per_source
 from bibflow.plans.skew import KEY, ROWS, Limits, first_per_group, key_counts, member_join
 from bibflow.runtime import materialise
@@ -21,7 +21,6 @@ def mark_duplicates(
     articles: DataFrame,
     doi: str = "doi",
     run_key: str | list[str] | None = "run_id",
-    row_id: str = "article_id",
     limits: Limits = Limits(),
 ) -> DataFrame:
     """``duplicate``: ``'x'`` on every copy of a DOI that a run holds more than once, else ``''``.
@@ -31,9 +30,7 @@ def mark_duplicates(
     has_doi = F.col(doi).isNotNull() & (F.col(doi) != "")
     keyed = articles.withColumn(KEY, F.when(has_doi, key_of(*_names(run_key), doi)))
     repeated = materialise(key_counts(keyed).where(F.col(ROWS) > 1), "repeated")
-    marked = member_join(
-        keyed, repeated, "left", row_hash(*_names(run_key), row_id), counts=repeated, limits=limits
-    )
+    marked = member_join(keyed, repeated, "left", counts=repeated, limits=limits)
     single = has_doi & F.col(ROWS).isNull()
     mark = F.when(single, "").otherwise("x")
     return marked.select(*_others(articles, "duplicate"), mark.alias("duplicate"))
@@ -99,7 +96,7 @@ def pilot_sample(
         _require_full(drawn, n, runs)
     members = drawn.select(key_of(*runs, row_id).alias(KEY), F.lit(True).alias("_drawn"))
     keyed = articles.withColumn(KEY, key_of(*runs, row_id))
-    marked = member_join(keyed, members, "left", row_hash(*runs, row_id), limits=limits)
+    marked = member_join(keyed, members, "left", limits=limits)
     mark = F.when(F.col("_drawn"), "x")
     return marked.select(*_others(articles, "pilot"), mark.alias("pilot"))
 

@@ -56,22 +56,22 @@ def sliced_join(
     left: DataFrame,
     right: DataFrame,
     how: str,
-    spread: Column,
     counts: DataFrame | None = None,
     limits: Limits = Limits(),
 ) -> DataFrame:
     """Join on ``_key`` where ``right`` has at most one row per key.
 
     Rows of a hot left key go to several tasks, and its right row is copied to
-    each of them. Left rows without a key match nothing and are spread evenly.
-    ``counts`` are the rows per key of ``left``, if they are known already.
+    each of them. Left rows without a key match nothing and are spread too.
+    A row's slice follows from the task it is in, so even rows that are equal
+    in all columns are spread, and a task that runs again sends each row to
+    the same place. ``counts`` are the rows per key of ``left``, if known.
     """
     hot = hot_keys(key_counts(left) if counts is None else counts, limits)
+    task = F.spark_partition_id()
     sliced_left = left.join(F.broadcast(hot), KEY, "left").withColumn(
         _SLICE,
-        F.when(F.col(KEY).isNull(), F.pmod(spread, F.lit(1 << 30)))
-        .otherwise(F.coalesce(F.pmod(spread, F.col(_SLICES)), F.lit(0)))
-        .cast("int"),
+        F.when(F.col(KEY).isNull(), task).otherwise(F.coalesce(task % F.col(_SLICES), F.lit(0))),
     ).drop(_SLICES)
     sliced_right = (
         right.join(F.broadcast(hot), KEY, "left")
@@ -85,7 +85,6 @@ def member_join(
     rows: DataFrame,
     members: DataFrame,
     how: str,
-    spread: Column,
     counts: DataFrame | None = None,
     limits: Limits = Limits(),
 ) -> DataFrame:
@@ -97,7 +96,7 @@ def member_join(
     """
     if members.count() <= limits.broadcast_keys:
         return rows.join(F.broadcast(members), KEY, how)
-    return sliced_join(rows, members, how, spread, counts, limits)
+    return sliced_join(rows, members, how, counts, limits)
 
 
 def first_per_group(

@@ -36,9 +36,7 @@ def read_items(pages: DataFrame) -> DataFrame:
 def read_listing(pages: DataFrame, details: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """ACM articles: the items of the result pages with the abstracts of their detail pages."""
     abstracts = details.select("page_id", "url", fields.detail_abstract(F.col("html")).alias("abstract"))
-    items = attach_detail(
-        read_items(pages), abstracts, on="url", order="page_id", row_id=["page_id", "pos"], limits=limits
-    )
+    items = attach_detail(read_items(pages), abstracts, on="url", order="page_id", limits=limits)
     none = F.lit(None).cast("string")
     articles = items.withColumns({"pmid": none, "keywords": none})
     return articles.select(

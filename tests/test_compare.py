@@ -96,7 +96,7 @@ def test_detail_of_a_hot_url(spark):
         [(i, None if i % 3 == 0 else "hot" if i % 3 == 1 else f"u{i}") for i in range(300)], "n INT, url STRING")
     details = spark.createDataFrame(
         [(2, "hot", "late"), (1, "hot", "first"), (3, "u2", "two"), (4, None, "no")], "page_id INT, url STRING, abstract STRING")
-    rows = attach_detail(items, details, order="page_id", row_id=["n"], limits=Limits(hot_rows=10, hot_keys=2)).collect()
+    rows = attach_detail(items, details, order="page_id", limits=Limits(hot_rows=10, hot_keys=2)).collect()
     got = {r["n"]: r["abstract"] for r in rows}
     assert len(rows) == len(got) == 300
     assert all(got[n] == ("first" if n % 3 == 1 else "two" if n == 2 else None) for n in got)

@@ -23,7 +23,7 @@ def test_year_filter_is_pushed_to_the_scan(spark, tmp_path):
 
 def test_duplicates_shuffle_keys_only(spark, sf_dir):
     docs = registered.documents(spark, sf_dir).withColumnRenamed("text", "doi")
-    text = plan(screen.mark_duplicates(docs, run_key="source", row_id="doc_id"))
+    text = plan(screen.mark_duplicates(docs, run_key="source"))
     assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
 
 
@@ -35,7 +35,7 @@ def test_long_key_lists_are_shuffled_not_broadcast(spark, sf_dir):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        text = plan(screen.mark_duplicates(docs, run_key=None, row_id="doc_id", limits=limits))
+        text = plan(screen.mark_duplicates(docs, run_key=None, limits=limits))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_stats)
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -5,6 +5,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from bibflow.operators.screen import draw_pilot, id_range, mark_duplicates, pilot_sample
 from bibflow.plans.skew import Limits
 
@@ -89,3 +91,18 @@ def test_pilot_of_one_run(spark):
 def test_id_range(spark):
     df = spark.createDataFrame([("a", 3, None), ("a", 8, None), ("b", 1, None)], SCHEMA)
     assert sorted(map(tuple, id_range(df).collect())) == [("a", 3, 8), ("b", 1, 1)]
+
+
+def test_equal_rows_of_a_hot_key_are_spread(spark):
+    """Copies that agree in every column do not share one slice."""
+    df = spark.range(4000, numPartitions=8).selectExpr("'a' AS run_id", "0L AS article_id", "'10.1/hot' AS doi")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = mark_duplicates(df, limits=Limits(broadcast_keys=0, hot_rows=100, hot_keys=3))
+        sizes = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 4000 and max(sizes) < 4000
