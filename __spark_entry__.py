@@ -24,6 +24,7 @@ from bibflow.plans.runs import build_run, screen_runs
 from bibflow.plans.skew import Limits
 from bibflow.sources import delimited, pubmed
 from bibflow.sources import listing as listing_source
+from bibflow.sources import strategy
 from bibflow.streaming.ingest import ingest_pubmed
 from checks import landed
 from checks.landed import documents
@@ -600,6 +601,21 @@ def reported_hits(spark, sf_dir):
     return listing_source.reported_hits(landed.listing_pages(documents(spark, sf_dir))[0])
 
 
+@_query("""
+    WITH turns AS (
+        SELECT conv_id, turn, text, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END AS place,
+               CASE role WHEN 'system' THEN 'exclusion_category' ELSE role END AS category
+        FROM conversations)
+    SELECT CAST(conv_id AS VARCHAR) AS search_id, category,
+           CAST(dense_rank() OVER (PARTITION BY conv_id ORDER BY place) - 1 AS INT) AS category_pos,
+           category = 'exclusion_category' AS is_exclusion,
+           CAST(row_number() OVER (PARTITION BY conv_id, place ORDER BY turn) - 1 AS INT) AS term_pos, text AS term
+    FROM turns""")
+def strategy_terms(spark, sf_dir):
+    """Strategy files, one per conversation, read back as terms."""
+    return strategy.read_terms(spark, landed.strategy_files(_table(spark, sf_dir, "conversations")))
+
+
 @_query("""
     SELECT doc_id, lang = 'de' OR lang = 'fr' AS failed,
            CASE lang WHEN 'de' THEN 'backend ' || source WHEN 'fr' THEN 'No ''Details'' found.' END AS details

@@ -22,10 +22,16 @@ def _read(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
-    """Terms of every strategy file; a search is named after its file."""
-    search = F.regexp_replace(F.col("_metadata.file_name"), r"\.xml$", "")
-    categories = _read(spark, path, "Categories", _CATEGORIES).select(
-        search.alias("search_id"), F.posexplode("Category").alias("category_pos", "c")
+    """Terms of every strategy file.
+
+    A search is named after its folder ``search_id=<name>`` if it has one,
+    else after its file.
+    """
+    files = _read(spark, path, "Categories", _CATEGORIES)
+    in_folders = "search_id" in files.columns
+    search = F.col("search_id") if in_folders else F.regexp_replace("_metadata.file_name", r"\.xml$", "")
+    categories = files.select(
+        search.cast("string").alias("search_id"), F.posexplode("Category").alias("category_pos", "c")
     )
     return categories.select(
         "search_id",

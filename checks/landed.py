@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibflow.runtime import scratch_path, spread_small
-from bibflow.schema import IEEE_DROPS
+from bibflow.schema import EXCLUSION_CATEGORY, IEEE_DROPS
 from bibflow.sinks import export_csv
 
 
@@ -180,3 +180,33 @@ def answers(docs: DataFrame) -> DataFrame:
         .otherwise(F.col("text"))
     )
     return docs.select("doc_id", value.alias("value"))
+
+
+def strategy_files(turns: DataFrame) -> str:
+    """One strategy per conversation: a category per role, a term per turn, system turns as exclusion."""
+    path = scratch_path(turns.sparkSession, "strategies")
+    role = F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(3)
+    name = F.when(F.col("role") == "system", EXCLUSION_CATEGORY).otherwise(F.col("role"))
+    lines = turns.select(
+        F.col("conv_id").alias("search_id"), role.alias("category"), F.lit(1).alias("part"), "turn",
+        F.concat(F.lit("<Term>"), escaped(F.col("text")), F.lit("</Term>")).alias("value"),
+    )
+    opened = turns.select(
+        F.col("conv_id").alias("search_id"), role.alias("category"), F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("turn"),
+        F.concat(F.lit('<Category name="'), name, F.lit('"><SearchTerms>')).alias("value"),
+    ).distinct()
+    closed = opened.withColumns({"part": F.lit(2), "value": F.lit("</SearchTerms></Category>")})
+    ends = F.explode(F.array(*[
+        F.struct(F.lit(place).alias("category"), F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("turn"), F.lit(tag).alias("value"))
+        for place, tag in [(0, "<SearchConfig><Categories>"), (9, "</Categories></SearchConfig>")]
+    ]))
+    around = opened.select("search_id").distinct().select("search_id", ends.alias("e")).select("search_id", "e.*")
+    (
+        lines.unionByName(opened).unionByName(closed).unionByName(around)
+        .repartition("search_id")
+        .sortWithinPartitions("search_id", "category", "part", "turn")
+        .select("search_id", "value")
+        .write.partitionBy("search_id")
+        .text(path)
+    )
+    return path
