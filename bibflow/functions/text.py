@@ -64,7 +64,7 @@ def _code_point(number: Column) -> Column:
 
 
 def decode_entities(html: Column) -> Column:
-    """Decode named, decimal and hexadecimal entities; each is decoded once."""
+    """Decode entities, each once: the names of HTML 4, decimal and hexadecimal numbers."""
     table = " ".join(f"{name}={chr(code)}" for name, code in [*name2codepoint.items(), ("apos", 39)])
     names = F.str_to_map(F.lit(table), F.lit(" "), F.lit("="))
 

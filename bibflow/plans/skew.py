@@ -59,7 +59,7 @@ def sliced_join(
     counts: DataFrame | None = None,
     limits: Limits = Limits(),
 ) -> DataFrame:
-    """Join on ``_key`` where ``right`` has at most one row per key.
+    """Join on ``_key`` where ``right`` has one row per key, or few.
 
     Rows of a hot left key go to several tasks, and its right row is copied to
     each of them. Left rows without a key match nothing and are spread too.

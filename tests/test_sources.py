@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bibflow import sinks
-from bibflow.functions import listing, text
+from bibflow.functions import text
 from bibflow.operators.harmonise import conform
 from bibflow.operators.render import render_queries
 from bibflow.plans.runs import build_run
