@@ -1,4 +1,7 @@
 import os
+from types import SimpleNamespace
+
+import pytest
 
 
 from bibflow import runtime
@@ -24,3 +27,15 @@ def test_only_small_inputs_are_spread(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert runtime.spread_small(docs, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert runtime.spread_small(spark.range(3)).rdd.getNumPartitions() == spark.range(3).rdd.getNumPartitions()
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    def fake(master, setting=None, folder=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: folder, setCheckpointDir=lambda path: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: setting), sparkContext=context)
+
+    assert runtime.shared_folder(fake("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    assert runtime.shared_folder(fake("yarn", None, "hdfs:///set/here")) == "hdfs:///set/here"
+    assert os.path.isdir(runtime.shared_folder(fake("local[2]")))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.shared_folder(fake("yarn"))
