@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from importlib.util import find_spec
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -691,9 +692,25 @@ def entry(spark: SparkSession) -> DataFrame:
     return screen_runs(numbered, schema.Params(screening="Pilot"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries of this module alone."""
     return dict(_QUERIES)
 
 
+def _text_training():
+    """The queries of the text-training package, where it is installed."""
+    if find_spec("bibflow.llm") is None or find_spec("corpus_pipeline") is None:
+        return {}, {}
+    import corpus_pipeline
+    from bibflow.llm.queries import QUERIES, SQL
+
+    sql = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return {**QUERIES, "pipeline": corpus_pipeline.run}, {**SQL, **sql}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {**_QUERIES, **_text_training()[0]}
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {**_SQL, **_text_training()[1]}
