@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bibflow.llm import byte_bpe, chat, line_dedup
+from bibflow.llm import byte_bpe, chat, line_dedup, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,6 +109,16 @@ def op4_line_dedup(spark, sf_dir):
     return cleaned.select("page_id", "host", "n_lines", "n_dropped", F.sha2("content", 256).alias("kept_sha256"))
 
 
+# 7. SimHash near-dedup
+
+@_query()
+def op7_simhash(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = simhash.near_duplicates(docs, shingle=4, budget=4)
+    return judged.select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 # 8. Byte-level BPE
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
