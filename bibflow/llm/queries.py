@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bibflow.llm import byte_bpe, chat, line_dedup, simhash
+from bibflow.llm import byte_bpe, chat, decontaminate, line_dedup, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,6 +109,41 @@ def op4_line_dedup(spark, sf_dir):
     return cleaned.select("page_id", "host", "n_lines", "n_dropped", F.sha2("content", 256).alias("kept_sha256"))
 
 
+# 5. Benchmark decontamination
+
+def _words_sql(table: str, key: str) -> str:
+    return rf"""SELECT {key}, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {table}"""
+
+
+@_query(rf"""
+    WITH docs AS (SELECT doc_id, coalesce(w, []) AS w FROM ({_words_sql('documents', 'doc_id')})),
+    items AS (SELECT item_id, w, least(13, len(w)) AS width FROM ({_words_sql('benchmark', 'item_id')}) WHERE len(w) > 0),
+    windows AS (
+        SELECT DISTINCT item_id, width, array_to_string(w[i:i + width - 1], ' ') AS words
+        FROM (SELECT item_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM items)),
+    widths AS (SELECT DISTINCT width FROM windows),
+    places AS (
+        SELECT doc_id, width, i, array_to_string(w[i:i + width - 1], ' ') AS words
+        FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM docs, widths)),
+    found AS (SELECT doc_id, item_id, i, p.width FROM places p JOIN windows USING (words)),
+    hit AS (
+        SELECT doc_id, count(DISTINCT place) AS n
+        FROM (SELECT doc_id, unnest(range(i, i + width)) AS place FROM (SELECT DISTINCT doc_id, i, width FROM found)) GROUP BY 1),
+    listed AS (
+        SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY 1)
+    SELECT d.doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(l.n, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
+    FROM docs d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN listed l ON l.doc_id = d.doc_id""")
+def op5_decontaminate(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "n_words", "n_hit", "n_items",
+                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 # 7. SimHash near-dedup
 
 @_query()
