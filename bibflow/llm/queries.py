@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bibflow.llm import byte_bpe, chat, decontaminate, line_dedup, simhash
+from bibflow.llm import byte_bpe, chat, decontaminate, line_dedup, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -144,6 +144,14 @@ def op5_decontaminate(spark, sf_dir):
                          F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+# 6. Substring dedup
+
+@_query()
+def op6_substring_dedup(spark, sf_dir):
+    cut = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 # 7. SimHash near-dedup
 
 @_query()
