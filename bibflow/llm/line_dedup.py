@@ -15,6 +15,8 @@ BLOCK_TAGS = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|footer
 #: Entities that are decoded, in this order. Fixed values.
 ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("nbsp", " "), ("amp", "&"))
 
+_SALTS = 32
+
 
 def host_of(url: Column) -> Column:
     """The host of an address in lower case; null if there is none."""
@@ -65,12 +67,16 @@ def drop_boilerplate(pages: DataFrame, site: str, text: str, ratio: float = 0.5,
     zero lines. Repeated rows are pages of their own. A page of which nothing is
     left keeps its row with an empty text. Added columns replace ones of their name.
 
-    The list of each site comes to its pages by a join, which splits the pages
-    of a large site among tasks.
+    The list of each site comes to its pages by a join. Pages of one site are
+    salted, so that those of a large one are spread; the lists are copied as often.
     """
     lists = boilerplate(pages, site, text, ratio, min_pages)
     kept = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
-    joined = pages.select(*kept).join(lists, F.col(site) == F.col("_llm_site"), "left")
+    copies = lists.withColumn("_llm_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = pages.select(*kept).withColumn("_llm_salt", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("int"))
+    joined = salted.join(
+        copies.withColumnRenamed("_llm_salt", "_llm_copy"),
+        (F.col(site) == F.col("_llm_site")) & (F.col("_llm_salt") == F.col("_llm_copy")), "left")
     lines = F.split(F.col(text), "\n")
     left = F.when(F.col("_llm_keys").isNull(), lines).otherwise(
         F.filter(lines, lambda line: ~F.coalesce(F.array_contains("_llm_keys", _key(line)), F.lit(False))))

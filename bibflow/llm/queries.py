@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bibflow.llm import byte_bpe, chat, decontaminate, line_dedup, simhash, substrings
+from bibflow.llm import byte_bpe, chat, decontaminate, line_dedup, simhash, substrings, token_store
+from bibflow.runtime import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -175,3 +176,17 @@ def op8_byte_bpe(spark, sf_dir):
     return decoded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# 9. Token ids as compressed blocks
+
+WORD_TOKENIZER, END_ID = "word_bpe_49k.json", 1
+
+
+@_query()
+def op9_token_store(spark, sf_dir):
+    path = scratch_path(spark, "tokens")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    token_store.write_store(docs, path, public_tokenizers.path(WORD_TOKENIZER), END_ID)
+    return token_store.read_store(spark, path).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
