@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bibflow.llm import byte_bpe, chat, decontaminate, line_dedup, simhash, substrings, token_store
+from bibflow.llm import byte_bpe, chat, decontaminate, line_dedup, quality, simhash, substrings, token_store, toxicity
+from bibflow.llm.labelled import held_out
+from bibflow.llm.shipping import ship
 from bibflow.runtime import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,7 +20,12 @@ SQL: dict[str, str] = {}
 
 def _query(sql: str | None = None):
     def register(function):
-        QUERIES[function.__name__] = function
+        @functools.wraps(function)
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[function.__name__] = query
         if sql is not None:
             SQL[function.__name__] = sql
         return function
@@ -71,6 +79,19 @@ def op1_chat_format(spark, sf_dir):
     )
 
 
+# 3. Toxicity
+
+def _scored(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@_query()
+def op3_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), rows=20_000)
+    return _scored(toxicity.score(docs, model, threshold=0.5))
+
+
 # 4. Line dedup
 
 def _page_text_sql() -> str:
@@ -190,3 +211,12 @@ def op9_token_store(spark, sf_dir):
     token_store.write_store(docs, path, public_tokenizers.path(WORD_TOKENIZER), END_ID)
     return token_store.read_store(spark, path).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+# 10. Quality
+
+@_query()
+def op10_quality(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), rows=20_000)
+    return _scored(quality.score(docs, model, threshold=0.3))
