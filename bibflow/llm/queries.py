@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bibflow.llm import byte_bpe, chat, decontaminate, line_dedup, quality, simhash, substrings, token_store, toxicity
+from bibflow.llm import ann, byte_bpe, chat, decontaminate, line_dedup, quality, simhash, substrings, token_store, toxicity
 from bibflow.llm.labelled import held_out
 from bibflow.llm.shipping import ship
 from bibflow.runtime import scratch_path
@@ -79,6 +79,14 @@ def op1_chat_format(spark, sf_dir):
     )
 
 
+# 2. Approximate nearest neighbours
+
+@_query()
+def op2_ann(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 # 3. Toxicity
 
 def _scored(df: DataFrame) -> DataFrame:

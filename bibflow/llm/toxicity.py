@@ -85,7 +85,7 @@ class _Rows:
         return np.bincount(self.col, self.value * r[self.row], self.columns)
 
 
-def fit_weights(x: _Rows, y: np.ndarray, swaps: _Rows, ridge: float, fairness: float, steps: int = 120) -> tuple[np.ndarray, float]:
+def fit_weights(x: _Rows, y: np.ndarray, swaps: _Rows, ridge: float, fairness: float, steps: int = 300) -> tuple[np.ndarray, float]:
     """Minimise mean log loss + ridge |w|^2 / 2 + fairness * mean (score change)^2 / 2, by accelerated steps."""
     n, m = max(1, x.count), max(1, swaps.count)
     w = v = np.zeros(x.columns)
@@ -109,7 +109,7 @@ def fit_weights(x: _Rows, y: np.ndarray, swaps: _Rows, ridge: float, fairness: f
     return w, b
 
 
-def fit(sample: DataFrame, fairness: float = 10.0, ridge: float = 1e-3, vocabulary: int = 4000, least: int = 4,
+def fit(sample: DataFrame, fairness: float = 10.0, ridge: float = 1e-4, vocabulary: int = 6000, least: int = 4,
         identity=IDENTITY_TERMS) -> ToxicityModel:
     """Learn from ``text`` and ``label``; ``fairness`` is the weight of the counterfactual penalty.
 
