@@ -45,7 +45,10 @@ def _statistics() -> dict[str, Column]:
     }
 
 
-STATISTICS = tuple(_statistics())
+STATISTICS = (
+    "chars", "words", "word_length", "distinct_words", "distinct_lines", "line_words", "capitals", "digits", "marks", "stops",
+    "commas", "lone_marks",
+)
 
 
 def add_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -54,7 +57,7 @@ def add_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     split = docs.withColumn("_llm_text", body).withColumns({
         _WORDS: F.filter(F.split("_llm_text", r"\s+"), lambda w: w != ""),
         _LINES: F.filter(F.split("_llm_text", "\n"), lambda line: line != "")})
-    stats = F.struct(*[c.alias(n) for n, c in _statistics().items()]).alias("_llm_stats")
+    stats = F.struct(*[_statistics()[n].alias(n) for n in STATISTICS]).alias("_llm_stats")
     return split.select(*docs.columns, stats)
 
 
