@@ -58,14 +58,14 @@ def test_many_parts_blocks_and_copies(spark):
     rng = np.random.default_rng(5)
     x = np.round(rng.standard_normal((900, 8)), 2)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    rows += [(1000 + i, x[0].tolist()) for i in range(300)] + [(2000, x[1].tolist())] * 3
+    rows += [(1000 + i, (20 * x[0]).tolist()) for i in range(300)] + [(2000, x[1].tolist())] * 3
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     found = results(ann.search(df, F.col("vec_id") % 20 == 0, k=5, part_rows=64, block_rows=16, recall=1.0))
     expected = brute(rows, 5, lambda i: i % 20 == 0)
     assert found.keys() == expected.keys()
     assert recall(found, expected) >= 0.97
     copies = found[1000]
-    assert [i for i, _ in copies[:5]] == [0, 1001, 1002, 1003, 1004] and len({s for _, s in copies}) == 1
+    assert [i for i, _ in copies[:5]] == [1001, 1002, 1003, 1004, 1005] and len({s for _, s in copies}) == 1
 
 
 def test_odd_rows(spark):
