@@ -83,7 +83,7 @@ def mark_duplicates_missing(spark, sf_dir):
 def mark_duplicates_shuffled(spark, sf_dir):
     """The plan for more repeated keys than may be broadcast, with hot keys sliced."""
     docs = documents(spark, sf_dir).select("doc_id", "source", F.col("text").alias("doi"))
-    limits = Limits(broadcast_keys=0, hot_rows=2, hot_keys=100)
+    limits = Limits(broadcast_keys=0, hot_rows=2)
     return screen.mark_duplicates(docs, run_key=None, limits=limits).drop("doi")
 
 
@@ -142,10 +142,10 @@ def year_until(spark, sf_dir):
 
 
 @_query("""
-    SELECT doc_id, source FROM documents
+    SELECT doc_id, source, text FROM documents
     QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 25""")
 def cap_per_source(spark, sf_dir):
-    return harmonise.cap_per_source(documents(spark, sf_dir).select("doc_id", "source"), 25, ["source"], ["doc_id"])
+    return harmonise.cap_per_source(documents(spark, sf_dir).select("doc_id", "source", "text"), 25, ["source"], ["doc_id"])
 
 
 @_query("""
@@ -195,9 +195,9 @@ def harmonise_strings(spark, sf_dir):
     return harmonise.replace_separators(_table(spark, sf_dir, "pages"))
 
 
-@_query("SELECT row_number() OVER (ORDER BY doc_id DESC) - 1 AS article_id, doc_id FROM documents")
+@_query("SELECT row_number() OVER (ORDER BY doc_id DESC) - 1 AS article_id, doc_id, text FROM documents")
 def assign_ids(spark, sf_dir):
-    return harmonise.assign_ids(documents(spark, sf_dir).select("doc_id"), [F.col("doc_id").desc()])
+    return harmonise.assign_ids(documents(spark, sf_dir).select("doc_id", "text"), [F.col("doc_id").desc()])
 
 
 @_query("""
@@ -275,7 +275,7 @@ def compare_null_titles(spark, sf_dir):
 @_query(_compared("text", _NULL_NEW, "CASE WHEN lang = 'en' THEN 'checked' END"))
 def compare_prior_notes(spark, sf_dir):
     """Missing titles in the new run only, prior notes, and the plan for long title lists."""
-    limits = Limits(broadcast_keys=0, hot_rows=2, hot_keys=100)
+    limits = Limits(broadcast_keys=0, hot_rows=2)
     old, new = _runs(spark, sf_dir, "text", _NULL_NEW, "CASE WHEN lang = 'en' THEN 'checked' END")
     return compare.compare_runs(old, new, with_side=True, limits=limits)
 
@@ -346,8 +346,7 @@ def page_list_join(spark, sf_dir):
                lambda p: trim({_decoded("p")}, chr(10) || chr(9) || chr(13) || ' ')), lambda p: p <> ''), ' ') AS content
     FROM pages""")
 def page_text(spark, sf_dir):
-    pages = runtime.spread_small(_table(spark, sf_dir, "pages"), "page_id")
-    return pages.select("page_id", text.markup_text(F.col("html")).alias("content"))
+    return _table(spark, sf_dir, "pages").select("page_id", text.markup_text(F.col("html")).alias("content"))
 
 
 @_query(r"""
@@ -566,10 +565,11 @@ _PUBMED_SQL = f"""
     FROM documents"""
 
 
-@_query(_PUBMED_SQL)
+@_query(f"SELECT *, CASE WHEN pmid IS NOT NULL AND url IS NOT NULL THEN 'Journal Article' END AS publication_type FROM ({_PUBMED_SQL})")
 def pubmed_records(spark, sf_dir):
     path = landed.pubmed_files(documents(spark, sf_dir))
-    return harmonise.conform(pubmed.read_pubmed(spark, path)).select(*schema.ARTICLE_COLUMNS)
+    records = pubmed.read_pubmed(spark, path)
+    return harmonise.conform(records, keep_extra=True).select(*schema.ARTICLE_COLUMNS, "publication_type")
 
 
 @_query(_PUBMED_SQL)
@@ -577,7 +577,7 @@ def pubmed_stream(spark, sf_dir):
     """The same records through the incremental ingest."""
     path, table = landed.pubmed_files(documents(spark, sf_dir)), runtime.scratch_path(spark, "table")
     ingest_pubmed(spark, path, table, runtime.scratch_path(spark, "progress"), "r1").awaitTermination()
-    return spark.read.parquet(table).select(*schema.ARTICLE_COLUMNS)
+    return sinks.read_runs(spark, table).select(*schema.ARTICLE_COLUMNS)
 
 
 _ACM_SQL = f"""
@@ -597,7 +597,7 @@ def acm_listing(spark, sf_dir):
     return harmonise.conform(items).select(*schema.ARTICLE_COLUMNS)
 
 
-@_query("SELECT doc_id // 20 AS page_id, CAST(1000 + count(*) AS INT) AS hits FROM documents GROUP BY ALL")
+@_query("SELECT doc_id // 20 AS page_id, CAST(1000 + count(*) AS BIGINT) AS hits FROM documents GROUP BY ALL")
 def reported_hits(spark, sf_dir):
     return listing_source.reported_hits(landed.listing_pages(documents(spark, sf_dir))[0])
 
@@ -638,7 +638,7 @@ def write_run(spark, sf_dir):
     runs = documents(spark, sf_dir).selectExpr("doc_id AS article_id", "'first' AS title", "lang AS run_id", "source")
     sinks.write_run(runs, path)
     sinks.write_run(runs.where("run_id IN ('de', 'fr')").withColumn("title", F.lit("later")), path)
-    return spark.read.parquet(path)
+    return sinks.read_runs(spark, path)
 
 
 @_query("""
@@ -653,7 +653,7 @@ def screen_runs_table(spark, sf_dir):
     runs = documents(spark, sf_dir).selectExpr("doc_id AS article_id", "text AS doi", "lang AS run_id", "source")
     marked = screen_runs(runs, schema.Params(screening="Pilot", nr_randomizations=10))
     sinks.write_screened(marked, path)
-    return spark.read.parquet(path).select("article_id", "run_id", "pilot", "duplicate")
+    return sinks.read_runs(spark, path).select("article_id", "run_id", "pilot", "duplicate")
 
 
 @_query(f"""
@@ -662,10 +662,8 @@ def screen_runs_table(spark, sf_dir):
         QUALIFY row_number() OVER (ORDER BY lpad(CAST(page AS VARCHAR), 20, '0'), doc_id) <= 150),
     acm AS ({_ACM_SQL.replace("FROM documents", "FROM capped")}),
     kept AS (SELECT * FROM ({_IEEE_SQL} UNION ALL SELECT * FROM acm) WHERE year IS NULL OR year >= 1994),
-    per AS (SELECT source, count(*) AS articles, count(DISTINCT url) AS urls, min(year) AS first_year FROM kept GROUP BY source)
-    SELECT source, articles, urls, first_year,
-           CASE WHEN source = 'IEEE' THEN 0 ELSE (SELECT count(*) FROM kept WHERE source = 'IEEE') END AS first_id
-    FROM per""")
+    numbers AS (SELECT *, source = 'IEEE' AS first FROM kept)
+    SELECT * EXCLUDE (first), CASE WHEN first THEN 'low' ELSE 'high' END AS side FROM numbers""")
 def complete_run(spark, sf_dir):
     """A whole run: IEEE exports and ACM pages, the latter capped, then years filtered and rows numbered."""
     docs = documents(spark, sf_dir)
@@ -674,10 +672,14 @@ def complete_run(spark, sf_dir):
         listing_source.read_listing(*landed.listing_pages(docs)),
     ]
     run = build_run(sources, schema.Params(start_year=1994, max_results=150), "2024-01-02_030405")
-    return run.groupBy("source").agg(
-        F.count("*").alias("articles"), F.count_distinct("url").alias("urls"),
-        F.min("year").alias("first_year"), F.min("article_id").alias("first_id"),
-    )
+    # File names are made up by the writer, so numbers are checked by what they promise: IEEE first, none left out.
+    ieee = F.count_if(F.col("source") == "IEEE")
+    ends = run.agg(ieee.alias("low"), F.count("*").alias("n"), F.count_distinct("article_id").alias("ids"),
+                   F.max("article_id").alias("last")).first()
+    if (ends["ids"], (ends["last"] or 0) + 1) != (ends["n"], ends["n"]):
+        raise ValueError("article numbers have gaps")
+    side = F.when(F.col("article_id") < ends["low"], "low").otherwise("high")
+    return run.select(*schema.ARTICLE_COLUMNS, side.alias("side"))
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -69,11 +69,11 @@ def decode_entities(html: Column) -> Column:
     names = F.str_to_map(F.lit(table), F.lit(" "), F.lit("="))
 
     def piece(part: Column, index: Column) -> Column:
-        body = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        body = F.regexp_extract(part, r"^(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
         hexa = body.rlike("^#[xX]")
         number = F.when(
-            hexa, F.conv(F.substring(body, 3, 8), 16, 10)
-        ).when(body.startswith("#"), F.substring(body, 2, 8)).try_cast("bigint")
+            hexa, F.conv(F.regexp_replace(body, "^#[xX]0*(?=.)", ""), 16, 10)
+        ).when(body.startswith("#"), F.regexp_replace(body, "^#0*(?=.)", "")).try_cast("bigint")
         char = F.when(body.startswith("#"), _code_point(number)).otherwise(
             F.try_element_at(names, body)
         )
@@ -95,7 +95,18 @@ def markup_text(html: Column, joiner: str = " ") -> Column:
 
 def thousands_to_int(text: Column) -> Column:
     """``"12,345"`` to 12345; null where that is not a number."""
-    return trimmed(F.replace(text, F.lit(","), F.lit(""))).try_cast("int")
+    return trimmed(F.replace(text, F.lit(","), F.lit(""))).try_cast("bigint")
+
+
+def year_number(text: Column) -> Column:
+    """``"2014"`` or ``"2014.0"`` to 2014; null where that is not a year."""
+    return F.regexp_replace(trimmed(text.cast("string")), r"\.0+$", "").try_cast("int")
+
+
+def in_natural_order(path: Column) -> Column:
+    """A text that sorts numbers within paths by their value: ``batch_2`` before ``batch_10``."""
+    padded = F.regexp_replace(path, r"([0-9]+)", "0" * 20 + "$1")
+    return F.regexp_replace(padded, r"0*([0-9]{20})(?![0-9])", "$1")
 
 
 def run_stamp(ts: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibflow.functions.keys import key_of
-from bibflow.functions.text import semicolons_to_commas
+from bibflow.functions.text import semicolons_to_commas, year_number
 from bibflow.plans.skew import KEY, Limits, first_per_group, member_join
 from bibflow.runtime import materialise
 from bibflow.schema import ARTICLES, INGEST, SOURCES
@@ -19,15 +19,18 @@ _ROW_BITS = 33  # monotonically_increasing_id keeps the place inside a partition
 def conform(df: DataFrame, keep_extra: bool = False) -> DataFrame:
     """The article columns in order and with their types; missing ones are null.
 
-    Run and arrival columns stay in front. Other columns are dropped, or kept
+    Run and arrival columns stay in front. A year may have a decimal part of
+    zero, as exports from tables with gaps have. Other columns are dropped, or kept
     at the end with ``keep_extra``.
     """
     have = set(df.columns)
     front = [F.col(f.name).cast(f.dataType) for f in INGEST if f.name in have]
-    body = [
-        (F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
-        for f in ARTICLES
-    ]
+    def value(f):
+        if f.name not in have:
+            return F.lit(None).cast(f.dataType)
+        return year_number(F.col("year")) if f.name == "year" else F.col(f.name).try_cast(f.dataType)
+
+    body = [value(f).alias(f.name) for f in ARTICLES]
     known = {f.name for f in INGEST} | {f.name for f in ARTICLES}
     extra = [F.col(f"`{c}`") for c in df.columns if c not in known] if keep_extra else []
     return df.select(*front, *body, *extra)

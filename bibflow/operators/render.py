@@ -32,7 +32,10 @@ def render_queries(
     Terms of a category are joined by OR, once for each part of the database's
     syntax; categories by AND in their order; an exclusion follows NOT.
     Databases, categories and search types are matched without regard to case.
+    A category without a search type raises. A syntax with a ``search_id`` column
+    holds for that search alone.
     """
+    own = [c for c in ["search_id"] if c in syntax.columns]
     parts = syntax.withColumn("type_key", F.lower("search_type"))
     names = [r[0] for r in parts.select("database").distinct().orderBy("database").collect()]
     if databases is not None:
@@ -45,18 +48,19 @@ def render_queries(
     # One row per leading part: (before, after) around a term. Syntaxes with a
     # mix of parts that has no text form keep one row without any text.
     before, after = F.col("position") == "Before", F.col("position") == "After"
-    shapes = parts.groupBy("database", "type_key").agg(
+    shapes = parts.groupBy(*own, "database", "type_key").agg(
         F.count_if(before).alias("n_before"),
         F.count_if(after).alias("n_after"),
         F.max(F.when(after, F.col("text"))).alias("closing"),
     )
-    shaped = parts.join(shapes, ["database", "type_key"])
+    shaped = parts.join(shapes, [*own, "database", "type_key"])
     only_before = (F.col("n_before") > 0) & (F.col("n_after") == 0)
     only_after = (F.col("n_before") == 0) & (F.col("n_after") > 0)
     around = (F.col("n_before") > 0) & (F.col("n_after") == 1)
     leads = (before & (only_before | around)) | (after & only_after)
     has_text = only_before | only_after | around
     decorated = shaped.where(leads | ~has_text).select(
+        *own,
         "database",
         "type_key",
         "syntax_pos",
@@ -68,20 +72,28 @@ def render_queries(
     types = search_types.select(
         "search_id", F.lower("category").alias("category_key"), F.lower("search_type").alias("type_key")
     ).distinct()
-    asked = types.select("type_key").distinct().select(
-        "type_key", F.explode(F.array(*map(F.lit, names))).alias("database")
-    )
+    if own:
+        asked = types.select(*own, "type_key").distinct().join(parts.select(*own, "database").distinct(), own)
+    else:
+        asked = types.select("type_key").distinct().select(
+            "type_key", F.explode(F.array(*map(F.lit, names))).alias("database")
+        )
     _fail_on(
-        asked.join(shapes, ["database", "type_key"], "left_anti").select("type_key", "database"),
+        asked.join(shapes, [*own, "database", "type_key"], "left_anti").select("type_key", "database"),
         "search type not found for database",
     )
     if decorated.count() <= limits.broadcast_keys:
         decorated = F.broadcast(decorated)
-    typed = terms.withColumn("category_key", F.lower("category")).join(types, ["search_id", "category_key"])
+    keyed = terms.withColumn("category_key", F.lower("category"))
+    _fail_on(
+        keyed.join(types, ["search_id", "category_key"], "left_anti").select("search_id", "category"),
+        "category without a search type",
+    )
+    typed = keyed.join(types, ["search_id", "category_key"])
 
     # All terms of a search meet in one task, since its text is one value.
     categories = (
-        typed.join(decorated, "type_key")
+        typed.join(decorated, [*own, "type_key"])
         .repartition("search_id", "database")
         .groupBy("search_id", "database", "category_pos", "is_exclusion")
         .agg(

@@ -35,7 +35,7 @@ def build_run(sources: list[DataFrame], params: Params, run_id: str, limits: Lim
         )
         records = records.where(exempt).unionByName(capped)
     kept = year_between(records, params.start_year, params.end_year)
-    return assign_ids(kept, [source_rank(), "source", *INGEST_ORDER]).drop(*INGEST_ORDER)
+    return assign_ids(kept, [source_rank(), "source", *INGEST_ORDER]).drop(*INGEST_ORDER, "ingest_path")
 
 
 def _with_arrival(records: DataFrame) -> DataFrame:

@@ -19,31 +19,28 @@ _SLICES = "_slices"
 class Limits:
     """
     broadcast_keys: most fixed-width rows (about 100 bytes each in memory) to broadcast.
-    hot_rows: rows per slice of a key that is spread over tasks.
-    hot_keys: most keys that are spread; their list is broadcast.
+    hot_rows: fewest rows per slice of a key that is spread over tasks.
     window_rows: largest n for which first-n uses windows, which Spark prunes inside each
         task up to this size, and not a distributed sort.
     """
 
     broadcast_keys: int = 250_000
     hot_rows: int = 100_000
-    hot_keys: int = 10_000
     window_rows: int = 1_000
 
 
 def hot_keys(counts: DataFrame, limits: Limits) -> DataFrame:
-    """The keys with most rows, at most ``limits.hot_keys`` of them, and their slices.
+    """Every key with more rows than a slice may have, and the number of its slices.
 
-    By counting, a key that is left out of a full list has less than
-    1/``hot_keys`` of all rows. Sliced keys add at most
-    rows / ``hot_rows`` copies to the other side of a join.
+    A slice has ``hot_rows`` rows, or more where all rows divided by
+    ``broadcast_keys`` are more. So by counting, the list is shorter than
+    ``broadcast_keys`` without being cut, and no key stays whole above a slice.
+    Sliced keys add at most a copy per slice to the other side of a join.
     """
-    hot = (
-        counts.where(F.col(ROWS) > limits.hot_rows)
-        .orderBy(F.col(ROWS).desc(), KEY)
-        .limit(limits.hot_keys)
-        .select(KEY, F.ceil(F.col(ROWS) / limits.hot_rows).cast("int").alias(_SLICES))
-    )
+    counts = materialise(counts.select(KEY, ROWS), "counts")
+    total = counts.agg(F.sum(ROWS)).first()[0] or 0
+    rows = max(limits.hot_rows, -(-total // limits.broadcast_keys) if limits.broadcast_keys else 0)
+    hot = counts.where(F.col(ROWS) > rows).select(KEY, F.ceil(F.col(ROWS) / rows).cast("int").alias(_SLICES))
     return materialise(hot, "hot")
 
 
@@ -78,7 +75,8 @@ def sliced_join(
         .withColumn(_SLICE, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_SLICES), F.lit(1)) - 1)))
         .drop(_SLICES)
     )
-    return sliced_left.join(sliced_right, [KEY, _SLICE], how).drop(_SLICE)
+    # Without the hint a right side that is small here but grows elsewhere would be broadcast.
+    return sliced_left.join(sliced_right.hint("merge"), [KEY, _SLICE], how).drop(_SLICE)
 
 
 def member_join(
@@ -100,14 +98,16 @@ def member_join(
 
 
 def first_per_group(
-    df: DataFrame, groups: list[str], order: list[Column], n: int, slices: int = 64
+    df: DataFrame, groups: list[str], order: list[Column], n: int, slices: int | None = None
 ) -> DataFrame:
     """The first ``n`` rows of each group, found in three steps.
 
     Every task keeps its own first ``n`` of a group, every slice of tasks the
     first ``n`` of those, and then the slices meet. So no task sees a whole
     group, however large it is. Rows may fall into any slice.
+    Unless given, there is a slice for every eight shuffle partitions, 64 at least.
     """
+    slices = slices or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     sliced = df.withColumn(_SLICE, F.spark_partition_id() % slices)
     rank, by_slice = "_rank", Window.partitionBy(*groups, _SLICE).orderBy(*order)
     best = sliced.withColumn(rank, F.row_number().over(by_slice)).where(F.col(rank) <= n).drop(rank, _SLICE)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bibflow.operators.harmonise import assign_ids
 
@@ -12,11 +14,35 @@ RUN_SUFFIX = "complete_articles.csv"
 COMPARISON_SUFFIX = "combined_search_articles.csv"
 
 
+# A run lies in folders run_id=<run>/part=<part>: one part, or one per batch of a stream.
+PARTS = ["run_id", "part"]
+WHOLE = "all"
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The article table, with run ids as the text they were written as: ``007`` stays ``007``."""
+    return _table(spark, path).drop("part")
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    found = spark.read.parquet(path).schema
+    texts = [T.StructField(f.name, T.StringType() if f.name in PARTS else f.dataType) for f in found]
+    return spark.read.schema(T.StructType(texts)).parquet(path)
+
+
 def write_run(articles: DataFrame, path: str) -> None:
-    """Add runs to the article table. Writing a run again replaces all of it."""
+    """Add runs to the article table. Writing a run again replaces all of it.
+
+    A run that a stream has written is left to it and raises.
+    """
     _replace_runs(articles, path)
 
 
+def write_batch(records: DataFrame, path: str, batch: int) -> None:
+    """Add a batch of a stream to its run. Writing a batch again replaces it."""
+    _replace_parts(records, path, f"batch-{batch:09d}")
+
+
 def write_screened(screened: DataFrame, path: str) -> None:
     """Write marked runs to a table of their own. Other runs in it stay."""
     _replace_runs(screened, path)
@@ -24,17 +50,29 @@ def write_screened(screened: DataFrame, path: str) -> None:
 
 def write_rejected(failed: DataFrame, path: str, run_id: str) -> None:
     """Keep landed answers that only hold an error, with the reason, apart from the articles."""
-    failed.select(F.lit(run_id).alias("run_id"), "file", "details").write.mode("append").parquet(path)
+    _replace_parts(failed.select(F.lit(run_id).alias("run_id"), "file", "details"), path, WHOLE)
 
 
 def _replace_runs(df: DataFrame, path: str) -> None:
-    # Partitioned by run alone: with the source as well, a source that a run no
+    try:
+        streamed = _table(df.sparkSession, path).where(F.col("part") != WHOLE).select("run_id").distinct()
+    except AnalysisException:  # no table yet
+        streamed = None
+    if streamed is not None:
+        both = streamed.join(df.select(F.col("run_id").cast("string")).distinct(), "run_id").first()
+        if both is not None:
+            raise ValueError(f"run {both[0]} was written by a stream; write the new one under another id")
+    _replace_parts(df, path, WHOLE)
+
+
+def _replace_parts(df: DataFrame, path: str, part: str) -> None:
+    # Partitioned by run and part alone: with the source as well, a source that a run no
     # longer has would stay behind. Rows come sorted by source, so a filter on
     # it still skips most row groups.
     (
-        df.write.mode("overwrite")
+        df.withColumn("part", F.lit(part)).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id")
+        .partitionBy(*PARTS)
         .parquet(path)
     )
 
@@ -64,9 +102,11 @@ def export_run(articles: DataFrame, folder: str, stamp: str) -> str:
 def number_comparison(compared: DataFrame) -> DataFrame:
     """New numbers over old rows, then added rows; the number from the run is kept beside it.
 
+    Of a comparison that is compared again, the number that it had there is kept.
+
     Takes the result of ``compare_runs(..., with_side=True)``.
     """
-    renamed = compared.withColumnRenamed("article_id", "source_article_id")
+    renamed = compared.drop("source_article_id").withColumnRenamed("article_id", "source_article_id")
     return assign_ids(renamed, ["side", "source_article_id"]).drop("side")
 
 

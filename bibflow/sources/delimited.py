@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bibflow.functions.text import blank_to_null
+from bibflow.functions.text import blank_to_null, in_natural_order, year_number
 from bibflow.operators.harmonise import replace_separators, union_sources
 from bibflow.schema import IEEE_DROPS, IEEE_RENAMES
 
+_CORRUPT = "_corrupt_record"
+
 # Separators that a .csv file may have; a .tsv file has tabs.
 CSV_SEPARATORS = [",", ";"]
 
@@ -30,26 +32,71 @@ def read_delimited(
 
     A file is read by one task, since fields may hold line breaks. Blank
     fields are null; words such as ``NA`` stay text. Files whose headers
-    differ raise instead of mixing up their columns. ``arrival`` adds the
-    columns that give a record its place in arrival order.
+    differ raise instead of mixing up their columns. A row with fewer fields
+    than the header ends in nulls; one with more stops the job, and so does a
+    quote that is not closed where fields are missing behind it. ``arrival``
+    adds the columns that give a record its place in arrival order.
     """
     reader = _reader(spark, sep)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     names = reader.csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = reader.schema(schema).option("enforceSchema", False).csv(path)
+    df, faults = _with_faults(reader, path, names, sep)
+    first = F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))  # without a column of its own, the reader refuses the check
+    stop = F.raise_error(F.concat(F.lit("malformed record: "), first, F.lit(" in "), F.left(F.col(_CORRUPT), F.lit(200))))
+    df = df.where(F.when(faults, stop).isNull())
     texts = [blank_to_null(F.col(f"`{n}`")).alias(n) for n in names]
     if not arrival:
         return df.select(*texts)
     return df.select(
-        F.col("_metadata.file_path").alias("ingest_file"),
+        in_natural_order(F.col("_metadata.file_path")).alias("ingest_file"),
         F.lit(0).alias("record_kind"),
         F.monotonically_increasing_id().alias("ingest_seq"),
         *texts,
     )
 
 
+def _with_faults(reader, path, names: list[str], sep: str) -> tuple[DataFrame, Column]:
+    """The rows of files with these columns, and whether a row is malformed and not merely short."""
+    fields = [T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]]
+    df = reader.schema(T.StructType(fields)).option("columnNameOfCorruptRecord", _CORRUPT).option("enforceSchema", False).csv(path)
+    raw = F.col(_CORRUPT)
+    bare = F.regexp_replace(raw, '"(?:[^"]|"")*"', "")
+    long = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) >= len(names)
+    return df, F.coalesce(raw.isNotNull() & (long | bare.contains('"')), F.lit(False))
+
+
+def split_malformed(spark: SparkSession, path: str | list[str], sep: str = ",") -> tuple[DataFrame, DataFrame]:
+    """The rows that ``read_delimited`` can read, and ``file`` and ``details`` of the others."""
+    reader = _reader(spark, sep)
+    names = reader.csv(path).columns
+    df, faults = _with_faults(reader, path, names, sep)
+    df = df.select("*", faults.alias("_fault"), F.col("_metadata.file_path").alias("_file"))
+    good = df.where(~F.col("_fault")).select(*[blank_to_null(F.col(f"`{n}`")).alias(n) for n in names])
+    return good, df.where("_fault").select(F.col("_file").alias("file"), F.col(_CORRUPT).alias("details"))
+
+
+def read_exports(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
+    """A folder of exported runs as one table, each run named after its file.
+
+    Files need not have the same columns. Numbers and years are read as
+    numbers; a run without ``article_id`` is numbered as it is read.
+    """
+    names = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(path)
+    folder = F.regexp_extract("file", r"^(.*?/[^/]+\.csv)(?:/|$)", 1)
+    found = names.select(F.col("_metadata.file_path").alias("file")).distinct().select(folder.alias("run")).distinct().collect()
+    runs = []
+    for row in sorted(found):  # one row per run
+        df = read_delimited(spark, row["run"], sep)
+        number = F.col("article_id").cast("bigint") if "article_id" in df.columns else F.monotonically_increasing_id()
+        run = row["run"].rsplit("/", 1)[-1].removesuffix(".csv")
+        df = df.withColumns({"run_id": F.lit(run), "article_id": number})
+        runs.append(df.withColumn("year", year_number(F.col("year"))) if "year" in df.columns else df)
+    if not runs:
+        raise ValueError(f"no exported run in {path}")
+    return union_sources(*runs)
+
+
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, sep: str = ",") -> DataFrame:
     """A file or folder of ``csv``, ``tsv`` or ``parquet``; the suffix decides unless ``fmt`` does."""
     kind = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
@@ -107,4 +154,4 @@ def read_ieee(spark: SparkSession, path: str) -> DataFrame:
     for files in shapes:
         frames.append(replace_separators(ieee_columns(read_delimited(spark, files, arrival=True))))
     articles = union_sources(*frames)
-    return articles.withColumn("year", F.col("year").try_cast("int"))
+    return articles.withColumn("year", year_number(F.col("year")))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibflow.functions import pubmed as fields
-from bibflow.functions.text import extract
+from bibflow.functions.text import extract, in_natural_order, thousands_to_int
+from bibflow.runtime import materialise
 from bibflow.schema import ARTICLE_COLUMNS, PUBMED_ARTICLE, PUBMED_BOOK
 
 # How the service says that a request failed.
 ERROR_TEXT = "An error occurred while processing request"
+# Java's dot stops at more line ends than a line feed.
 ERROR_DETAILS = r"Details:\s*([^\n]*?)(?:</|$)"
+MALFORMED = "not well-formed XML"
 NO_DETAILS = "No 'Details' found."
 
 
@@ -75,7 +80,8 @@ def _select(df: DataFrame, in_order: bool, kind: int, **raw: Column) -> DataFram
     # A stream has no row numbers.
     place = [F.monotonically_increasing_id().alias("ingest_seq")] if in_order else []
     return df.select(
-        F.col("_metadata.file_path").alias("ingest_file"),
+        in_natural_order(F.col("_metadata.file_path")).alias("ingest_file"),
+        F.col("_metadata.file_path").alias("ingest_path"),
         F.lit(kind).alias("record_kind"),
         *place,
         *[columns[c].alias(c) for c in ARTICLE_COLUMNS],
@@ -83,19 +89,58 @@ def _select(df: DataFrame, in_order: bool, kind: int, **raw: Column) -> DataFram
     )
 
 
-def _xml(reader, tag: str, schema: str, path: str) -> DataFrame:
-    return reader.format("xml").option("rowTag", tag).schema(schema).load(path)
+_CORRUPT = "_corrupt_record"
+
+
+def _xml(reader, tag: str, schema: str, path: str, mode: str = "FAILFAST") -> DataFrame:
+    if mode == "PERMISSIVE":
+        schema = f"{schema}, {_CORRUPT} STRING"
+    return reader.format("xml").option("rowTag", tag).option("mode", mode).schema(schema).load(path)
 
 
 def read_pubmed(spark: SparkSession, path: str) -> DataFrame:
     """Articles (``record_kind`` 0) and book chapters (1) of every file in a folder.
 
-    An XML file is read by one task, so land files of moderate size.
+    An XML file is read by one task, so land files of moderate size, some tens
+    of MB. A file that is not well formed stops the job, as its reader would
+    lose the records after the fault; ``split_malformed`` sets such files apart.
     """
     articles = _article(_xml(spark.read, "PubmedArticle", PUBMED_ARTICLE, path))
     return articles.unionByName(_book(_xml(spark.read, "PubmedBookArticle", PUBMED_BOOK, path)))
 
 
+def split_malformed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The records of well-formed files, and ``file`` and ``details`` of the others.
+
+    Whole files are set apart, since the records after a fault cannot be read.
+    """
+    kinds = [
+        (part, _xml(spark.read, tag, schema, path, "PERMISSIVE"))
+        for part, tag, schema in [(_article, "PubmedArticle", PUBMED_ARTICLE), (_book, "PubmedBookArticle", PUBMED_BOOK)]
+    ]
+    # The reader refuses a query on the corrupt records alone, so the others are counted beside them.
+    per_file = reduce(DataFrame.unionByName, [
+        df.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+            F.count(_CORRUPT).alias("bad"), F.count(df.columns[0]).alias("records")) for _, df in kinds])
+    bad = materialise(per_file, "files").where("bad > 0").select("file", F.lit(MALFORMED).alias("details")).distinct()
+    records = reduce(DataFrame.unionByName, [part(df.where(F.col(_CORRUPT).isNull())) for part, df in kinds])
+    return records.join(bad, records["ingest_path"] == bad["file"], "left_anti"), bad
+
+
+def read_search_answers(spark: SparkSession, path: str) -> DataFrame:
+    """Landed answers to searches: ``file``, the ``total`` hits it reports, and ``position`` and ``pmid`` of each id.
+
+    An answer without ids has one row with null for both.
+    """
+    schema = "Count STRING, IdList STRUCT<Id: ARRAY<STRING>>"
+    answers = _xml(spark.read, "eSearchResult", schema, path)
+    return answers.select(
+        F.col("_metadata.file_path").alias("file"),
+        thousands_to_int(F.col("Count")).alias("total"),
+        F.posexplode_outer("IdList.Id").alias("position", "pmid"),
+    )
+
+
 def read_pubmed_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """The same records as a stream of newly landed files."""
     def reader():

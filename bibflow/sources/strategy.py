@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import configparser
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibflow.schema import EXCLUSION_CATEGORY, SEARCH_TYPES
+from bibflow.functions.text import extract
+from bibflow.schema import EXCLUSION_CATEGORY
 
 _CATEGORIES = "Category ARRAY<STRUCT<_name: STRING, SearchTerms: STRUCT<Term: ARRAY<STRING>>>>"
 _DATABASES = (
@@ -18,20 +17,25 @@ _DATABASES = (
 
 def _read(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     reader = spark.read.format("xml").option("rowTag", tag).option("ignoreSurroundingSpaces", False)
-    return reader.schema(schema).load(path)
+    return reader.option("mode", "FAILFAST").schema(schema).load(path)
+
+
+def _search_id(extension: str) -> Column:
+    """The name of a search, as text: of its folder ``search_id=<name>`` if it has one, else of its file."""
+    folder = F.url_decode(F.replace(extract(F.col("_metadata.file_path"), "/search_id=([^/]+)/"), F.lit("+"), F.lit("%2B")))
+    return F.coalesce(folder, F.regexp_replace("_metadata.file_name", rf"\.{extension}$", ""))
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """Terms of every strategy file.
 
-    A search is named after its folder ``search_id=<name>`` if it has one,
-    else after its file.
+    A search is named by the ``search_id`` of its ``Categories`` element if it
+    has one, so that a file can hold many searches; else after its folder
+    ``search_id=<name>``, else after its file.
     """
-    files = _read(spark, path, "Categories", _CATEGORIES)
-    in_folders = "search_id" in files.columns
-    search = F.col("search_id") if in_folders else F.regexp_replace("_metadata.file_name", r"\.xml$", "")
+    files = _read(spark, path, "Categories", f"_search_id STRING, {_CATEGORIES}")
     categories = files.select(
-        search.cast("string").alias("search_id"), F.posexplode("Category").alias("category_pos", "c")
+        F.coalesce("_search_id", _search_id("xml")).alias("search_id"), F.posexplode("Category").alias("category_pos", "c")
     )
     return categories.select(
         "search_id",
@@ -43,16 +47,17 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_syntax(spark: SparkSession, path: str) -> DataFrame:
-    """What each database wants before and after a term, per search type.
+    """What each database wants before and after a term, per search and search type.
 
     The reader gives no text for a part that is only blanks; it counts as one.
     """
     return (
-        _read(spark, path, "Databases", _DATABASES)
-        .select(F.explode("Database").alias("d"))
-        .select(F.col("d._name").alias("database"), F.explode("d.Syntax").alias("s"))
-        .select("database", F.col("s._name").alias("search_type"), F.posexplode("s.Term").alias("syntax_pos", "t"))
+        _read(spark, path, "Databases", f"_search_id STRING, {_DATABASES}")
+        .select(F.coalesce("_search_id", _search_id("xml")).alias("search_id"), F.explode("Database").alias("d"))
+        .select("search_id", F.col("d._name").alias("database"), F.explode("d.Syntax").alias("s"))
+        .select("search_id", "database", F.col("s._name").alias("search_type"), F.posexplode("s.Term").alias("syntax_pos", "t"))
         .select(
+            "search_id",
             "database",
             "search_type",
             "syntax_pos",
@@ -62,11 +67,26 @@ def read_syntax(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_search_types(spark: SparkSession, path: str, search_id: str) -> DataFrame:
-    """Search types from the ``<category>_search_type`` settings of an INI file."""
-    ini = configparser.ConfigParser()
-    with open(path, encoding="utf-8") as f:
-        ini.read_file(f)
-    suffix = "_search_type"
-    rows = [(search_id, k[: -len(suffix)], v) for k, v in ini["search"].items() if k.endswith(suffix)]
-    return spark.createDataFrame(rows, SEARCH_TYPES)
+def read_search_types(spark: SparkSession, path: str, searches: str | DataFrame | None = None) -> DataFrame:
+    """Search types from the ``<category>_search_type`` settings of INI files, in their ``search`` section.
+
+    Each file's settings hold for the search it is named after. With
+    ``searches``, one name or a table with ``search_id``, those of one file hold for all of these.
+    """
+    text = F.regexp_replace("value", r"\r\n?", "\n")
+    section = F.regexp_extract(text, r"(?s)(?:^|\n)\[search\][^\n]*\n(.*?)(?=\n\[|$)", 1)
+    lines = spark.read.text(path, wholetext=True).select(
+        _search_id("ini").alias("search_id"), F.explode(F.split(section, "\n")).alias("line"))
+    setting = r"^([^=:#;\s][^=:]*?)_search_type\s*[=:]\s*(.*?)\s*$"
+    types = lines.where(F.lower("line").rlike(setting)).select(
+        "search_id", F.regexp_extract(F.lower("line"), setting, 1).alias("category"),
+        F.regexp_replace("line", r"^[^=:]*[=:]\s*|\s+$", "").alias("search_type"))
+    if searches is None:
+        return types
+    if isinstance(searches, str):
+        return types.withColumn("search_id", F.lit(searches))
+    # The settings of one file are a few rows.
+    rows = types.select("category", "search_type").distinct().collect()
+    pairs = F.array(*[F.struct(F.lit(r[0]).alias("category"), F.lit(r[1]).alias("search_type")) for r in rows])
+    pairs = pairs.cast("array<struct<category:string,search_type:string>>")
+    return searches.select("search_id").distinct().select("search_id", F.explode(pairs).alias("p")).select("search_id", "p.*")

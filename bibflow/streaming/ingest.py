@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bibflow.operators.harmonise import conform
+from bibflow.sinks import write_batch
 from bibflow.sources.pubmed import read_pubmed_stream
 
 
@@ -22,14 +23,14 @@ def ingest_pubmed(
     """Start the ingest. Without a trigger it takes what has landed and stops.
 
     The stream keeps no state between batches; the checkpoint remembers which
-    files are done and the file sink writes each batch once.
+    files are done. Each batch is a part of its run in the article table, which
+    batch runs share, and a batch that is repeated after a failure replaces its part.
     """
     records = read_pubmed_stream(spark, landed, files_per_batch).withColumn("run_id", F.lit(run_id))
     return (
-        conform(records).writeStream.format("parquet")
-        .option("path", table)
+        conform(records).writeStream
+        .foreachBatch(lambda batch, number: write_batch(batch, table, number))
         .option("checkpointLocation", checkpoint)
-        .partitionBy("run_id")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -183,7 +183,10 @@ def answers(docs: DataFrame) -> DataFrame:
 
 
 def strategy_files(turns: DataFrame) -> str:
-    """One strategy per conversation: a category per role, a term per turn, system turns as exclusion."""
+    """One strategy per conversation: a category per role, a term per turn, system turns as exclusion.
+
+    Files hold many strategies, each named by an attribute.
+    """
     path = scratch_path(turns.sparkSession, "strategies")
     role = F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(3)
     name = F.when(F.col("role") == "system", EXCLUSION_CATEGORY).otherwise(F.col("role"))
@@ -196,17 +199,23 @@ def strategy_files(turns: DataFrame) -> str:
         F.concat(F.lit('<Category name="'), name, F.lit('"><SearchTerms>')).alias("value"),
     ).distinct()
     closed = opened.withColumns({"part": F.lit(2), "value": F.lit("</SearchTerms></Category>")})
+    name = F.concat(F.lit('<SearchConfig><Categories search_id="'), F.col("search_id").cast("string"), F.lit('">'))
     ends = F.explode(F.array(*[
-        F.struct(F.lit(place).alias("category"), F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("turn"), F.lit(tag).alias("value"))
-        for place, tag in [(0, "<SearchConfig><Categories>"), (9, "</Categories></SearchConfig>")]
+        F.struct(F.lit(place).alias("category"), F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("turn"), tag.alias("value"))
+        for place, tag in [(0, name), (9, F.lit("</Categories></SearchConfig>"))]
     ]))
     around = opened.select("search_id").distinct().select("search_id", ends.alias("e")).select("search_id", "e.*")
+    file = F.pmod(F.xxhash64("search_id"), F.lit(16)).cast("int").alias("file")
+    rows = lines.unionByName(opened).unionByName(closed).unionByName(around).select(file, F.lit(1).alias("place"), "*")
+    root = F.explode(F.array(*[
+        F.struct(F.lit(place).alias("place"), F.lit(tag).alias("value")) for place, tag in [(0, "<Strategies>"), (2, "</Strategies>")]]))
+    roots = rows.select("file").distinct().select("file", root.alias("r")).select("file", "r.*")
     (
-        lines.unionByName(opened).unionByName(closed).unionByName(around)
-        .repartition("search_id")
-        .sortWithinPartitions("search_id", "category", "part", "turn")
-        .select("search_id", "value")
-        .write.partitionBy("search_id")
+        rows.unionByName(roots, allowMissingColumns=True)
+        .repartition("file")
+        .sortWithinPartitions("file", "place", "search_id", "category", "part", "turn")
+        .select("file", "value")
+        .write.partitionBy("file")
         .text(path)
     )
     return path

@@ -8,7 +8,7 @@ from bibflow.operators.compare import attach_detail, compare_runs, restrict_to_i
 from bibflow.plans.skew import Limits
 from bibflow.sinks import number_comparison
 
-SHUFFLED = Limits(broadcast_keys=0, hot_rows=2, hot_keys=2)
+SHUFFLED = Limits(broadcast_keys=0, hot_rows=2)
 OLD = "article_id BIGINT, title STRING, notes STRING, kept STRING"
 NEW = "article_id BIGINT, title STRING, extra STRING"
 
@@ -50,7 +50,7 @@ def test_hot_titles(spark):
     title = lambda i, side: [None, "hot", f"{side if i % 2 else ''}{i}"][i % 3]
     old = [(i, title(i, "o"), None, "k") for i in range(600)]
     new = [(i, title(i, "n"), "e") for i in range(600)]
-    limits = Limits(broadcast_keys=0, hot_rows=20, hot_keys=4)
+    limits = Limits(broadcast_keys=0, hot_rows=20)
     assert compared(spark, old, new, limits) == brute_force(old, new)
 
 
@@ -96,7 +96,7 @@ def test_detail_of_a_hot_url(spark):
         [(i, None if i % 3 == 0 else "hot" if i % 3 == 1 else f"u{i}") for i in range(300)], "n INT, url STRING")
     details = spark.createDataFrame(
         [(2, "hot", "late"), (1, "hot", "first"), (3, "u2", "two"), (4, None, "no")], "page_id INT, url STRING, abstract STRING")
-    rows = attach_detail(items, details, order="page_id", limits=Limits(hot_rows=10, hot_keys=2)).collect()
+    rows = attach_detail(items, details, order="page_id", limits=Limits(hot_rows=10)).collect()
     got = {r["n"]: r["abstract"] for r in rows}
     assert len(rows) == len(got) == 300
     assert all(got[n] == ("first" if n % 3 == 1 else "two" if n == 2 else None) for n in got)

@@ -32,7 +32,7 @@ def test_years_without_a_year_stay(spark, start, end, want):
     assert [r["year"] for r in year_between(df, start, end).orderBy("year").collect()] == want
 
 
-@pytest.mark.parametrize("limits", [Limits(), Limits(window_rows=0), Limits(window_rows=0, broadcast_keys=0, hot_rows=5, hot_keys=2)])
+@pytest.mark.parametrize("limits", [Limits(), Limits(window_rows=0), Limits(window_rows=0, broadcast_keys=0, hot_rows=5)])
 @pytest.mark.parametrize("n", [1, 40, 5000])
 def test_cap_of_a_hot_source(spark, limits, n):
     rows = [("hot" if i % 3 else f"s{i % 5}", (i * 7919) % 1200) for i in range(1200)] + [(None, 1), (None, 0)]

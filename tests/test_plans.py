@@ -29,7 +29,7 @@ def test_duplicates_shuffle_keys_only(spark, sf_dir):
 
 def test_long_key_lists_are_shuffled_not_broadcast(spark, sf_dir):
     docs = registered.documents(spark, sf_dir).withColumnRenamed("text", "doi")
-    limits = Limits(broadcast_keys=0, hot_rows=2, hot_keys=10)
+    limits = Limits(broadcast_keys=0, hot_rows=2)
     with_stats = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

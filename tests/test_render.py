@@ -46,9 +46,18 @@ def test_more_than_ten_terms_keep_their_order(spark):
     assert got["PubMed"] == "(" + " OR ".join(f"t{i}[Title]" for i in range(12)) + ")"
 
 
-def test_category_without_a_search_type_is_left_out(spark):
-    got = rendered(spark, [("c1", ["a"]), ("c2", ["b"])], ["IEEE"], types=[("s", "C2", "title")])
-    assert got == {"IEEE": '("T": b OR "A": b)'}
+def test_category_without_a_search_type_raises(spark):
+    with pytest.raises(ValueError, match="category without a search type: s, c1"):
+        rendered(spark, [("c1", ["a"]), ("c2", ["b"])], ["IEEE"], types=[("s", "C2", "title")])
+
+
+def test_syntax_of_each_search(spark):
+    terms = spark.createDataFrame([(s, "c", 0, False, 0, "a") for s in ("s", "t")], TERMS)
+    types = spark.createDataFrame([(s, "C", "title") for s in ("s", "t")], SEARCH_TYPES)
+    syntax = spark.createDataFrame(
+        [("s", "X", "Title", 0, "After", "[1]"), ("t", "X", "Title", 0, "After", "[2]")], f"search_id STRING, {SYNTAX}")
+    rows = render_queries(terms, syntax, types).collect()
+    assert sorted(map(tuple, rows)) == [("s", "X", "(a[1])"), ("t", "X", "(a[2])")]
 
 
 def test_unknown_names(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bibflow.operators.screen import draw_pilot, id_range, mark_duplicates, pilot_sample
 from bibflow.plans.skew import Limits
 
-SHUFFLED = Limits(broadcast_keys=0, hot_rows=3, hot_keys=2, window_rows=0)
+SHUFFLED = Limits(broadcast_keys=0, hot_rows=3, window_rows=0)
 SCHEMA = "run_id STRING, article_id BIGINT, doi STRING"
 QUICK = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -49,7 +49,7 @@ def test_hot_doi(spark):
     """A third of all rows under one DOI and a third without any."""
     rows = [("a", i, [None, "10.1/hot", f"10.1/{i}"][i % 3]) for i in range(3000)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = mark_duplicates(df, limits=Limits(broadcast_keys=0, hot_rows=50, hot_keys=3))
+    got = mark_duplicates(df, limits=Limits(broadcast_keys=0, hot_rows=50))
     assert marks(got) == expected_marks(rows)
 
 
@@ -100,7 +100,7 @@ def test_equal_rows_of_a_hot_key_are_spread(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        got = mark_duplicates(df, limits=Limits(broadcast_keys=0, hot_rows=100, hot_keys=3))
+        got = mark_duplicates(df, limits=Limits(broadcast_keys=0, hot_rows=100))
         sizes = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -272,7 +272,7 @@ def test_strategy_files(spark, tmp_path):
         ("gait", "Category_1", 0, False, 0, "Gait"), ("gait", "Category_1", 0, False, 1, '"motor control"'),
         ("gait", "exclusion_category", 1, True, 0, "robot*")]
     syntax = read_syntax(spark, str(tmp_path / "gait.xml"))
-    assert ("ACM", "Title", 0, "Before", "Title:( ") in set(map(tuple, syntax.collect()))
+    assert ("gait", "ACM", "Title", 0, "Before", "Title:( ") in set(map(tuple, syntax.collect()))
     types = read_search_types(spark, str(tmp_path / "p.ini"), "gait")
     rows = render_queries(terms, syntax, types, ["acm"]).collect()
     assert [tuple(r) for r in rows] == [("gait", "ACM", '( Gait  OR  "motor control" ) NOT (Title:( robot*) )')]
