@@ -682,6 +682,124 @@ def complete_run(spark, sf_dir):
     return run.select(*schema.ARTICLE_COLUMNS, side.alias("side"))
 
 
+# Faulty files, streams and batches, and many strategies
+
+@_query("""
+    SELECT doc_id, CASE WHEN lang <> 'de' THEN source END AS source, lang = 'de' AS failed FROM documents""")
+def csv_malformed(spark, sf_dir):
+    """Rows with a field too many are set apart; the others are read."""
+    docs = documents(spark, sf_dir)
+    line = F.concat_ws(";", "doc_id", "source", F.when(F.col("lang") == "de", "more"))
+    path = landed.in_files(docs.select("doc_id", line.alias("value")), "doc_id", "doc_id;source", None)
+    good, bad = delimited.split_malformed(spark, path, ";")
+    number = F.substring_index("details", ";", 1).cast("bigint").alias("doc_id")
+    return good.select(F.col("doc_id").cast("bigint"), "source", F.lit(False).alias("failed")).unionByName(
+        bad.select(number, F.lit(None).cast("string").alias("source"), F.lit(True).alias("failed")))
+
+
+@_query(f"""
+    SELECT source, title, pmid, abstract, 0 AS bad_files FROM ({_PUBMED_SQL}) WHERE (CAST(pmid AS BIGINT) // 200) % 3 <> 1
+    UNION ALL
+    SELECT NULL, NULL, NULL, NULL, CAST(count(DISTINCT doc_id // 200) AS INT) FROM documents WHERE (doc_id // 200) % 3 = 1""")
+def pubmed_malformed(spark, sf_dir):
+    """Files with a fault are set apart as a whole; no empty records come of them."""
+    good, bad = pubmed.split_malformed(spark, landed.pubmed_files(documents(spark, sf_dir), broken=True))
+    kept = ["source", "title", "pmid", "abstract"]
+    count = bad.agg(F.count("*").cast("int").alias("bad_files"))
+    return good.select(*kept, F.lit(0).alias("bad_files")).unionByName(count, allowMissingColumns=True)
+
+
+@_query(f"""
+    SELECT 'r1' AS run_id, title, pmid FROM ({_PUBMED_SQL})
+    UNION ALL SELECT 'r2', text, CAST(doc_id AS VARCHAR) FROM documents""")
+def stream_then_batch(spark, sf_dir):
+    """One table for a streamed run, one of whose batches is repeated, and for a run written at once."""
+    docs, table = documents(spark, sf_dir), runtime.scratch_path(spark, "table")
+    path = landed.pubmed_files(docs)
+    ingest_pubmed(spark, path, table, runtime.scratch_path(spark, "progress"), "r1").awaitTermination()
+    again = harmonise.conform(pubmed.read_pubmed(spark, path)).withColumn("run_id", F.lit("r1"))
+    sinks.write_batch(again.drop("ingest_seq"), table, 0)
+    run = docs.selectExpr("'r2' AS run_id", "text AS title", "CAST(doc_id AS STRING) AS pmid")
+    sinks.write_run(harmonise.conform(run), table)
+    return sinks.read_runs(spark, table).select("run_id", "title", "pmid")
+
+
+_RUN_IDS = "CASE lang WHEN 'de' THEN '007' WHEN 'fr' THEN '2024-01-02' WHEN 'es' THEN '1e3' ELSE 'r' END"
+
+
+@_query(f"SELECT doc_id AS article_id, text AS title, {_RUN_IDS} AS run_id FROM documents")
+def write_run_text_ids(spark, sf_dir):
+    """Run ids that look like numbers and dates come back as they were written."""
+    path = runtime.scratch_path(spark, "runs")
+    sinks.write_run(documents(spark, sf_dir).selectExpr("doc_id AS article_id", "text AS title", f"{_RUN_IDS} AS run_id"), path)
+    return sinks.read_runs(spark, path)
+
+
+@_query(f"""
+    SELECT number AS article_id, number AS source_article_id, source, title, notes, quality
+    FROM (SELECT *, row_number() OVER (ORDER BY side, article_id) - 1 AS number FROM ({_compared()}))""")
+def compare_again(spark, sf_dir):
+    """A numbered comparison is compared with the same new run: nothing is left to add."""
+    old, new = _runs(spark, sf_dir)
+    first = sinks.number_comparison(compare.compare_runs(old, new, with_side=True))
+    return sinks.number_comparison(compare.compare_runs(first, new, with_side=True))
+
+
+@_query("""
+    SELECT doc_id AS article_id, 'run_' || lang AS run_id, CAST(2000 + n_chars % 20 AS INT) AS year,
+           CASE WHEN count(*) OVER (PARTITION BY lang, text) > 1 THEN 'x' ELSE '' END AS duplicate
+    FROM documents""")
+def screen_exports(spark, sf_dir):
+    """Exported files as runs named after them, with years as tables with gaps write them."""
+    folder = runtime.scratch_path(spark, "exports")
+    docs = documents(spark, sf_dir).selectExpr(
+        "doc_id AS article_id", "concat(2000 + n_chars % 20, '.0') AS year", "text AS doi", "lang")
+    for lang in ("en", "de", "fr", "es"):
+        sinks.export_csv(docs.where(F.col("lang") == lang).drop("lang"), f"{folder}/run_{lang}.csv")
+    marked = screen_runs(delimited.read_exports(spark, folder), schema.Params())
+    return marked.select("article_id", "run_id", "year", "duplicate")
+
+
+@_query("""
+    SELECT count(*) OVER (PARTITION BY source) AS total,
+           CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS position, CAST(doc_id AS VARCHAR) AS pmid
+    FROM documents""")
+def search_answers(spark, sf_dir):
+    """Totals and ids out of landed answers to searches."""
+    return pubmed.read_search_answers(spark, landed.search_answers(documents(spark, sf_dir))).drop("file")
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS pmid, source, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def records_of_search(spark, sf_dir):
+    """The records whose ids a search has returned."""
+    docs = documents(spark, sf_dir)
+    found = docs.join(_table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id")
+    ids = pubmed.read_search_answers(spark, landed.search_answers(found))
+    return compare.restrict_to_ids(docs.select(F.col("doc_id").cast("string").alias("pmid"), "source", "text"), ids)
+
+
+_LONG_WORDS = r"""
+    WITH words AS (
+        SELECT DISTINCT doc_id, lang, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS word FROM documents)""".replace("\\\\", "\\")
+
+
+@_query(_LONG_WORDS + """
+    SELECT doc_id FROM words GROUP BY doc_id
+    HAVING bool_or(length(word) >= 8) AND NOT bool_or(word IN (SELECT word FROM words WHERE lang = 'fr' AND length(word) >= 16))""")
+def boolean_search_many_terms(spark, sf_dir):
+    """One strategy out of the long words of all documents, more than fit into one expression."""
+    docs = documents(spark, sf_dir)
+    words = docs.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"{_W}+"), F.lit(0))).alias("term"))
+    wanted = words.where(F.length("term") >= 8).select("term", F.lit("long").alias("category"), F.lit(False).alias("is_exclusion"))
+    left_out = words.where((F.col("lang") == "fr") & (F.length("term") >= 16)).select(
+        "term", F.lit(schema.EXCLUSION_CATEGORY).alias("category"), F.lit(True).alias("is_exclusion"))
+    terms = wanted.unionByName(left_out).distinct().select(
+        F.lit("s").alias("search_id"), "category", F.lit(0).alias("category_pos"), "is_exclusion", F.lit(0).alias("term_pos"), "term")
+    types = spark.createDataFrame(
+        [("s", c, "title/abstract") for c in ("long", schema.EXCLUSION_CATEGORY)], schema.SEARCH_TYPES)
+    return search.boolean_search(docs.selectExpr("doc_id", "text AS abstract"), terms, types).select("doc_id")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: documents as one run of articles, filtered, numbered, then screened."""
     docs = documents(spark, "/root/testdata/sf0.001")

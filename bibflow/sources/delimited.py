@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from bibflow.functions.text import blank_to_null, in_natural_order, year_number
 from bibflow.operators.harmonise import replace_separators, union_sources
+from bibflow.runtime import materialise
 from bibflow.schema import IEEE_DROPS, IEEE_RENAMES
 
 _CORRUPT = "_corrupt_record"
@@ -42,8 +43,7 @@ def read_delimited(
         reader = reader.option("pathGlobFilter", glob)
     names = reader.csv(path).columns
     df, faults = _with_faults(reader, path, names, sep)
-    first = F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))  # without a column of its own, the reader refuses the check
-    stop = F.raise_error(F.concat(F.lit("malformed record: "), first, F.lit(" in "), F.left(F.col(_CORRUPT), F.lit(200))))
+    stop = F.raise_error(F.concat(F.lit("malformed record: "), F.left(F.col(_CORRUPT), F.lit(200))))
     df = df.where(F.when(faults, stop).isNull())
     texts = [blank_to_null(F.col(f"`{n}`")).alias(n) for n in names]
     if not arrival:
@@ -61,6 +61,8 @@ def _with_faults(reader, path, names: list[str], sep: str) -> tuple[DataFrame, C
     fields = [T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]]
     df = reader.schema(T.StructType(fields)).option("columnNameOfCorruptRecord", _CORRUPT).option("enforceSchema", False).csv(path)
     raw = F.col(_CORRUPT)
+    # Nothing of the first field is added; the reader refuses a query on the corrupt records alone.
+    raw = F.concat(raw, F.coalesce(F.substring(F.col(f"`{names[0]}`"), 1, 0), F.lit("")))
     bare = F.regexp_replace(raw, '"(?:[^"]|"")*"', "")
     long = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) >= len(names)
     return df, F.coalesce(raw.isNotNull() & (long | bare.contains('"')), F.lit(False))
@@ -73,7 +75,8 @@ def split_malformed(spark: SparkSession, path: str | list[str], sep: str = ",")
     df, faults = _with_faults(reader, path, names, sep)
     df = df.select("*", faults.alias("_fault"), F.col("_metadata.file_path").alias("_file"))
     good = df.where(~F.col("_fault")).select(*[blank_to_null(F.col(f"`{n}`")).alias(n) for n in names])
-    return good, df.where("_fault").select(F.col("_file").alias("file"), F.col(_CORRUPT).alias("details"))
+    bad = df.where("_fault").select(F.col("_file").alias("file"), F.col(_CORRUPT).alias("details"), F.col(f"`{names[0]}`").alias("first"))
+    return good, materialise(bad, "malformed").drop("first")
 
 
 def read_exports(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:

@@ -93,8 +93,6 @@ _CORRUPT = "_corrupt_record"
 
 
 def _xml(reader, tag: str, schema: str, path: str, mode: str = "FAILFAST") -> DataFrame:
-    if mode == "PERMISSIVE":
-        schema = f"{schema}, {_CORRUPT} STRING"
     return reader.format("xml").option("rowTag", tag).option("mode", mode).schema(schema).load(path)
 
 
@@ -114,16 +112,15 @@ def split_malformed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
     Whole files are set apart, since the records after a fault cannot be read.
     """
-    kinds = [
-        (part, _xml(spark.read, tag, schema, path, "PERMISSIVE"))
-        for part, tag, schema in [(_article, "PubmedArticle", PUBMED_ARTICLE), (_book, "PubmedBookArticle", PUBMED_BOOK)]
-    ]
+    kinds = [(_article, "PubmedArticle", PUBMED_ARTICLE), (_book, "PubmedBookArticle", PUBMED_BOOK)]
+    checked = [_xml(spark.read, tag, f"{schema}, {_CORRUPT} STRING", path, "PERMISSIVE") for _, tag, schema in kinds]
     # The reader refuses a query on the corrupt records alone, so the others are counted beside them.
     per_file = reduce(DataFrame.unionByName, [
         df.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-            F.count(_CORRUPT).alias("bad"), F.count(df.columns[0]).alias("records")) for _, df in kinds])
+            F.count(_CORRUPT).alias("bad"), F.count(df.columns[0]).alias("records")) for df in checked])
     bad = materialise(per_file, "files").where("bad > 0").select("file", F.lit(MALFORMED).alias("details")).distinct()
-    records = reduce(DataFrame.unionByName, [part(df.where(F.col(_CORRUPT).isNull())) for part, df in kinds])
+    records = reduce(DataFrame.unionByName, [
+        part(_xml(spark.read, tag, schema, path, "PERMISSIVE")) for part, tag, schema in kinds])
     return records.join(bad, records["ingest_path"] == bad["file"], "left_anti"), bad
 
 

@@ -80,8 +80,35 @@ _BOOK = """<PubmedBookArticle><BookDocument><PMID Version="1">{id}</PMID><Articl
 </Author></AuthorList><Abstract><AbstractText>{text}</AbstractText></Abstract></BookDocument></PubmedBookArticle>"""
 
 
-def pubmed_files(docs: DataFrame) -> str:
-    """XML files of 200 records: Spanish documents as book chapters, the others as articles."""
+def in_files(rows: DataFrame, key: str, first: str, last: str | None, files: int = 16) -> str:
+    """Lines (``value``) in files by hash of ``key``, each between the lines ``first`` and ``last``."""
+    path = scratch_path(rows.sparkSession, "lines")
+    rows = rows.select(F.pmod(F.xxhash64(key), F.lit(files)).cast("int").alias("file"), F.lit(1).alias("place"), "value")
+    ends = [(0, first)] + ([(2, last)] if last is not None else [])
+    around = F.explode(F.array(*[F.struct(F.lit(p).alias("place"), F.lit(v).alias("value")) for p, v in ends]))
+    around = rows.select("file").distinct().select("file", around.alias("e")).select("file", "e.*")
+    (
+        rows.unionByName(around)
+        .repartition("file").sortWithinPartitions("file", "place").select("file", "value")
+        .write.partitionBy("file").text(path)
+    )
+    return f"{path}/*"
+
+
+def search_answers(docs: DataFrame) -> str:
+    """An answer per source: the number of its documents, and their ids."""
+    tag = lambda name, body: F.concat(F.lit(f"<{name}>"), body, F.lit(f"</{name}>"))
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda d: tag("Id", d.cast("string"))), "")
+    answers = docs.groupBy("source").agg(
+        tag("eSearchResult", F.concat(tag("Count", F.count("*").cast("string")), tag("IdList", ids))).alias("value"))
+    return in_files(answers, "source", "<Answers>", "</Answers>")
+
+
+def pubmed_files(docs: DataFrame, broken: bool = False) -> str:
+    """XML files of 200 records: Spanish documents as book chapters, the others as articles.
+
+    With ``broken``, every third file has a record that is cut off.
+    """
     path, docs = scratch_path(docs.sparkSession, "pubmed"), spread_small(docs, "doc_id")
     own_doi = filled('<ArticleId IdType="doi">{doi}</ArticleId>', doi=doi())
     author = filled(
@@ -108,9 +135,10 @@ def pubmed_files(docs: DataFrame) -> str:
     batches = docs.select(
         F.floor(F.col("doc_id") / 200).cast("bigint").alias("batch"), F.lit(1).alias("place"), record.alias("value")
     )
+    cut = F.when(F.lit(broken) & (F.col("batch") % 3 == 1), "<PubmedArticle><MedlineCitation><PMID>9</PMID>").otherwise("")
     ends = F.explode(F.array(*[
-        F.struct(F.lit(place).alias("place"), F.lit(tag).alias("value"))
-        for place, tag in [(0, "<PubmedArticleSet>"), (2, "</PubmedArticleSet>")]
+        F.struct(F.lit(place).alias("place"), tag.alias("value"))
+        for place, tag in [(0, F.lit("<PubmedArticleSet>")), (2, F.concat(cut, F.lit("</PubmedArticleSet>")))]
     ]))
     around = batches.select("batch").distinct().select("batch", ends.alias("e")).select("batch", "e.*")
     (
