@@ -819,7 +819,8 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def _text_training():
     """The queries of the text-training package, where it is installed."""
-    if find_spec("bibflow.llm") is None or find_spec("corpus_pipeline") is None:
+    # Looked up in this order: a missing package has no modules to look for.
+    if any(find_spec(m) is None for m in ("corpus_pipeline", "bibflow.llm", "bibflow.llm.queries")):
         return {}, {}
     import corpus_pipeline
     from bibflow.llm.queries import QUERIES, SQL
