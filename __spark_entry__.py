@@ -346,7 +346,8 @@ def page_list_join(spark, sf_dir):
                lambda p: trim({_decoded("p")}, chr(10) || chr(9) || chr(13) || ' ')), lambda p: p <> ''), ' ') AS content
     FROM pages""")
 def page_text(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", text.markup_text(F.col("html")).alias("content"))
+    pages = runtime.spread_small(_table(spark, sf_dir, "pages"), "page_id")
+    return pages.select("page_id", text.markup_text(F.col("html")).alias("content"))
 
 
 @_query(r"""
@@ -408,7 +409,8 @@ def _strategy_sql(name: str) -> str:
 
 
 def _searched(spark, sf_dir):
-    return documents(spark, sf_dir).selectExpr("doc_id", "source AS title", "text AS abstract", "lang AS keywords")
+    docs = documents(spark, sf_dir).selectExpr("doc_id", "source AS title", "text AS abstract", "lang AS keywords")
+    return runtime.spread_small(docs, "doc_id")
 
 
 @_query(f"SELECT doc_id FROM documents WHERE {_strategy_sql('articles and joins')}")
@@ -462,7 +464,7 @@ def match_page_searches(spark, sf_dir):
         )
     )
     types = terms.select("search_id", "category", F.lit("Title/Abstract").alias("search_type")).distinct()
-    articles = documents(spark, sf_dir).selectExpr("doc_id", "text AS abstract")
+    articles = runtime.spread_small(documents(spark, sf_dir).selectExpr("doc_id", "text AS abstract"), "doc_id")
     return search.match_searches(articles, terms, types, ids=["doc_id"])
 
 

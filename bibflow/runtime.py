@@ -70,20 +70,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread_small(df: DataFrame, *by: str) -> DataFrame:
-    """Spread an input of a few small files over all cores.
+    """Spread an input of fewer splits than cores over all cores.
 
     For work that is heavy per row. A larger input already has enough splits
-    and is left alone, so at most 16 MB per core are ever moved.
+    and is left alone, so less than a split per core is ever moved.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not 0 < len(files) < cores:
-        return df
-    conf = spark._jsc.hadoopConfiguration()
-    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in files]
-    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
-    return df.repartition(cores, *by) if size <= cores * (16 << 20) else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
 
 
 def drop_scratch(spark: SparkSession) -> None:
