@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibflow.llm.words import ROW, Bloom, Rolling, WordHashes, alnum_words, batches, texts, with_row
+from bibflow.llm.words import ROW, Bloom, Rolling, WordHashes, alnum_words, batches, sliced, texts, with_row
 from bibflow.runtime import materialise
 
 _BASE = 0x9E3779B97F4A7C15
@@ -66,7 +66,7 @@ def _occurrences(docs: DataFrame, bloom: Bloom, sizes: list[int], window: int) -
         words_of_bloom, widths = shared.value
         bits, hashes, rolling = Bloom(words_of_bloom), WordHashes(), Rolling(_BASE)
         hit = pa.struct([("pos", pa.int32()), ("hash", pa.int64()), ("at", pa.int32()), ("near", pa.string())])
-        for batch in stream:
+        for batch in sliced(stream):
             counts, lists = [], []
             for value in texts(batch.column("text")):
                 words, hits = alnum_words(value), []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibflow.llm.words import ROW, Bloom, Rolling, WordHashes, batches, plain_words, texts, with_row
+from bibflow.llm.words import ROW, Bloom, Rolling, WordHashes, batches, plain_words, sliced, texts, with_row
 from bibflow.runtime import materialise
 
 PERIOD = 31
@@ -40,7 +40,7 @@ def _anchors(docs: DataFrame, window: int, shared: Bloom | None = None) -> DataF
     def run(stream):
         hashes, rolling = WordHashes(), Rolling(_BASES[0])
         known = None if bits is None else Bloom(bits.value)
-        for batch in stream:
+        for batch in sliced(stream):
             rows, places, values = [], [], []
             for row, value in zip(batch.column(ROW).to_pylist(), texts(batch.column("text"))):
                 words = plain_words(value)
@@ -68,7 +68,7 @@ def _windows(candidates: DataFrame, window: int) -> DataFrame:
 
     def run(stream):
         pairs = [(WordHashes(seed), Rolling(base)) for seed, base in zip((1, 2), _BASES)]
-        for batch in stream:
+        for batch in sliced(stream):
             which, begin, one, two = [], [], [], []
             for k, (value, places) in enumerate(zip(texts(batch.column("text")), batch.column("places"))):
                 words = plain_words(value)

@@ -50,10 +50,17 @@ def texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def sliced(stream: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that what is made of one stays small."""
+    for batch in stream:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def batches(function: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
-    """A ``mapInArrow`` function out of one for a single batch."""
+    """A ``mapInArrow`` function out of one for a single small batch."""
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in sliced(stream):
             out = function(batch)
             if out is not None and out.num_rows:
                 yield out
@@ -63,7 +70,7 @@ def batches(function: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, seed: int = 0, most: int = 500_000):
+    def __init__(self, seed: int = 0, most: int = 200_000):
         self.seed, self.most = seed, most
 
     def __missing__(self, word: bytes) -> int:
