@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,12 @@ def _tokenizer(file: str) -> Tokenizer:
     return Tokenizer.from_file(file)
 
 
+@functools.lru_cache(maxsize=1)
+def _chunk_ids(file: str) -> ChunkIds:
+    """What a worker process has learned; it is kept from task to task."""
+    return ChunkIds(_tokenizer(file))
+
+
 class ChunkIds(dict):
     """Ids of the runs between ASCII white space, each encoded once by the library.
 
@@ -43,7 +50,7 @@ class ChunkIds(dict):
     own, and runs that hold it are encoded alone.
     """
 
-    def __init__(self, tokenizer: Tokenizer, most: int = 800_000):
+    def __init__(self, tokenizer: Tokenizer, most: int = 1_200_000):
         self.tokenizer, self.most = tokenizer, most
         marks = tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = marks[0] if len(marks) == 1 else None
@@ -51,8 +58,10 @@ class ChunkIds(dict):
     def learn(self, runs: set[bytes]) -> None:
         new = [r for r in runs if r not in self]
         if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(runs)
+            # Frequent runs came first; they stay.
+            for run in list(islice(self, self.most // 2, None)):
+                del self[run]
+            new = [r for r in runs if r not in self]
         joint = [r for r in new if self.mark is not None and _MARK.encode() not in r]
         for k in range(0, len(joint), 10_000):
             part = joint[k:k + 10_000]
@@ -69,21 +78,26 @@ class ChunkIds(dict):
         for run, found in zip(alone, self.tokenizer.encode_batch_fast([r.decode() for r in alone], add_special_tokens=False)):
             self[run] = np.array(found.ids, "<u4").tobytes()
 
-    def encode(self, text: bytes) -> bytes:
+    def _long(self, runs: list[bytes]) -> bytes:
         """The ids of a text of any length, a bounded part of its runs at a time."""
-        runs, out = text.split(), []
+        out = []
         for k in range(0, len(runs), 50_000):
             part = runs[k:k + 50_000]
-            if not all(map(self.__contains__, part)):
-                self.learn(set(part))
+            self.learn(set(part))
             out.append(b"".join(map(self.__getitem__, part)))
         return b"".join(out)
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
-        short = [t for t in texts if len(t) <= 1 << 16]
-        for k in range(0, len(short), 200):
-            self.learn(set().union(*(t.split() for t in short[k:k + 200])))
-        return [self.encode(t) for t in texts]
+        """The ids of each text; runs that are new in a bounded number of texts are learned together."""
+        found: list[bytes] = []
+        for k in range(0, len(texts), 200):
+            split = [t.split() for t in texts[k:k + 200]]
+            self.learn(set().union(*(s for s in split if len(s) <= 10_000)))
+            found += [b"".join(map(self.__getitem__, s)) if len(s) <= 10_000 else None for s in split]
+            for place, s in enumerate(split, k):
+                if found[place] is None:  # may push out what the others have learned, so it comes last
+                    found[place] = self._long(s)
+        return found
 
 
 def _binary(column: pa.Array) -> list[bytes]:
@@ -103,7 +117,7 @@ def train_dictionary(docs: DataFrame, tokenizer_file: str, end_id: int, doc_id:
     source = docs.select(F.col(doc_id).alias("doc_id"), F.substring(text, 1, sample_bytes).alias("text"))
 
     def run(stream):
-        cache = ChunkIds(_tokenizer(tokenizer_file))
+        cache = _chunk_ids(tokenizer_file)
         for batch in stream:
             found = cache.encode_many(_binary(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
@@ -146,7 +160,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, do
                         ("payload", pa.binary()), ("index", pa.list_(entry))])
 
     def run(stream):
-        cache = ChunkIds(_tokenizer(tokenizer_file))
+        cache = _chunk_ids(tokenizer_file)
         pack = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(shared.value)).compress
         end, shard = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         block, total, frames, index, size = 0, 0, [], [], 0
