@@ -40,17 +40,27 @@ def _key(line: Column) -> Column:
     return F.when(bare != "", F.unhex(F.md5(bare)))
 
 
-def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = 0.5, min_pages: int = 4) -> DataFrame:
+def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = 0.5, min_pages: int = 4,
+                copies_once: bool = False) -> DataFrame:
     """Per site, ``keys`` of the lines on more than ``ratio`` of its pages and on ``min_pages`` or more.
 
+    With ``copies_once``, the pages of a site with one text are one page, in the
+    counts of its lines and of its pages.
+
     A site's list is short whatever its size: at most the lines of its average
     page divided by ``ratio``. Counts are summed within tasks before they are shuffled.
     """
-    usable = pages.where(F.col(site).isNotNull()).select(F.col(site).alias("_llm_site"), F.col(text).alias("_llm_text"))
+    lines = F.array_distinct(F.array_compact(F.transform(F.split(F.col(text), "\n"), _key)))
+    usable = pages.where(F.col(site).isNotNull())
+    if copies_once:
+        # Of a text only the keys of its lines are shuffled, and once per task.
+        usable = usable.groupBy(F.col(site).alias("_llm_site"), F.unhex(F.md5(text)).alias("_llm_copy")).agg(
+            F.first(lines).alias("_llm_lines"))
+    else:
+        usable = usable.select(F.col(site).alias("_llm_site"), lines.alias("_llm_lines"))
     totals = usable.groupBy("_llm_site").agg(F.count("*").alias("_llm_total"))
-    lines = F.array_distinct(F.array_compact(F.transform(F.split("_llm_text", "\n"), _key)))
     frequent = (
-        usable.select("_llm_site", F.explode(lines).alias("_llm_line"))
+        usable.select("_llm_site", F.explode("_llm_lines").alias("_llm_line"))
         .groupBy("_llm_site", "_llm_line").agg(F.count("*").alias("_llm_pages"))
         .where(F.col("_llm_pages") >= min_pages)
     )
@@ -58,19 +68,22 @@ def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = 0.5, min_
     return often.groupBy("_llm_site").agg(F.collect_list("_llm_line").alias("_llm_keys"))
 
 
-def drop_boilerplate(pages: DataFrame, site: str, text: str, ratio: float = 0.5, min_pages: int = 4) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, site: str, text: str, ratio: float = 0.5, min_pages: int = 4,
+                     copies_once: bool = False) -> DataFrame:
     """All rows with boilerplate lines taken out of ``text``, and ``n_lines`` and ``n_dropped`` added.
 
     A line counts once per page; lines are compared without the white space at
     their ends. Blank lines are never counted or dropped and do not count as
     ``n_lines``. Rows without a site lose nothing; a null text stays null with
-    zero lines. Repeated rows are pages of their own. A page of which nothing is
+    zero lines. Repeated rows are pages of their own, unless ``copies_once``: then
+    equal texts of a site count as one page, so that copies do not make their own
+    lines boilerplate. A page of which nothing is
     left keeps its row with an empty text. Added columns replace ones of their name.
 
     The list of each site comes to its pages by a join. Pages of one site are
     salted, so that those of a large one are spread; the lists are copied as often.
     """
-    lists = boilerplate(pages, site, text, ratio, min_pages)
+    lists = boilerplate(pages, site, text, ratio, min_pages, copies_once)
     kept = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
     copies = lists.withColumn("_llm_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     salted = pages.select(*kept).withColumn("_llm_salt", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("int"))

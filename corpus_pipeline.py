@@ -1,8 +1,9 @@
 """A training corpus out of raw documents, in stages that are each written and read again.
 
 1. Quality: documents that the rule ensemble rejects go.
-2. Lines: per source, lines on more than a twentieth of its documents go. A source
-   is much wider than one site, so its boilerplate is on a smaller share of it.
+2. Lines: per source, lines on more than a twentieth of its distinct texts go. A source
+   is much wider than one site, so its boilerplate is on a smaller share of it. Copies
+   of a text count once, as they are still there: only the next stage drops them.
 3. Near copies: SimHash of five-word shingles; documents whose fingerprints are
    linked by steps of at most 4 of 64 bits are one group (an agreement of 0.94
    or more a step), of which the smallest id stays.
@@ -38,7 +39,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.drop_boilerplate(docs, "source", "text", LINE_RATIO, LINE_DOCUMENTS)
+    cleaned = line_dedup.drop_boilerplate(docs, "source", "text", LINE_RATIO, LINE_DOCUMENTS, copies_once=True)
     changed = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned.withColumn("n_chars", F.coalesce(changed, "n_chars")).select(*docs.columns)
 

@@ -72,3 +72,18 @@ def test_stages_keep_columns_and_take_odd_rows(spark, sf_dir):
         last = corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir).collect()
         assert all(r.intact for r in last)
         assert not (empty and last)
+
+
+def test_a_group_of_copies_keeps_its_text(spark, sf_dir):
+    """Two groups of copies, each a third of a source or more, leave one whole document each."""
+    texts = ["A river bends\nnear the old mill\nand slows down.", "Bread is baked\nbefore the sun\nhas risen here."]
+    rows = [(k, texts[k % 2], "en", "a", 50) for k in range(40)] + [
+        (100 + k, f"Own text {k} of nobody else\nMenu", "en", "a", 30) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    lines = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, sf_dir).collect()}
+    assert len(lines) == 60
+    assert all(lines[k] == texts[k % 2] for k in range(40))
+    assert all("Menu" not in lines[100 + k] for k in range(20))
+    again = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in lines.items()], docs.schema)
+    kept = {r.doc_id: r.text for r in corpus_pipeline.near_copy_stage(spark, again, sf_dir).collect()}
+    assert kept[0] == texts[0] and kept[1] == texts[1] and not set(range(2, 40)) & set(kept)
