@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibflow.llm.words import ROW, Bloom, Rolling, WordHashes, alnum_words, batches, sliced, texts, with_row
+from bibflow.llm.words import ROW, Bloom, Rolling, WordHashes, alnum_words, batches, numbered, sliced, texts, with_row
 from bibflow.runtime import materialise
 
 _BASE = 0x9E3779B97F4A7C15
@@ -114,10 +114,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, shingle:
     Documents are read once. What is sent to every task is a Bloom filter of at
     most 32 MB of all item shingles, whatever the size of the benchmark; joins follow it.
     """
+    return _judged(with_row(docs), items, window, shingle, share, doc_id, item_id, text)
+
+
+def _judged(rows: DataFrame, items: DataFrame, window: int = 13, shingle: int = 5, share: int = 20,
+            doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     windows = materialise(item_windows(items, window, shingle, item_id, text), "windows")
     hashes = windows.select(F.explode("parts").alias("part")).select("part.hash").distinct()
     sizes = sorted(min(shingle, r.width) for r in windows.select("width").distinct().collect())  # at most ``window`` rows
-    source = with_row(docs).select(ROW, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    source = rows.select(ROW, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     read = materialise(_occurrences(source, Bloom.of(hashes, "hash"), sorted(set(sizes)), window), "occurrences")
     hits = read.select(ROW, "n_words", F.explode("hits").alias("hit")).select(ROW, "n_words", "hit.*")
     start = F.col("pos") - F.col("offset")
@@ -146,5 +151,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, shingle:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    judged = contamination(docs, items, doc_id=doc_id, **options)
-    return with_row(docs).join(judged.where("contaminated").select(ROW), ROW, "left_anti").drop(ROW)
+    rows = numbered(docs)
+    judged = _judged(rows, items, doc_id=doc_id, **options)
+    return rows.join(judged.where("contaminated").select(ROW), ROW, "left_anti").drop(ROW)

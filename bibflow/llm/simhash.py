@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibflow.llm.components import connected_components
-from bibflow.llm.words import ROW, batches, lower_words, texts, with_row
+from bibflow.llm.words import ROW, batches, lower_words, numbered, texts, with_row
 from bibflow.runtime import materialise
 
 SEED = 42
@@ -53,13 +53,17 @@ def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text
     fewer words is one shingle; one without words, null included, has
     fingerprint zero. Only the two columns are read.
     """
+    return _prints(with_row(docs), shingle, doc_id, text)
+
+
+def _prints(rows: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = np.fromiter((fingerprint(t, shingle) for t in texts(batch.column("text"))), np.uint64, batch.num_rows)
         return pa.RecordBatch.from_arrays(
             [batch.column(ROW), batch.column("doc_id"), pa.array(values.view(np.int64))],
             names=[ROW, "doc_id", "fingerprint"])
 
-    source = with_row(docs).select(ROW, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    source = rows.select(ROW, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(batches(run), f"{ROW} bigint, doc_id {kind}, fingerprint bigint")
 
@@ -209,7 +213,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, doc_id:
     graph, so repeated rows and large groups of copies cost no links. Empty
     tables give no rows. ``docs`` should be a stored table: see ``with_row``.
     """
-    prints = materialise(fingerprints(docs, shingle, doc_id, text), "fingerprints")
+    return _judged(with_row(docs), shingle, budget, doc_id, text)
+
+
+def _judged(rows: DataFrame, shingle: int, budget: int, doc_id: str, text: str) -> DataFrame:
+    prints = materialise(_prints(rows, shingle, doc_id, text), "fingerprints")
     nodes = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
     roots = connected_components(trie_links(nodes.select("fingerprint"), budget))
     labelled = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
@@ -225,9 +233,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 4, doc
 
     Ties of ids, and components without ids, keep the row that comes first. All columns are kept.
     """
-    judged = near_duplicates(docs, shingle, budget, doc_id, text)
+    rows = numbered(docs)
+    judged = _judged(rows, shingle, budget, doc_id, text)
     # A component is known by one of its fingerprints' smallest ids; without ids, by its fingerprint.
     group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint"))]
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW).alias("row")))
     stays = judged.groupBy(*group).agg(first.alias("first")).select(F.col("first.row").alias(ROW))
-    return with_row(docs).join(stays, ROW, "left_semi").drop(ROW)
+    return rows.join(stays, ROW, "left_semi").drop(ROW)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibflow.llm.words import ROW, Bloom, Rolling, WordHashes, batches, plain_words, sliced, texts, with_row
+from bibflow.llm.words import ROW, Bloom, Rolling, WordHashes, batches, numbered, plain_words, sliced, texts
 from bibflow.runtime import materialise
 
 PERIOD = 31
@@ -136,12 +136,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
 
     Null and empty texts have no words. Documents of equal id do not count as
     smaller than each other, and a null id is neither smaller nor larger than any,
-    so such rows lose nothing to each other. Rows are judged one by one; ``docs``
-    should be a stored table: see ``with_row``. Windows count as equal by 96-bit hashes.
+    so such rows lose nothing to each other. Rows are judged one by one, by numbers
+    that are written down first with the two columns. Windows count as equal by 96-bit hashes.
     """
     if window < PERIOD:
         raise ValueError(f"a window has {PERIOD} words or more")
-    source = with_row(docs).select(ROW, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    source = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     kind = source.schema["doc_id"].dataType.simpleString()
     starts = materialise(repeated_windows(source, window), "repeats")
 

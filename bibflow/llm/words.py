@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bibflow.runtime import materialise
+
 ROW = "_llm_row"
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -31,6 +33,16 @@ def with_row(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with row numbers, written to the shared folder.
+
+    How files are packed into partitions, and so the number of a row, follows the
+    cores that are there when a scan is planned. Where decisions about rows are
+    joined to the rows again, all steps have to read numbers that are written down.
+    """
+    return materialise(with_row(docs), "numbered")
+
+
 def plain_words(text: bytes | None) -> list[bytes]:
     """Runs without ASCII white space, unchanged."""
     return (text or b"").split()
