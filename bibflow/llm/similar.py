@@ -1,0 +1,153 @@
+"""Texts with much the same shingles, by an exact set-similarity join.
+
+A text is the set of its shingles. Sets are ordered by how common a shingle is,
+rare ones first, and two sets whose Jaccard similarity reaches the threshold
+share one in the first fifth or so of both. Such pairs are compared in full. A
+group is first linked to one member per shingle, and only texts that are not
+connected yet are then taken pair by pair, so a large group costs no square of it.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from bibflow.llm.components import connected_components
+from bibflow.llm.decontaminate import _BASE, _shingles
+from bibflow.llm.substrings import _split
+from bibflow.llm.words import ROW, Bloom, Rolling, WordHashes, batches, lower_words, sliced, texts
+from bibflow.runtime import materialise
+
+_BUCKETS = 1 << 20
+_SAMPLE = 16
+
+
+def shingle_set(text: bytes | None, shingle: int, hashes: WordHashes, rolling: Rolling) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; fewer words than ``shingle`` are one."""
+    words = lower_words(text)
+    return np.unique(_shingles(words, min(shingle, len(words)), hashes, rolling)) if words else np.zeros(0, np.uint64)
+
+
+def _commonness(rows: DataFrame, shingle: int) -> np.ndarray:
+    """For each bucket of hashes, how common it is in a sixteenth of the rows, as a logarithm.
+
+    Any order of shingles gives the same pairs; this one only keeps common shingles out of the prefixes.
+    """
+    def run(stream):
+        hashes, rolling = WordHashes(), Rolling(_BASE)
+        for batch in sliced(stream):
+            sets = [shingle_set(t, shingle, hashes, rolling) for t in texts(batch.column("text"))]
+            bucket, n = np.unique(np.concatenate(sets) & np.uint64(_BUCKETS - 1), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(n)], names=["bucket", "n"])
+
+    sample = rows.where(F.pmod(F.xxhash64(ROW), F.lit(_SAMPLE)) == 0).select("text")
+    counted = sample.mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(_BUCKETS, np.uint8)
+    out[counted["bucket"].to_numpy()] = np.log2(counted["n"].to_numpy() + 1).astype(np.uint8)
+    return out
+
+
+def _prefixes(rows: DataFrame, shingle: int, alike: tuple[int, int]) -> DataFrame:
+    """``_llm_row``, ``n`` (shingles), ``same`` (a hash of the set) and ``prefix`` of each text that has words."""
+    common = rows.sparkSession.sparkContext.broadcast(_commonness(rows, shingle))
+
+    def run(stream):
+        hashes, rolling, weights = WordHashes(), Rolling(_BASE), common.value
+        for batch in sliced(stream):
+            which, sizes, same, lists = [], [], [], []
+            for row, value in zip(batch.column(ROW).to_pylist(), texts(batch.column("text"))):
+                found = shingle_set(value, shingle, hashes, rolling)
+                n = len(found)
+                if not n:
+                    continue
+                order = np.lexsort((found, weights[(found & np.uint64(_BUCKETS - 1)).astype(np.int64)]))
+                which.append(row)
+                sizes.append(n)
+                same.append(xxhash.xxh64_intdigest(found.tobytes()))
+                lists.append(found[order[:n - -(-alike[0] * n // alike[1]) + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(which, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(same, np.uint64).view(np.int64)),
+                 pa.array(lists, pa.list_(pa.int64()))], names=[ROW, "n", "same", "prefix"])
+
+    return rows.select(ROW, "text").mapInArrow(run, f"{ROW} bigint, n int, same bigint, prefix array<bigint>")
+
+
+def _postings(nodes: DataFrame, shared: DataFrame) -> DataFrame:
+    """``_llm_row``, ``n``, ``comp``, ``hash`` and ``pos`` of the shared shingles of the prefixes."""
+    bits = nodes.sparkSession.sparkContext.broadcast(Bloom.of(shared, "hash").words)
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = batch.column("prefix")
+        flat, sizes = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+        pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        has = Bloom(bits.value).has(flat.view(np.uint64))
+        index = pa.array(np.repeat(np.arange(len(sizes)), sizes)[has])
+        return pa.RecordBatch.from_arrays(
+            [*[batch.column(c).take(index) for c in (ROW, "n", "comp")], pa.array(flat[has]), pa.array(pos[has].astype(np.int32))],
+            names=[ROW, "n", "comp", "hash", "pos"])
+
+    maybe = nodes.select(ROW, "n", "comp", "prefix").mapInArrow(
+        batches(keep), f"{ROW} bigint, n int, comp bigint, hash bigint, pos int")
+    return maybe.join(shared, "hash", "left_semi")
+
+
+def _alike(rows: DataFrame, pairs: DataFrame, shingle: int, alike: tuple[int, int]) -> DataFrame:
+    """The edges (a, b) of components of those ``pairs`` of rows (u, v) whose sets are compared and reach the threshold."""
+    ends = materialise(pairs.select(F.explode(F.array("u", "v")).alias(ROW)).distinct(), "ends")
+    near = materialise(_split(rows.select(ROW, "text"), ends)[0], "near")
+
+    def run(stream):
+        hashes, rolling = WordHashes(), Rolling(_BASE)
+        for batch in sliced(stream):
+            reach = []
+            for left, right in zip(texts(batch.column("left")), texts(batch.column("right"))):
+                one, two = (shingle_set(t, shingle, hashes, rolling) for t in (left, right))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                reach.append(both * alike[1] >= alike[0] * (len(one) + len(two) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(reach, pa.bool_()))
+
+    left, right = (near.withColumnsRenamed({ROW: k, "text": t}) for k, t in (("u", "left"), ("v", "right")))
+    return pairs.join(left, "u").join(right, "v").select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_links(rows: DataFrame, comps: DataFrame, shingle: int = 5, alike: tuple[int, int] = (4, 5)) -> DataFrame:
+    """Edges (a, b) between components that connect all texts with a Jaccard similarity of ``alike`` or more.
+
+    ``rows`` is a stored table of ``_llm_row`` and ``text``; ``comps`` has the
+    component of each row that is already known. Texts of one component are not
+    compared. Texts without words are alike to none. Hashes have 64 bits.
+    """
+    sets = materialise(_prefixes(rows, shingle, alike), "prefixes")
+    # Equal sets of one component are one node.
+    first = sets.select(ROW, "same").join(comps, ROW).groupBy("same", "comp").agg(F.min(ROW).alias(ROW))
+    nodes = materialise(sets.join(first.select(ROW, "comp"), ROW), "sets")
+    shared = materialise(
+        nodes.select("comp", F.explode("prefix").alias("hash")).groupBy("hash")
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("hash"), "shared")
+    postings = materialise(_postings(nodes, shared).withColumn("now", F.col("comp")), "postings")
+
+    def paired(one: DataFrame, two: DataFrame, once: str) -> DataFrame:
+        a, b = (x.select("hash", *[F.col(c).alias(f"{c}_{s}") for c in (ROW, "n", "comp", "now", "pos")])
+                for x, s in ((one, "a"), (two, "b")))
+        # The first common shingle has all other common ones behind it in both sets.
+        most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+        enough = most * (alike[0] + alike[1]) >= (F.col("n_a") + F.col("n_b")) * alike[0]
+        ends = F.col(f"{ROW}_a"), F.col(f"{ROW}_b")
+        near = a.join(b, "hash").where(once).where(enough)
+        return materialise(near.select(
+            ends[0].alias("u"), ends[1].alias("v"), F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct(), "pairs")
+
+    star = F.min(F.struct(ROW, "n", "comp", "now", "pos")).alias("star")
+    stars = postings.groupBy("hash").agg(star).select("hash", "star.*")
+    links = materialise(_alike(rows, paired(postings, stars, "now_a != now_b"), shingle, alike).distinct(), "alike")
+    roots = connected_components(links)
+    postings = materialise(postings.drop("now").join(roots.withColumnRenamed("node", "comp"), "comp", "left").select(
+        ROW, "n", "comp", "hash", "pos", F.coalesce("root", "comp").alias("now")), "postings")
+    # A shingle that only one component has left pairs nothing.
+    open_ = postings.groupBy("hash").agg(F.min("now").alias("low"), F.max("now").alias("high")).where("low < high").select("hash")
+    left = materialise(postings.join(open_, "hash", "left_semi"), "open")
+    rest = _alike(rows, paired(left, left, "now_a < now_b"), shingle, alike)
+    return links.unionByName(materialise(rest.distinct(), "alike"))

@@ -4,9 +4,9 @@
 2. Lines: per source, lines on more than a twentieth of its distinct texts go. A source
    is much wider than one site, so its boilerplate is on a smaller share of it. Copies
    of a text count once, as they are still there: only the next stage drops them.
-3. Near copies: SimHash of five-word shingles; documents whose fingerprints are
-   linked by steps of at most 4 of 64 bits are one group (an agreement of 0.94
-   or more a step), of which the smallest id stays.
+3. Near copies: documents are linked if their SimHash fingerprints of five-word
+   shingles differ in at most 4 of 64 bits, or if their sets of five-word shingles
+   have a Jaccard similarity of 0.8 or more. Of each linked group the smallest id stays.
 4. Benchmark: documents of which a twentieth or more lies in benchmark passages go.
 5. Tokens: ids of whole texts, decoded again to check them.
 
@@ -28,7 +28,7 @@ from bibflow.runtime import materialise
 LABELLED_ROWS = 20_000
 QUALITY = 0.3
 LINE_RATIO, LINE_DOCUMENTS = 0.05, 10
-SHINGLE, BITS = 5, 4
+SHINGLE, BITS, ALIKE = 5, 4, (4, 5)
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -46,7 +46,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return simhash.drop_near_duplicates(docs, SHINGLE, BITS)
+    return simhash.drop_near_duplicates(docs, SHINGLE, BITS, alike=ALIKE)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

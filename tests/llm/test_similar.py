@@ -1,0 +1,48 @@
+"""Near copies by Jaccard similarity against brute force."""
+
+import random
+
+import corpus_pipeline
+from tests.llm.test_simhash import brute_components, brute_print
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_kept(docs):
+    sets, prints = {d: shingles(t) for d, t in docs}, {d: brute_print(t, 5) for d, t in docs}
+    ids, links, far = sorted(sets), [], 0
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both, close = len(sets[a] & sets[b]), (prints[a] ^ prints[b]).bit_count() <= 4
+            alike = both > 0 and 5 * both >= 4 * len(sets[a] | sets[b])
+            far += alike and not close
+            if alike or close:
+                links.append((a, b))
+    return {d for d, c in brute_components(links, ids).items() if c == d}, far
+
+
+def test_all_pairs_of_similarity_080(spark, sf_dir):
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(3000)}"
+    docs, base = [], [word() for _ in range(150)]
+    for _ in range(60):  # one large group of edits of a text, about 0.8 similar to each other
+        docs.append([w if rng.random() > 0.012 else word() for w in base])
+    for _ in range(30):  # chains: each an edit of the last
+        last = [word() for _ in range(rng.randrange(5, 120))]
+        for _ in range(4):
+            docs.append(last)
+            last = list(last)
+            last[rng.randrange(len(last))] = word()
+    line = [word() for _ in range(30)]
+    docs += [[word() for _ in range(rng.randrange(1, 9))] + line + [word() for _ in range(rng.randrange(1, 9))] for _ in range(40)]
+    docs += [["a", "b"], ["A", "b"], ["a", "c"], [], docs[70] * 3, docs[70]]
+    rng.shuffle(docs)
+    rows = [(k, " ".join(d), "en", "a", 0) for k, d in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in corpus_pipeline.near_copy_stage(spark, df, sf_dir).collect()}
+    expected, far = brute_kept([r[:2] for r in rows])
+    assert far > 100
+    assert kept == expected
