@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bibflow.llm import ann, byte_bpe, chat, decontaminate, line_dedup, quality, simhash, substrings, token_store, toxicity
+from bibflow.llm import (
+    ann, byte_bpe, chat, decontaminate, line_dedup, quality, simhash, substrings, token_store, toxicity, whitening,
+)
 from bibflow.llm.labelled import held_out
 from bibflow.llm.shipping import ship
 from bibflow.runtime import scratch_path
@@ -228,3 +230,16 @@ def op10_quality(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, _table(spark, sf_dir, "labels"), rows=20_000)
     return _scored(quality.score(docs, model, threshold=0.3))
+
+
+# 12. Embedding whitening
+
+@_query()
+def op12_whitening(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors, components=4)
+    explained = F.array(*[F.lit(float(e)) for e in model.explained]).cast("array<double>")
+    return whitening.transform(vectors, model).select(
+        "vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened")).select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("bigint").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("place")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))

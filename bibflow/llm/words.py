@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,11 +63,30 @@ def texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def sliced(stream: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that what is made of one stays small."""
+def _widths(batch: pa.RecordBatch) -> np.ndarray:
+    """About how many bytes of text and lists each row has."""
+    widths = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        kind = column.type
+        if pa.types.is_list(kind) or pa.types.is_large_list(kind):
+            widths += 8 * pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+            widths += pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    return widths
+
+
+def sliced(stream: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that what is made of one stays small: ``rows`` rows and about ``size`` bytes at most.
+
+    A single row of more bytes is a batch of its own.
+    """
     for batch in stream:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        ends, start = np.cumsum(_widths(batch)), 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + size, side="right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def batches(function: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
