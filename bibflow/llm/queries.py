@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bibflow.llm import (
-    ann, byte_bpe, chat, decontaminate, line_dedup, quality, simhash, substrings, token_store, toxicity, whitening,
+    alignment, ann, byte_bpe, chat, decontaminate, line_dedup, quality, simhash, substrings, token_store, toxicity, whitening,
 )
 from bibflow.llm.labelled import held_out
 from bibflow.llm.shipping import ship
@@ -243,3 +243,15 @@ def op12_whitening(spark, sf_dir):
         "vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened")).select(
         "vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("bigint").alias("n"), "deviation", "whitened",
         F.get(explained, F.col("place")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+# 13. Cross-tokenizer alignment
+
+BYTE_TOKENIZER, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+@_query()
+def op13_alignment(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.cross_align(docs, public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_MODEL)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
