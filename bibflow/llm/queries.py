@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bibflow.llm import (
-    alignment, ann, byte_bpe, chat, decontaminate, line_dedup, quality, simhash, substrings, token_store, toxicity, whitening,
+    alignment, ann, byte_bpe, chat, decontaminate, line_dedup, perplexity, quality, simhash, substrings, token_store, toxicity,
+    whitening,
 )
 from bibflow.llm.labelled import held_out
 from bibflow.llm.shipping import ship
@@ -255,3 +256,11 @@ def op13_alignment(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return alignment.cross_align(docs, public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_MODEL)).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+# 11. Quality rules
+
+@_query()
+def op11_quality_rules(spark, sf_dir):
+    judged = perplexity.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.select("doc_id", *perplexity._STATS, "base_failed", "kept")
