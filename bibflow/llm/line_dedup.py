@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bibflow.plans.skew import KEY, ROWS, sliced_join
+from bibflow.runtime import materialise
+
 #: Tags that begin or end a line of text. Fixed values.
 BLOCK_TAGS = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 #: Entities that are decoded, in this order. Fixed values.
 ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("nbsp", " "), ("amp", "&"))
 
-_SALTS = 32
-
-
 def host_of(url: Column) -> Column:
     """The host of an address in lower case; null if there is none."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
@@ -59,8 +59,9 @@ def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = 0.5, min_
     else:
         usable = usable.select(F.col(site).alias("_llm_site"), lines.alias("_llm_lines"))
     totals = usable.groupBy("_llm_site").agg(F.count("*").alias("_llm_total"))
+    # Of an inner explode Spark makes a filter on the array's size, which works out all texts again.
     frequent = (
-        usable.select("_llm_site", F.explode("_llm_lines").alias("_llm_line"))
+        usable.select("_llm_site", F.explode_outer("_llm_lines").alias("_llm_line")).where("_llm_line IS NOT NULL")
         .groupBy("_llm_site", "_llm_line").agg(F.count("*").alias("_llm_pages"))
         .where(F.col("_llm_pages") >= min_pages)
     )
@@ -80,16 +81,16 @@ def drop_boilerplate(pages: DataFrame, site: str, text: str, ratio: float = 0.5,
     lines boilerplate. A page of which nothing is
     left keeps its row with an empty text. Added columns replace ones of their name.
 
-    The list of each site comes to its pages by a join. Pages of one site are
-    salted, so that those of a large one are spread; the lists are copied as often.
+    The list of each site comes to its pages by a join. Sites with very many pages
+    are cut into slices by their counts, and their list is copied per slice.
+    Names that begin with ``_llm_`` or an underscore and ``key`` are this operator's own: such columns are dropped.
     """
-    lists = boilerplate(pages, site, text, ratio, min_pages, copies_once)
-    kept = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
-    copies = lists.withColumn("_llm_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    salted = pages.select(*kept).withColumn("_llm_salt", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("int"))
-    joined = salted.join(
-        copies.withColumnRenamed("_llm_salt", "_llm_copy"),
-        (F.col(site) == F.col("_llm_site")) & (F.col("_llm_salt") == F.col("_llm_copy")), "left")
+    kept = [c for c in pages.columns if c not in ("n_lines", "n_dropped", KEY) and not c.startswith("_llm_")]
+    pages = pages.select(*kept)
+    lists = materialise(boilerplate(pages, site, text, ratio, min_pages, copies_once), "lines")
+    counts = pages.where(F.col(site).isNotNull()).groupBy(F.col(site).alias(KEY)).agg(F.count("*").alias(ROWS))
+    joined = sliced_join(
+        pages.withColumn(KEY, F.col(site)), lists.withColumnRenamed("_llm_site", KEY), "left", counts)
     lines = F.split(F.col(text), "\n")
     left = F.when(F.col("_llm_keys").isNull(), lines).otherwise(
         F.filter(lines, lambda line: ~F.coalesce(F.array_contains("_llm_keys", _key(line)), F.lit(False))))
