@@ -36,9 +36,11 @@ LOWER, UPPER = 8.0, 8.0
 LEAST_WORDS, REPEAT_PERCENT, REPEAT_WIDTH = 50, 50, 3
 SYMBOLS = b"#*$%&|<>"
 _GRID = 256  # steps of a bit in which medians are taken
-_CHUNK, _BUFFER, _BLOCK = 1 << 20, 2_000_000, 200_000
+_CHUNK, _BUFFER, _BLOCK = 1 << 18, 600_000, 100_000
+_BATCH = 1 << 20  # bytes of text that a task looks at together
 _LOW = np.frombuffer(_LOWER, np.uint8)
 _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_IN_WORD = (np.arange(256) & 0xC0 != 0x80) & ~_SPACE
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 _BASE = 0x9E3779B97F4A7C15
 
@@ -76,7 +78,7 @@ def _counted(docs: DataFrame, order: int) -> DataFrame:
     """``run`` (its half in the bit above its bytes) and ``n`` of the texts in ``docs`` (``_llm_hash``, ``text``)."""
     def run(stream):
         held, size = [], 0
-        for batch in sliced(stream, rows=4096):
+        for batch in sliced(stream, rows=4096, size=_BATCH):
             flat, starts = _flat(batch.column("text"))
             half = _halves(batch.column("_llm_hash")).astype(np.uint64) << np.uint64(8 * order)
             for begin, end, runs in _runs(flat, starts, order):
@@ -187,6 +189,13 @@ def run_probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return known.select((1 - F.col("half")).alias("half"), "run", F.log2("p").cast("float").alias("logp"))
 
 
+def _per_text(marked: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many bytes of each text are marked."""
+    upto = np.zeros(len(marked) + 1, np.int32 if len(marked) < 1 << 31 else np.int64)
+    np.cumsum(marked, out=upto[1:])
+    return np.diff(upto[starts])
+
+
 def _text_stats(values: list[bytes | None], hashes: WordHashes, rolling: Rolling) -> tuple[list[int], ...]:
     n_words, dup_lines, repeated = [], [], []
     for value in values:
@@ -226,10 +235,9 @@ def _measured(docs: DataFrame, table: DataFrame | None, order: int) -> DataFrame
 
     def run(stream):
         hashes, rolling = WordHashes(), Rolling(_BASE)
-        for batch in sliced(stream, rows=4096):
+        for batch in sliced(stream, rows=4096, size=_BATCH):
             flat, starts = _flat(batch.column("text"))
             bits = np.zeros(batch.num_rows)
-            counts = [np.zeros(len(flat) + 1, np.int64) for _ in range(2)]
             if sent is not None:
                 known, logp = sent.value
                 half = _halves(batch.column("_llm_hash")).astype(np.uint64) << np.uint64(8 * order)
@@ -238,9 +246,7 @@ def _measured(docs: DataFrame, table: DataFrame | None, order: int) -> DataFrame
                     codes, found = pd.factorize(runs | half[at])
                     bits -= np.bincount(at, logp[np.searchsorted(known, found)][codes].astype(np.float64), batch.num_rows)
             # Code points are bytes that begin one; those of words are not white space.
-            for total, table in zip(counts, ((np.arange(256) & 0xC0 != 0x80) & ~_SPACE, _SYMBOL)):
-                np.cumsum(table[flat], out=total[1:])
-            chars, symbols = (np.diff(total[starts]) for total in counts)
+            chars, symbols = (_per_text(wanted[flat], starts) for wanted in (_IN_WORD, _SYMBOL))
             n_words, dup_lines, repeated = _text_stats(texts(batch.column("text")), hashes, rolling)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in kept],
@@ -255,7 +261,7 @@ def _joined(docs: DataFrame, table: DataFrame, order: int) -> DataFrame:
     source = materialise(with_row(docs), "numbered")
 
     def run(stream):
-        for batch in sliced(stream, rows=4096):
+        for batch in sliced(stream, rows=4096, size=_BATCH):
             flat, starts = _flat(batch.column("text"))
             half = _halves(batch.column("_llm_hash"))
             for begin, end, runs in _runs(flat, starts, order):
