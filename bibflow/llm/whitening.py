@@ -209,7 +209,7 @@ def _spectra(fit: DataFrame, width: int) -> DataFrame:
 
 def _merged(spectra: DataFrame, width: int) -> tuple[Spectrum, np.ndarray]:
     """All spectra as one, some at a time in a tree, so no task and not the driver holds many."""
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         table = table.sort_by("place")
         whole, sums = Spectrum.empty(width), np.zeros(width, np.int64)
         for row in table.to_pylist():

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from bibflow.llm import queries, whitening
 from bibflow.llm.whitening import Spectrum, rank_one
@@ -135,6 +136,27 @@ def test_other_columns_stay(spark):
     assert {(r.n, len(r.whitened)) for r in out.collect()} == {("a", 2)}
 
 
+def test_many_partitions(spark):
+    """Spectra of over eight partitions are merged in more than one step."""
+    rng = np.random.default_rng(8)
+    rows = [(k, [float(c) for c in row]) for k, row in enumerate(rng.normal(size=(200, 5)))]
+    path = whitening.materialise(
+        spark.createDataFrame(rows, "vec_id bigint, x array<double>").repartition(20).select(whitening._scaled(F.col("x")).alias("x")), "test")
+    spark.conf.set("spark.sql.files.minPartitionNum", "20")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        spectra = whitening._spectra(path, 5)
+        assert spectra.count() > 8
+        whole, sums = whitening._merged(spectra, 5)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    x = np.floor(np.array([v for _, v in rows]) * 256)
+    centred = x - x.mean(0)
+    assert whole.n == 200 and sums.tolist() == x.sum(0).astype(int).tolist()
+    assert np.allclose(whole.vectors @ np.diag(whole.values) @ whole.vectors.T, centred.T @ centred)
+
+
 def test_large_numbers(spark):
     df = spark.createDataFrame([(k, [1e9 * k, -1e9]) for k in range(4)], "vec_id bigint, embedding array<double>")
     model = whitening.fit(df)
