@@ -12,12 +12,15 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 from collections.abc import Callable
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
+import tiktoken
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +32,8 @@ from bibflow.llm.words import ROW, sliced, with_row
 from bibflow.runtime import materialise
 
 PIECE_CHARS = 1 << 18
+#: How byte-level tokenizers cut a text before their merges. Fixed value.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The mark of a space in pieces. Fixed value.
 SPACE = "▁"
 #: Pairs that are sent to all tasks as sorted arrays of 16 bytes a pair; more are joined.
@@ -56,6 +61,30 @@ class _Side:
         self.told = np.array([f"{k}{mark}" for mark in ",|;" for k in range(len(tokens))], dtype=object)
 
 
+def _ranks(file: str, tokens: list[bytes]) -> dict[bytes, int] | None:
+    """Tokens and ids as ranks, if that is all there is to the file: plain byte-level merges in the order of their ids."""
+    with open(file, encoding="utf-8") as lines:
+        told = json.load(lines)
+    model, cut = told["model"], told["pre_tokenizer"] or {}
+    plain = (
+        model["type"] == "BPE" and told["normalizer"] is None and cut.get("type") == "ByteLevel"
+        and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")))
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]] if plain else []
+    ids = [model["vocab"].get(a + b) for a, b in pairs]
+    if not plain or ids != list(range(256, 256 + len(ids))):
+        return None
+    return {t: k for k, t in enumerate(tokens[:256 + len(ids)])}
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 @functools.lru_cache(maxsize=2)
 def _byte_level(file: str) -> _Side:
     tokenizer = Tokenizer.from_file(file)
@@ -64,12 +93,21 @@ def _byte_level(file: str) -> _Side:
     tokens = [b""] * (max(vocabulary.values()) + 1)
     for token, k in vocabulary.items():
         tokens[k] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+    ranks = _ranks(file, tokens)
+    quick = ranks and tiktoken.Encoding("local", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(texts: list[str]) -> list[list[int]]:
         # Long texts are encoded by pieces that no token spans.
         pieces = [list(split_safely(" " + t, PIECE_CHARS)) for t in texts]
-        found = iter(tokenizer.encode_batch_fast([p for ps in pieces for p in ps], add_special_tokens=False))
-        return [[k for _ in ps for k in next(found).ids] if len(ps) > 1 else next(found).ids for ps in pieces]
+        flat = [p for ps in pieces for p in ps]
+        # Both libraries have the same merges. Only letters that every Unicode version classes
+        # alike are left to the quicker one.
+        own = [k for k, p in enumerate(flat) if not (quick and _latin(p))]
+        found: list = [None] * len(flat)
+        for k, ids in zip(own, tokenizer.encode_batch_fast([flat[k] for k in own], add_special_tokens=False)):
+            found[k] = ids.ids
+        each = iter(quick.encode_to_numpy(p, disallowed_special=()) if f is None else f for p, f in zip(flat, found))
+        return [np.concatenate([next(each) for _ in ps]) if len(ps) > 1 else next(each) for ps in pieces]
 
     return _Side(tokens, encode)
 
@@ -100,15 +138,15 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     list_a, list_b = ends_a.tolist(), ends_b.tolist()
     index_a, index_b = dict(zip(list_a, range(len(list_a)))), dict(zip(list_b, range(len(list_b))))
     common = sorted(index_a.keys() & index_b.keys())
-    cut_a = np.fromiter(map(index_a.__getitem__, common), np.int64, len(common))
-    cut_b = np.fromiter(map(index_b.__getitem__, common), np.int64, len(common))
+    cut_a, cut_b = (np.array([*itemgetter(*common, common[-1])(index)][:-1]) for index in (index_a, index_b))
     size_a, size_b = np.diff(cut_a, prepend=-1), np.diff(cut_b, prepend=-1)
     group_a, group_b = np.repeat(np.arange(len(common)), size_a), np.repeat(np.arange(len(common)), size_b)
     # A slice of m and n tokens has m + n - 1 stretches, as only its last end is shared.
-    inner = np.ones(len(ends_b), bool)
-    inner[cut_b] = False
-    stretches = np.sort(np.concatenate([ends_a, ends_b[inner]]))
-    return group_a, group_b, np.searchsorted(ends_a, stretches), np.searchsorted(ends_b, stretches)
+    at_a, at_b = np.zeros(list_a[-1] + 1, np.int8), np.zeros(list_a[-1] + 1, np.int8)
+    at_a[ends_a] = at_b[ends_b] = 1
+    stretches = np.flatnonzero(at_a | at_b)
+    before_a, before_b = (np.cumsum(at, dtype=np.int32)[stretches] - at[stretches] for at in (at_a, at_b))
+    return group_a, group_b, before_a, before_b
 
 
 def _told(one: _Side, two: _Side, ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> str:
@@ -124,8 +162,8 @@ def _told(one: _Side, two: _Side, ids_a: np.ndarray, ids_b: np.ndarray, group_a:
 _NOTHING = (0, 0, 0, 0, "", b"")
 
 
-def _aligned(one: _Side, two: _Side, text: bytes, a: list[int], b: list[int], squeeze) -> tuple:
-    ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+def _aligned(one: _Side, two: _Side, text: bytes, a, b, squeeze) -> tuple:
+    ids_a, ids_b = np.asarray(a, np.int64), np.asarray(b, np.int64)
     if b"".join(one.bytes[ids_a].tolist()) != text or b"".join(two.bytes[ids_b].tolist()) != text:
         return _NOTHING
     group_a, group_b, at_a, at_b = align(np.cumsum(one.sizes[ids_a]), np.cumsum(two.sizes[ids_b]))

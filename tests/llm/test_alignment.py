@@ -120,6 +120,17 @@ def test_odd_rows(spark, most_pairs):
     assert found == brute(rows)
 
 
+def test_both_libraries_give_the_same_ids():
+    """Every pair of characters that the quicker one may get, after letters, digits, marks and spaces."""
+    side = alignment._byte_level(FILES[0])
+    tokenizer = Tokenizer.from_file(FILES[0])
+    tokenizer.encode_special_tokens = True
+    texts = ["".join(f"a{chr(x)}{chr(y)} {chr(x)}{chr(y)}1{chr(x)}.{chr(y)}\n" for y in range(256)) for x in range(256)]
+    assert all(alignment._latin(t) for t in texts)
+    assert [list(ids) for ids in side.encode(texts)] == [
+        e.ids for e in tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+
 def test_long_text_by_pieces(spark, monkeypatch):
     words = ["alpha", "b", "Café!", "42nd", "x-y", "\n", "", "tail's", "▁"]
     rng = np.random.default_rng(1)
