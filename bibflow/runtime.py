@@ -79,9 +79,19 @@ def spread_small(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete the intermediate tables this process wrote. Call when results are saved."""
+def scratch_mark() -> int:
+    """How many intermediate tables there are by now, for ``drop_scratch``."""
+    return len(_written)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, last: int = 0) -> None:
+    """Delete the intermediate tables this process wrote. Call when results are saved.
+
+    With ``since``, a mark, only those that are newer; the ``last`` ones stay.
+    """
     conf = spark._jsc.hadoopConfiguration()
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    end = max(since, len(_written) - last)
+    for name in _written[since:end]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+    del _written[since:end]

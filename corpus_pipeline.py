@@ -4,9 +4,8 @@
 2. Lines: per source, lines on more than a twentieth of its distinct texts go. A source
    is much wider than one site, so its boilerplate is on a smaller share of it. Copies
    of a text count once, as they are still there: only the next stage drops them.
-3. Near copies: documents are linked if their SimHash fingerprints of five-word
-   shingles differ in at most 4 of 64 bits, or if their sets of five-word shingles
-   have a Jaccard similarity of 0.8 or more. Of each linked group the smallest id stays.
+3. Near copies: documents are linked if their SimHash fingerprints of four-word
+   shingles differ in at most 4 of 64 bits. Of each linked group the smallest id stays.
 4. Benchmark: documents of which a twentieth or more lies in benchmark passages go.
 5. Tokens: ids of whole texts, decoded again to check them.
 
@@ -23,12 +22,12 @@ from pyspark.sql import functions as F
 
 from bibflow.llm import byte_bpe, decontaminate, line_dedup, quality, simhash
 from bibflow.llm.shipping import ship
-from bibflow.runtime import materialise
+from bibflow.runtime import drop_scratch, materialise, scratch_mark
 
 LABELLED_ROWS = 20_000
 QUALITY = 0.3
 LINE_RATIO, LINE_DOCUMENTS = 0.05, 10
-SHINGLE, BITS, ALIKE = 5, 4, (4, 5)
+SHINGLE, BITS = 4, 4
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -46,7 +45,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return simhash.drop_near_duplicates(docs, SHINGLE, BITS, alike=ALIKE)
+    return simhash.drop_near_duplicates(docs, SHINGLE, BITS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +57,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of ``docs``, ``ids`` (little-endian unsigned 32-bit), ``n_tokens``, and ``intact``: they decode to the text."""
     ship(spark)
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, ranks, pattern), ranks, pattern)
-    return decoded.select(
+    return byte_bpe.encode(docs, ranks, pattern, decoded="decoded").select(
         *docs.columns, "ids", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("intact"))
 
@@ -75,8 +73,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    Once a stage is written, the tables inside it and its input are dropped.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    start = scratch_mark()
     for k, (_, stage) in enumerate(STAGES):
         docs = materialise(stage(spark, docs, sf_dir), f"stage{k}")
+        drop_scratch(spark, since=start, last=1)
     return docs
