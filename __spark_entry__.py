@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
-from importlib.util import find_spec
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -821,11 +820,11 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def _text_training():
     """The queries of the text-training package, where it is installed."""
-    # Looked up in this order: a missing package has no modules to look for.
-    if any(find_spec(m) is None for m in ("corpus_pipeline", "bibflow.llm", "bibflow.llm.queries")):
+    try:
+        import corpus_pipeline
+        from bibflow.llm.queries import QUERIES, SQL
+    except ImportError:  # the package, or a library that it needs, is not there
         return {}, {}
-    import corpus_pipeline
-    from bibflow.llm.queries import QUERIES, SQL
 
     sql = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
     return {**QUERIES, "pipeline": corpus_pipeline.run}, {**SQL, **sql}
