@@ -166,7 +166,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
 
     Candidates are all rows but those with the query's id; ties go to the smaller
     id. Vectors that are null, all zero or hold a null or non-finite component,
-    or whose length is not that of the sample's first, take no part, and neither
+    or whose length is not the one that most have (the larger of equals), take no part, and neither
     do rows without an id; rows repeated in full count once.
 
     The router is fitted on ``sample_rows`` rows at most, those with the smallest
@@ -178,13 +178,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     spark = vectors.sparkSession
     base = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("vector"), is_query.alias("asks")).where(
         F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(sample_rows).select("vector").toArrow()["vector"]
-    rows = sample.to_pylist()
-    width = len(rows[0]) if rows else 1
-    x = np.unique(np.array([r for r in rows if len(r) == width], np.float64).reshape(-1, width), axis=0)
+    lengths = base.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
+    width, total = (lengths["width"], lengths["count"]) if lengths else (0, 0)
     base = base.where(F.size("vector") == width)
+    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(sample_rows).select("vector").toArrow()["vector"]
+    x = np.unique(np.array(sample.to_pylist(), np.float64).reshape(-1, max(1, width)), axis=0)
     parts = 1
-    while parts < most_parts and parts * part_rows < base.count():
+    while parts < most_parts and parts * part_rows < total:
         parts *= 2
     shared = spark.sparkContext.broadcast(fit_router(x, parts, recall=recall))
 

@@ -18,6 +18,9 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from bibflow.llm.words import sliced
+
+_BATCH = 1 << 20  # bytes of text that a task holds as Python objects
 # White space after anything else starts a match of its own, and so do punctuation after an ASCII
 # letter and an ASCII letter after a digit. Only characters that all Unicode versions class alike.
 _SAFE = regex.compile(r"(?<=[^\s])(?=[ \n\t])|(?<=[A-Za-z])(?=[!-/:-@0-9])|(?<=[0-9])(?=[A-Za-z])")
@@ -53,23 +56,32 @@ def _schema(df: DataFrame, name: str) -> T.StructType:
 
 
 def encode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", to: str = "ids",
-           piece_chars: int = 1 << 16) -> DataFrame:
+           piece_chars: int = 1 << 16, decoded: str | None = None) -> DataFrame:
     """Add the ids of ``text`` as little-endian unsigned 32-bit integers.
 
     Every match of ``pattern`` is encoded by itself; the texts of special tokens
     are ordinary text. A null or empty text has no ids. All other columns pass
     through; one already named ``to`` is replaced. Rows need no key and may
-    repeat. No shuffle: each row is encoded where it is read.
+    repeat. No shuffle: each row is encoded where it is read. With ``decoded``, a
+    column of that name gets the bytes that the ids stand for, in the same pass.
     """
     def run(stream):
         encoding = _encoding(ranks_file, pattern)
-        for batch in stream:
+        for batch in sliced(stream, size=_BATCH):
             encoded = []
             for value in batch.column(text).to_pylist():
                 parts = split_safely(value or "", piece_chars)
                 encoded.append(b"".join(np.array(encoding.encode_ordinary(p), "<u4").tobytes() for p in parts))
-            yield _with_column(batch, to, encoded)
-    return docs.mapInArrow(run, _schema(docs, to))
+            batch = _with_column(batch, to, encoded)
+            yield batch if decoded is None else _with_column(batch, decoded, _decoded(encoding, encoded))
+    schema = _schema(docs, to)
+    if decoded is not None:
+        schema = T.StructType([f for f in schema if f.name != decoded] + [T.StructField(decoded, T.BinaryType())])
+    return docs.mapInArrow(run, schema)
+
+
+def _decoded(encoding: tiktoken.Encoding, values: list[bytes | None]) -> list[bytes | None]:
+    return [None if v is None else encoding.decode_bytes(np.frombuffer(v, "<u4").tolist()) for v in values]
 
 
 def decode(docs: DataFrame, ranks_file: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -79,8 +91,6 @@ def decode(docs: DataFrame, ranks_file: str, pattern: str, ids: str = "ids", to:
     """
     def run(stream):
         encoding = _encoding(ranks_file, pattern)
-        for batch in stream:
-            values = batch.column(ids).to_pylist()
-            yield _with_column(batch, to, [
-                None if v is None else encoding.decode_bytes(np.frombuffer(v, "<u4").tolist()) for v in values])
+        for batch in sliced(stream, size=_BATCH):
+            yield _with_column(batch, to, _decoded(encoding, batch.column(ids).to_pylist()))
     return docs.mapInArrow(run, _schema(docs, to))

@@ -17,10 +17,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, d
 
     They are those with the smallest hash of their id, so the sample depends on
     nothing but the labels. The list of ids is bounded and is sent to the
-    documents. Null ids and labels take no part; of repeated labels the largest counts.
+    documents. Null ids and labels take no part; of repeated labels the largest counts, and of
+    documents with one id the smallest text, so there are never more rows than ids.
     """
     usable = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where(
         "doc_id IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return source.join(F.broadcast(chosen), "doc_id")
+    return source.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select(
+        "doc_id", "text", "label")

@@ -15,7 +15,7 @@ from bibflow.llm import (
 )
 from bibflow.llm.labelled import held_out
 from bibflow.llm.shipping import ship
-from bibflow.runtime import scratch_path
+from bibflow.runtime import materialise, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -138,6 +138,8 @@ def op4_line_dedup(spark, sf_dir):
     """The text of every page without the lines that over half of its host's pages share."""
     pages = _table(spark, sf_dir, "pages").select(
         "page_id", line_dedup.host_of(F.col("url")).alias("host"), line_dedup.page_text(F.col("html")).alias("content"))
+    # Lines are counted and then dropped: the texts of pages are worked out once.
+    pages = materialise(pages, "texts")
     cleaned = line_dedup.drop_boilerplate(pages, "host", "content", LINE_RATIO, LINE_PAGES)
     return cleaned.select("page_id", "host", "n_lines", "n_dropped", F.sha2("content", 256).alias("kept_sha256"))
 
@@ -203,9 +205,8 @@ BYTE_RANKS = "byte_bpe_50k.tiktoken"
 @_query()
 def op8_byte_bpe(spark, sf_dir):
     ranks, pattern = public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
-    decoded = byte_bpe.decode(encoded.select("doc_id", "ids"), ranks, pattern)
-    return decoded.select(
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.encode(docs, ranks, pattern, decoded="decoded").select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

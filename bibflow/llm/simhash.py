@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibflow.llm.components import connected_components
-from bibflow.llm.similar import similar_links
 from bibflow.llm.words import ROW, batches, lower_words, numbered, texts, with_row
 from bibflow.runtime import materialise
 
@@ -217,34 +216,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, doc_id:
     return _judged(with_row(docs), shingle, budget, doc_id, text)
 
 
-def _judged(rows: DataFrame, shingle: int, budget: int, doc_id: str, text: str,
-            alike: tuple[int, int] | None = None) -> DataFrame:
+def _judged(rows: DataFrame, shingle: int, budget: int, doc_id: str, text: str) -> DataFrame:
     prints = materialise(_prints(rows, shingle, doc_id, text), "fingerprints")
     nodes = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
     roots = connected_components(trie_links(nodes.select("fingerprint"), budget))
     labelled = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
         "fingerprint", F.coalesce("root", "fingerprint").alias("root"), "first")
-    if alike is not None:
-        labelled = materialise(labelled, "labelled")
-        comps = prints.join(labelled, "fingerprint").select(ROW, F.col("root").alias("comp"))
-        links = similar_links(rows.select(ROW, F.col(text).alias("text")), comps, shingle, alike)
-        wider = connected_components(links).withColumnsRenamed({"root": "wider", "node": "root"})
-        labelled = labelled.join(wider, "root", "left").select("fingerprint", F.coalesce("wider", "root").alias("root"), "first")
     smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = labelled.join(smallest, "root").select("fingerprint", "component_id")
     return prints.join(of_print, "fingerprint").select(ROW, "doc_id", "fingerprint", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 4, doc_id: str = "doc_id",
-                         text: str = "text", alike: tuple[int, int] | None = None) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, doc_id: str = "doc_id",
+                         text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest id stays.
 
-    With ``alike``, a fraction, texts whose sets of shingles have that Jaccard
-    similarity or more are linked as well, however far apart their fingerprints.
     Ties of ids, and components without ids, keep the row that comes first. All columns are kept.
     """
     rows = numbered(docs)
-    judged = _judged(rows, shingle, budget, doc_id, text, alike)
+    judged = _judged(rows, shingle, budget, doc_id, text)
     # A component is known by one of its fingerprints' smallest ids; without ids, by its fingerprint.
     group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint"))]
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW).alias("row")))

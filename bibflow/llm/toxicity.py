@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bibflow.llm.labelled import labelled_sample
-from bibflow.llm.words import alnum_words, texts
+from bibflow.llm.words import alnum_words, sliced, texts
 from bibflow.runtime import materialise
 
 #: Names of groups; within a line, one can stand for another in a sentence. Replace as needed.
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text: s
 
     def run(stream):
         model = shared.value
-        for batch in stream:
+        for batch in sliced(stream):
             logits = pa.array([model.logit(t) for t in texts(batch.column(text))], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, logits], names=[*batch.schema.names, "_llm_logit"])
 

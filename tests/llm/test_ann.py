@@ -76,3 +76,17 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id bigint, embedding array<float>, part string")
     assert results(ann.search(df, F.col("vec_id") % 20 == 0)) == brute(rows, 20, lambda i: i % 20 == 0)
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_one_ragged_row_takes_no_part(spark):
+    """Whichever row is of another length, the others are searched."""
+    ship(spark)
+    rng = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((21, 3)))]
+    for odd in range(1, 20, 3):
+        some = [(i, v[:2] if i == odd else v) for i, v in rows]
+        df = spark.createDataFrame(some, "vec_id bigint, embedding array<double>")
+        found = results(ann.search(df, F.col("vec_id") % 20 == 0, k=4))
+        assert found.keys() == {0, 20}
+        expected = brute([r for r in some if r[0] != odd], 4, lambda i: i % 20 == 0)
+        assert {q: [i for i, _ in near] for q, near in found.items()} == {q: [i for i, _ in near] for q, near in expected.items()}

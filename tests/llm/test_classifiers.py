@@ -101,3 +101,11 @@ def test_labels_and_other_columns_do_not_matter(spark, sf_dir):
     a = quality.score(docs, model).select("doc_id", "score").collect()
     b = quality.score(other, model).select((-F.col("doc_id")).alias("doc_id"), "score").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_sample_has_a_row_per_id(spark):
+    docs = spark.range(500).selectExpr("1L AS doc_id", "concat('text ', id) AS text").unionByName(
+        spark.range(2, 40).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text"))
+    labels = docs.select("doc_id").distinct().selectExpr("doc_id", "1 AS toxic")
+    rows = labelled_sample(docs, labels, "toxic", 10).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) == 10

@@ -44,7 +44,7 @@ def test_rows_equal_brute_force(spark, sf_dir, tables):
                 d["text"] = "\n".join(left)
                 d["n_chars"] = len(d["text"])
 
-    groups = brute_query([(d["doc_id"], d["text"]) for d in kept], shingle=5)
+    groups = brute_query([(d["doc_id"], d["text"]) for d in kept], shingle=4)
     kept = [d for d in kept if groups[d["doc_id"]][1] == d["doc_id"]]
     bad = {r[0] for r in brute_contamination([(d["doc_id"], d["text"]) for d in kept], items) if r[5]}
     kept = [d for d in kept if d["doc_id"] not in bad]
