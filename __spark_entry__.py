@@ -699,15 +699,17 @@ def csv_malformed(spark, sf_dir):
 
 
 @_query(f"""
-    SELECT source, title, pmid, abstract, 0 AS bad_files FROM ({_PUBMED_SQL}) WHERE (CAST(pmid AS BIGINT) // 200) % 3 <> 1
+    SELECT source, title, pmid, abstract, 0 AS bad_files, 0 AS bad_records FROM ({_PUBMED_SQL})
     UNION ALL
-    SELECT NULL, NULL, NULL, NULL, CAST(count(DISTINCT doc_id // 200) AS INT) FROM documents WHERE (doc_id // 200) % 3 = 1""")
+    SELECT NULL, NULL, NULL, NULL, CAST(count(DISTINCT doc_id // 200) AS INT), CAST(count(DISTINCT doc_id // 200) AS INT)
+    FROM documents WHERE (doc_id // 200) % 3 = 1""")
 def pubmed_malformed(spark, sf_dir):
-    """Files with a fault are set apart as a whole; no empty records come of them."""
+    """Records that are cut off are set apart; all others of their files are read."""
     good, bad = pubmed.split_malformed(spark, landed.pubmed_files(documents(spark, sf_dir), broken=True))
     kept = ["source", "title", "pmid", "abstract"]
-    count = bad.agg(F.count("*").cast("int").alias("bad_files"))
-    return good.select(*kept, F.lit(0).alias("bad_files")).unionByName(count, allowMissingColumns=True)
+    count = bad.agg(F.countDistinct("file").cast("int").alias("bad_files"), F.count("*").cast("int").alias("bad_records"))
+    none = F.lit(0)
+    return good.select(*kept, none.alias("bad_files"), none.alias("bad_records")).unionByName(count, allowMissingColumns=True)
 
 
 @_query(f"""

@@ -22,7 +22,7 @@ from bibflow.runtime import drop_scratch, session
 from bibflow.schema import Params
 from bibflow.sources.delimited import read_exports, read_ieee, read_table
 from bibflow.sources.listing import read_listing
-from bibflow.sources.pubmed import read_bodies, read_pubmed, split_errors, split_malformed
+from bibflow.sources.pubmed import read_pubmed, split_malformed
 from bibflow.sources.strategy import read_search_types, read_syntax, read_terms
 
 
@@ -31,15 +31,11 @@ def build(spark, args, params, stamp):
     if args.ieee:
         sources.append(read_ieee(spark, args.ieee))
     if args.pubmed:
-        failed = split_errors(read_bodies(spark, args.pubmed))[1].select("file", "details")
         if args.rejected:
-            records, malformed = split_malformed(spark, args.pubmed)
-            sinks.write_rejected(failed.unionByName(malformed), args.rejected, stamp)
+            records, faults = split_malformed(spark, args.pubmed)
+            sinks.write_rejected(faults, args.rejected, stamp)
             sources.append(records)
-        else:
-            error = failed.first()
-            if error is not None:
-                raise SystemExit(f"{error['file']} holds an error ({error['details']}); go on without such files with --rejected")
+        else:  # a fault stops the run and names its file; --rejected goes on without
             sources.append(read_pubmed(spark, args.pubmed))
     if bool(args.acm_pages) != bool(args.acm_details):
         raise SystemExit("--acm-pages and --acm-details go together")

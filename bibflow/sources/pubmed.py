@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,33 +18,26 @@ MALFORMED = "not well-formed XML"
 NO_DETAILS = "No 'Details' found."
 
 
-def _article(df: DataFrame, in_order: bool = True) -> DataFrame:
-    citation, article = F.col("MedlineCitation"), F.col("MedlineCitation.Article")
-    issued = article["Journal"]["JournalIssue"]["PubDate"]
-    return _select(
-        df,
-        in_order,
-        kind=0,
+def _article(record: Column) -> Column:
+    citation, article = record["MedlineCitation"], record["MedlineCitation"]["Article"]
+    return _fields(
         pmid=citation["PMID"]["_VALUE"],
         title=article["ArticleTitle"],
         authors=article["AuthorList"],
-        issued=issued,
+        issued=article["Journal"]["JournalIssue"]["PubDate"],
         journal=article["Journal"]["Title"],
-        ids=F.col("PubmedData.ArticleIdList.ArticleId"),
+        ids=record["PubmedData"]["ArticleIdList"]["ArticleId"],
         abstract=article["Abstract"],
         keywords=citation["KeywordList"],
         types=article["PublicationTypeList"]["PublicationType"],
     )
 
 
-def _book(df: DataFrame, in_order: bool = True) -> DataFrame:
-    doc = F.col("BookDocument")
+def _book(record: Column) -> Column:
+    doc = record["BookDocument"]
     none = F.array().cast("array<struct<_IdType:string,_VALUE:string>>")
     people = F.array().cast("array<struct<Author:array<struct<ForeName:string,LastName:string>>>>")
-    return _select(
-        df,
-        in_order,
-        kind=1,
+    return _fields(
         pmid=doc["PMID"]["_VALUE"],
         title=doc["ArticleTitle"],
         authors=F.concat(F.coalesce(doc["Book"]["AuthorList"], people), F.coalesce(doc["AuthorList"], people)),
@@ -54,7 +45,7 @@ def _book(df: DataFrame, in_order: bool = True) -> DataFrame:
         journal=F.lit(None).cast("string"),
         ids=F.concat(
             F.coalesce(doc["ArticleIdList"]["ArticleId"], none),
-            F.coalesce(F.col("PubmedBookData.ArticleIdList.ArticleId"), none),
+            F.coalesce(record["PubmedBookData"]["ArticleIdList"]["ArticleId"], none),
         ),
         abstract=doc["Abstract"],
         keywords=doc["KeywordList"],
@@ -62,7 +53,7 @@ def _book(df: DataFrame, in_order: bool = True) -> DataFrame:
     )
 
 
-def _select(df: DataFrame, in_order: bool, kind: int, **raw: Column) -> DataFrame:
+def _fields(**raw: Column) -> Column:
     columns = {
         "source": F.lit("PubMed"),
         "title": fields.title(raw["title"]),
@@ -77,51 +68,82 @@ def _select(df: DataFrame, in_order: bool, kind: int, **raw: Column) -> DataFram
         "keywords": fields.keywords(raw["keywords"]),
         "citation": F.lit(None).cast("string"),
     }
-    # A stream has no row numbers.
-    place = [F.monotonically_increasing_id().alias("ingest_seq")] if in_order else []
-    return df.select(
-        in_natural_order(F.col("_metadata.file_path")).alias("ingest_file"),
-        F.col("_metadata.file_path").alias("ingest_path"),
-        F.lit(kind).alias("record_kind"),
-        *place,
-        *[columns[c].alias(c) for c in ARTICLE_COLUMNS],
-        fields.first_type(raw["types"]).alias("publication_type"),
-    )
+    return F.struct(
+        *[columns[c].alias(c) for c in ARTICLE_COLUMNS], fields.first_type(raw["types"]).alias("publication_type"))
 
 
+# The elements that hold a record. A set of articles has a longer name.
+_START = r"<Pubmed(?:Book)?Article(?=[\s>])"
+_RECORD = r"(?s)^<(Pubmed(?:Book)?Article)(?=[\s>]).*</\1\s*>"
 _CORRUPT = "_corrupt_record"
 
 
-def _xml(reader, tag: str, schema: str, path: str, mode: str = "FAILFAST") -> DataFrame:
-    return reader.format("xml").option("rowTag", tag).option("mode", mode).schema(schema).load(path)
+def _parsed(record: Column, schema: str) -> Column:
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    return F.from_xml(record, f"{schema}, {_CORRUPT} STRING", options)
+
+
+def _routed(bodies: DataFrame) -> DataFrame:
+    """Every record of whole landed files (``value``), and every fault, with its ``details``, out of one pass.
+
+    A file is cut where records start, and each piece is read by itself: as article, as book, or as
+    a fault if it is cut off or not well formed. What stands before the first record may hold the service's error.
+    """
+    file = F.col("_metadata.file_path")
+    pieces = bodies.select(
+        in_natural_order(file).alias("ingest_file"), file.alias("ingest_path"),
+        F.posexplode(F.split("value", f"(?={_START})")).alias("ingest_seq", "piece"))
+    record = F.regexp_extract("piece", _RECORD, 0)
+    starts = F.col("piece").rlike(f"^{_START}")
+    failed = ~starts & F.col("piece").contains(ERROR_TEXT)
+    book = starts & F.col("piece").startswith("<PubmedBook")
+    read = pieces.where(starts | failed).select(
+        "ingest_file", "ingest_path", book.cast("int").alias("record_kind"), F.col("ingest_seq").cast("bigint").alias("ingest_seq"),
+        # Arrays of one, taken apart again, so that no later filter has a record parsed twice.
+        F.inline(F.array(F.struct(
+            F.when(starts & ~book & (record != ""), _parsed(record, PUBMED_ARTICLE)).alias("article"),
+            F.when(book & (record != ""), _parsed(record, PUBMED_BOOK)).alias("book"),
+            F.when(failed, F.coalesce(extract(F.col("piece"), ERROR_DETAILS), F.lit(NO_DETAILS)))
+            .when(record == "", MALFORMED).alias("fault")))))
+    corrupt = F.coalesce(F.col("article")[_CORRUPT], F.col("book")[_CORRUPT]).isNotNull()
+    return read.select(
+        "ingest_file", "ingest_path", "record_kind", "ingest_seq", "article", "book",
+        F.coalesce("fault", F.when(corrupt, MALFORMED)).alias("details"))
+
+
+_PLACE = ("ingest_file", "ingest_path", "record_kind", "ingest_seq")
+
+
+def _records(routed: DataFrame) -> DataFrame:
+    fields_ = F.when(F.col("record_kind") == 0, _article(F.col("article"))).otherwise(_book(F.col("book")))
+    return routed.select(*_PLACE, fields_.alias("record")).select(*_PLACE, "record.*")
+
+
+def _sound(routed: DataFrame) -> DataFrame:
+    """Only records; a fault stops the job."""
+    stop = F.raise_error(F.concat(F.lit("malformed record in "), "ingest_path", F.lit(": "), "details")).cast("boolean")
+    return routed.where(F.when(F.col("details").isNotNull(), stop).otherwise(True))
 
 
 def read_pubmed(spark: SparkSession, path: str) -> DataFrame:
     """Articles (``record_kind`` 0) and book chapters (1) of every file in a folder.
 
-    An XML file is read by one task, so land files of moderate size, some tens
-    of MB. A file that is not well formed stops the job, as its reader would
-    lose the records after the fault; ``split_malformed`` sets such files apart.
+    Files are UTF-8 and each is read whole by one task, so land files of moderate size, some tens
+    of MB. A record that is cut off or not well formed stops the job, and so does a landed error
+    answer; ``split_malformed`` sets them apart.
     """
-    articles = _article(_xml(spark.read, "PubmedArticle", PUBMED_ARTICLE, path))
-    return articles.unionByName(_book(_xml(spark.read, "PubmedBookArticle", PUBMED_BOOK, path)))
+    return _records(_sound(_routed(spark.read.text(path, wholetext=True))))
 
 
 def split_malformed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The records of well-formed files, and ``file`` and ``details`` of the others.
+    """The sound records of all files, and ``file``, ``place`` and ``details`` of what is not one.
 
-    Whole files are set apart, since the records after a fault cannot be read.
+    Faults are single records that are cut off or not well formed, and error answers. The files are read once.
     """
-    kinds = [(_article, "PubmedArticle", PUBMED_ARTICLE), (_book, "PubmedBookArticle", PUBMED_BOOK)]
-    checked = [_xml(spark.read, tag, f"{schema}, {_CORRUPT} STRING", path, "PERMISSIVE") for _, tag, schema in kinds]
-    # The reader refuses a query on the corrupt records alone, so the others are counted beside them.
-    per_file = reduce(DataFrame.unionByName, [
-        df.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-            F.count(_CORRUPT).alias("bad"), F.count(df.columns[0]).alias("records")) for df in checked])
-    bad = materialise(per_file, "files").where("bad > 0").select("file", F.lit(MALFORMED).alias("details")).distinct()
-    records = reduce(DataFrame.unionByName, [
-        part(_xml(spark.read, tag, schema, path, "PERMISSIVE")) for part, tag, schema in kinds])
-    return records.join(bad, records["ingest_path"] == bad["file"], "left_anti"), bad
+    routed = materialise(_routed(spark.read.text(path, wholetext=True)), "records")
+    bad = routed.where("details IS NOT NULL").select(
+        F.col("ingest_path").alias("file"), F.col("ingest_seq").alias("place"), "details")
+    return _records(routed.where("details IS NULL")), bad
 
 
 def read_search_answers(spark: SparkSession, path: str) -> DataFrame:
@@ -130,7 +152,7 @@ def read_search_answers(spark: SparkSession, path: str) -> DataFrame:
     An answer without ids has one row with null for both.
     """
     schema = "Count STRING, IdList STRUCT<Id: ARRAY<STRING>>"
-    answers = _xml(spark.read, "eSearchResult", schema, path)
+    answers = spark.read.format("xml").option("rowTag", "eSearchResult").option("mode", "FAILFAST").schema(schema).load(path)
     return answers.select(
         F.col("_metadata.file_path").alias("file"),
         thousands_to_int(F.col("Count")).alias("total"),
@@ -140,12 +162,8 @@ def read_search_answers(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pubmed_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """The same records as a stream of newly landed files."""
-    def reader():
-        return spark.readStream.option("maxFilesPerTrigger", files_per_batch)
-
-    articles = _article(_xml(reader(), "PubmedArticle", PUBMED_ARTICLE, path), in_order=False)
-    books = _book(_xml(reader(), "PubmedBookArticle", PUBMED_BOOK, path), in_order=False)
-    return articles.unionByName(books)
+    bodies = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True)
+    return _records(_sound(_routed(bodies)))
 
 
 def split_errors(bodies: DataFrame, body: str = "value") -> tuple[DataFrame, DataFrame]:

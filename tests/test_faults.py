@@ -50,16 +50,30 @@ def test_malformed_csv_stops_the_job(spark, tmp_path, body, fault):
 RECORD = "<PubmedArticle><MedlineCitation><PMID>{}</PMID></MedlineCitation></PubmedArticle>"
 
 
-def test_malformed_xml_is_never_read_in_part(spark, tmp_path):
-    (tmp_path / "good.xml").write_text(f"<S>{RECORD.format(1)}{RECORD.format(2)}</S>")
+def test_one_malformed_record_is_set_apart(spark, tmp_path):
+    """The others of its file are read; without setting faults apart the job stops."""
+    (tmp_path / "good.xml").write_text(f"<PubmedArticleSet>{RECORD.format(1)}{RECORD.format(2)}</PubmedArticleSet>")
     assert pubmed.read_pubmed(spark, str(tmp_path)).count() == 2
-    bad = f"<S>{RECORD.format(3)}<PubmedArticle><MedlineCitation><PMID>4</MedlineCitation></PubmedArticle>{RECORD.format(5)}</S>"
-    (tmp_path / "bad.xml").write_text(bad)
-    with pytest.raises(Exception):
+    bad = f"<PubmedArticleSet>{RECORD.format(3)}<PubmedArticle><MedlineCitation><PMID>4</MedlineCitation></PubmedArticle>{RECORD.format(5)}"
+    cut = "<PubmedBookArticle><BookDocument><PMID>6</PMID>"
+    (tmp_path / "bad.xml").write_text(f"{bad}{cut}</PubmedArticleSet>")
+    with pytest.raises(Exception, match="malformed record"):
         pubmed.read_pubmed(spark, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="malformed record"):
+        pubmed.read_pubmed(spark, str(tmp_path)).count()
+    (tmp_path / "error.xml").write_text(f"<E>{pubmed.ERROR_TEXT}\nDetails:  no backend</E>")
+    (tmp_path / "none.xml").write_text("<PubmedArticleSet></PubmedArticleSet>")
+    (tmp_path / "empty.xml").write_text("")
     records, rejected = pubmed.split_malformed(spark, str(tmp_path))
-    assert sorted(r.pmid for r in records.collect()) == ["1", "2"] and records.count() == 2
-    assert [(r.file.rsplit("/", 1)[1], r.details) for r in rejected.collect()] == [("bad.xml", pubmed.MALFORMED)]
+    assert sorted(r.pmid for r in records.collect()) == ["1", "2", "3", "5"] and records.count() == 4
+    assert sorted((r.file.rsplit("/", 1)[1], r.place, r.details) for r in rejected.collect()) == [
+        ("bad.xml", 2, pubmed.MALFORMED), ("bad.xml", 4, pubmed.MALFORMED), ("error.xml", 0, "no backend")]
+
+
+def test_files_are_read_once(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(f"<PubmedArticleSet>{RECORD.format(1)}</PubmedArticleSet>")
+    plan = pubmed.read_pubmed(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and plan.lower().count("from_xml") + plan.lower().count("xmltostructs") == 2
 
 
 def test_a_streamed_run_is_not_replaced_by_halves(spark, tmp_path):
