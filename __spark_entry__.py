@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from bibflow import runtime, schema, sinks
 from bibflow.functions import listing, text
 from bibflow.operators import compare, harmonise, render, screen, search
+from bibflow.operators.pages import assemble_pages
 from bibflow.plans.runs import build_run, screen_runs
 from bibflow.plans.skew import Limits
 from bibflow.sources import delimited, pubmed
@@ -720,13 +721,79 @@ def stream_then_batch(spark, sf_dir):
     docs, table = documents(spark, sf_dir), runtime.scratch_path(spark, "table")
     path = landed.pubmed_files(docs)
     ingest_pubmed(spark, path, table, runtime.scratch_path(spark, "progress"), "r1").awaitTermination()
-    again = harmonise.conform(pubmed.read_pubmed(spark, path)).withColumn("run_id", F.lit("r1"))
-    sinks.write_batch(again.drop("ingest_seq"), table, 0)
+    again = harmonise.conform(pubmed.read_pubmed(spark, path), keep_extra=True).withColumn("run_id", F.lit("r1"))
+    sinks.write_batch(again.drop("ingest_seq", "publication_type"), table, 0)
     run = docs.selectExpr("'r2' AS run_id", "text AS title", "CAST(doc_id AS STRING) AS pmid")
     sinks.write_run(harmonise.conform(run), table)
     return sinks.read_runs(spark, table).select("run_id", "title", "pmid")
 
 
+@_query(f"SELECT 'r1' AS run_id, title, abstract, pmid FROM ({_PUBMED_SQL})")
+def stream_new_checkpoint(spark, sf_dir):
+    """The same folder ingested under a second checkpoint: each landed file is taken once."""
+    path, table = landed.pubmed_files(documents(spark, sf_dir)), runtime.scratch_path(spark, "table")
+    for files in (1000, 7):
+        progress = runtime.scratch_path(spark, "progress")
+        ingest_pubmed(spark, path, table, progress, "r1", files_per_batch=files).awaitTermination()
+    return sinks.read_runs(spark, table).select("run_id", "title", "abstract", "pmid")
+
+
+@_query("""
+    SELECT doc_id, text AS title, 'r1' AS run_id, source AS publication_type, CAST(NULL AS VARCHAR) AS ieee_extra FROM documents
+    WHERE lang = 'en'
+    UNION ALL SELECT doc_id, text, 'r2', NULL, lang FROM documents WHERE lang <> 'en'""")
+def runs_of_two_shapes(spark, sf_dir):
+    """Runs with columns of their own in one table; those that a run lacks are null."""
+    docs, table = documents(spark, sf_dir).withColumnRenamed("text", "title"), runtime.scratch_path(spark, "table")
+    one = docs.where("lang = 'en'").selectExpr("doc_id", "title", "'r1' AS run_id", "source AS publication_type")
+    two = docs.where("lang <> 'en'").selectExpr("doc_id", "title", "'r2' AS run_id", "lang AS ieee_extra")
+    for run in (one.withColumn("title", F.lit("replaced")), two, one):
+        sinks.write_run(run, table)
+    return sinks.read_runs(spark, table)
+
+
+@_query("""
+    SELECT doc_id, lang AS run_id, lang IN ('en', 'fr') AS refused FROM documents""")
+def stream_into_batch_run(spark, sf_dir):
+    """A run written at once takes no batches, and its rows stay as they were; other runs take theirs."""
+    docs, table = documents(spark, sf_dir).selectExpr("doc_id", "lang AS run_id"), runtime.scratch_path(spark, "table")
+    at_once = docs.where("lang IN ('en', 'fr')")
+    sinks.write_run(at_once, table)
+    try:
+        sinks.write_batch(docs, table, 0)
+    except ValueError:
+        sinks.write_batch(docs.where("run_id NOT IN ('en', 'fr')"), table, 0)
+    return sinks.read_runs(spark, table).select("doc_id", "run_id", F.col("run_id").isin("en", "fr").alias("refused"))
+
+
+@_query("""
+    WITH ids AS (
+        SELECT doc_id // 1000 AS search, doc_id % 1000 // 50 AS number, doc_id,
+               50 * (doc_id % 1000 // 50) + row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) - 1 AS place
+        FROM documents),
+    landed AS (SELECT * FROM ids WHERE number % 7 <> 3),
+    pages AS (
+        SELECT search, number, min(50 * number) AS low, max(place) + 1 AS high, 1000 + CASE WHEN number % 11 = 10 THEN 1 ELSE 0 END AS total
+        FROM landed GROUP BY search, number),
+    opened AS (
+        SELECT *, greatest(low - coalesce(max(high) OVER (
+            PARTITION BY search ORDER BY low ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS gap FROM pages),
+    covered AS (
+        SELECT search, max(total) AS total, min(total) = max(total) AS totals_agree,
+               sum(gap) + greatest(max(total) - max(high), 0) AS missing,
+               count(*) FILTER (gap > 0) + CASE WHEN max(total) > max(high) THEN 1 ELSE 0 END AS gaps
+        FROM opened GROUP BY search),
+    counted AS (SELECT search, count(*) AS found, count(*) FILTER (number % 5 = 1) AS repeated FROM landed GROUP BY search)
+    SELECT 'S' || search || '/1' AS search, place, CAST(doc_id AS VARCHAR) AS pmid, CAST(total AS BIGINT) AS total, totals_agree, found,
+           CAST(missing AS BIGINT) AS missing, CAST(gaps AS BIGINT) AS gaps, repeated, CAST(0 AS BIGINT) AS conflicts
+    FROM landed JOIN covered USING (search) JOIN counted USING (search)""")
+def paged_answers(spark, sf_dir):
+    """Answers in pages, shuffled, repeated and missing, put together; each id with the report on its search."""
+    pages = pubmed.read_search_pages(spark, landed.search_pages(documents(spark, sf_dir)))
+    ids, report = assemble_pages(pages)
+    return ids.join(report, "search")
+
+
 _RUN_IDS = "CASE lang WHEN 'de' THEN '007' WHEN 'fr' THEN '2024-01-02' WHEN 'es' THEN '1e3' ELSE 'r' END"
 
 

@@ -160,6 +160,25 @@ def read_search_answers(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_search_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Landed pages of searches whose ids were fetched some at a time, one row per id.
+
+    ``search`` (the service's session and key), the ``total`` hits that the page reports, ``start``, its place
+    in the whole answer, ``size``, how many ids it has, and ``position`` and ``pmid`` of each id. A page without ids has one
+    row with null for both.
+    """
+    schema = "Count STRING, RetStart STRING, QueryKey STRING, WebEnv STRING, IdList STRUCT<Id: ARRAY<STRING>>"
+    pages = spark.read.format("xml").option("rowTag", "eSearchResult").option("mode", "FAILFAST").schema(schema).load(path)
+    ids = F.coalesce(F.col("IdList.Id"), F.array().cast("array<string>"))
+    return pages.select(
+        F.concat_ws("/", "WebEnv", "QueryKey").alias("search"),
+        thousands_to_int(F.col("Count")).cast("bigint").alias("total"),
+        thousands_to_int(F.col("RetStart")).cast("bigint").alias("start"),
+        F.size(ids).cast("bigint").alias("size"),
+        F.posexplode_outer(ids).alias("position", "pmid"),
+    )
+
+
 def read_pubmed_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """The same records as a stream of newly landed files."""
     bodies = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True)

@@ -23,12 +23,12 @@ def ingest_pubmed(
     """Start the ingest. Without a trigger it takes what has landed and stops.
 
     The stream keeps no state between batches; the checkpoint remembers which
-    files are done. Each batch is a part of its run in the article table, which
-    batch runs share, and a batch that is repeated after a failure replaces its part.
+    files are done, and the table which files it has. So a batch that is repeated after a
+    failure, or a new checkpoint over the same folder, adds only what is not there yet.
     """
     records = read_pubmed_stream(spark, landed, files_per_batch).withColumn("run_id", F.lit(run_id))
     return (
-        conform(records).writeStream
+        conform(records, keep_extra=True).drop("publication_type").writeStream
         .foreachBatch(lambda batch, number: write_batch(batch, table, number))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))

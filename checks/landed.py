@@ -104,6 +104,23 @@ def search_answers(docs: DataFrame) -> str:
     return in_files(answers, "source", "<Answers>", "</Answers>")
 
 
+def search_pages(docs: DataFrame, search: int = 1000, page: int = 50) -> str:
+    """Searches of ``search`` documents in pages of ``page``: every seventh page is missing, every fifth comes twice,
+    and every eleventh reports a hit more. The number of files follows that of pages."""
+    tag = lambda name, body: F.concat(F.lit(f"<{name}>"), body.cast("string"), F.lit(f"</{name}>"))
+    number = F.floor(F.col("doc_id") % search / page).alias("number")
+    rows = docs.groupBy(F.floor(F.col("doc_id") / search).alias("search"), number).agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    ids = F.array_join(F.transform("ids", lambda d: tag("Id", d)), "")
+    total = F.lit(search) + (F.col("number") % 11 == 10).cast("int")
+    value = tag("eSearchResult", F.concat(
+        tag("Count", total), tag("RetMax", F.size("ids")), tag("RetStart", F.col("number") * page), tag("QueryKey", F.lit("1")),
+        tag("WebEnv", F.concat(F.lit("S"), F.col("search"))), tag("IdList", ids)))
+    times = F.when(F.col("number") % 7 == 3, 0).when(F.col("number") % 5 == 1, 2).otherwise(1)
+    copies = F.explode(F.array_repeat(value, times)).alias("value")
+    files = max(16, docs.count() // (page * 1000))  # some thousand pages a file
+    return in_files(rows.select("search", "number", copies), "value", "<Answers>", "</Answers>", files)
+
+
 def pubmed_files(docs: DataFrame, broken: bool = False) -> str:
     """XML files of 200 records: Spanish documents as book chapters, the others as articles.
 

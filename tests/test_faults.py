@@ -89,6 +89,71 @@ def test_a_streamed_run_is_not_replaced_by_halves(spark, tmp_path):
     assert sorted(r.run_id for r in sinks.read_runs(spark, path).collect()) == ["007", "007", "7"]
 
 
+def test_a_run_written_at_once_is_not_added_to_by_a_stream(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    df = spark.createDataFrame([("r1", "a")], "run_id string, title string")
+    sinks.write_run(df, path)
+    with pytest.raises(ValueError, match="run r1 was written at once"):
+        sinks.write_batch(df, path, 0)
+    assert sinks.read_runs(spark, path).count() == 1 and len(list((tmp_path / "runs").glob("run_id=*/part=*"))) == 1
+
+
+def test_columns_of_all_runs_are_read(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    sinks.write_run(spark.createDataFrame([("r1", "a", "x")], "run_id string, title string, kind string"), path)
+    sinks.write_run(spark.createDataFrame([("r2", "b", 7), (None, "c", 8)], "run_id string, title string, extra int"), path)
+    rows = sinks.read_runs(spark, path)
+    assert sorted(rows.columns) == ["extra", "kind", "run_id", "title"]
+    rows = rows.select("title", "kind", "extra", "run_id")
+    assert sorted(map(tuple, rows.collect()), key=repr) == [("a", "x", None, "r1"), ("b", None, 7, "r2"), ("c", None, 8, None)]
+    sinks.write_run(spark.createDataFrame([(None, "d")], "run_id string, title string"), path)
+    assert sorted(r.title for r in sinks.read_runs(spark, path).collect()) == ["a", "b", "d"]
+    sinks.write_run(spark.createDataFrame([("r3", 1.5)], "run_id string, extra double"), path)
+    with pytest.raises(ValueError, match="extra was written as"):
+        sinks.read_runs(spark, path)
+
+
+def test_a_writer_that_stops_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    """Before its snapshot is written, nothing that a writer wrote is read, and nothing is taken away."""
+    path = str(tmp_path / "runs")
+    odd = "2024:01/02 %"
+    sinks.write_run(spark.createDataFrame([(odd, "old")], "run_id string, title string"), path)
+    later = spark.createDataFrame([(odd, "new")], "run_id string, title string")
+    with monkeypatch.context() as stopped:
+        def stop(*_):
+            raise KeyboardInterrupt
+        stopped.setattr(sinks.T.StructType, "json", stop)
+        with pytest.raises(KeyboardInterrupt):
+            sinks.write_run(later, path)
+    assert [tuple(r) for r in sinks.read_runs(spark, path).collect()] == [("old", odd)]
+    # A snapshot that was not finished does not count either.
+    (tmp_path / "runs" / "_manifest" / "snapshots" / "v000000000099").mkdir()
+    sinks.write_run(later, path)
+    assert [tuple(r) for r in sinks.read_runs(spark, path).collect()] == [("new", odd)]
+
+
+def test_a_table_without_a_manifest(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    for run, column in (("007", "a"), ("008", "b")):
+        spark.createDataFrame([(run, "all", 1)], f"run_id string, part string, {column} int").write.mode("append").partitionBy(
+            "run_id", "part").parquet(path)
+    assert sorted((r.run_id, r.a, r.b) for r in sinks.read_runs(spark, path).collect()) == [("007", 1, None), ("008", None, 1)]
+
+
+def test_a_landed_file_is_taken_once(spark, tmp_path):
+    """Whatever the batch; another run may take it too."""
+    path = str(tmp_path / "runs")
+    columns = "run_id string, title string, ingest_path string"
+    rows = [("r1", f"t{k}", f"file:/landed/{k // 2}.xml") for k in range(6)]
+    sinks.write_batch(spark.createDataFrame(rows[:4], columns), path, 0)
+    sinks.write_batch(spark.createDataFrame(rows, columns), path, 0)
+    sinks.write_batch(spark.createDataFrame(rows[:2], columns), path, 1)
+    sinks.write_batch(spark.createDataFrame([("r2", *r[1:]) for r in rows[:2]], columns), path, 0)
+    found = sinks.read_runs(spark, path)
+    assert sorted((r.run_id, r.title) for r in found.collect()) == [("r1", f"t{k}") for k in range(6)] + [("r2", "t0"), ("r2", "t1")]
+    assert found.columns == ["title", "run_id"]
+
+
 def test_rejected_answers_are_written_once(spark, tmp_path):
     path = str(tmp_path / "rejected")
     failed = spark.createDataFrame([("f", "d")], "file string, details string")
