@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ KEY = "_key"
 ROWS = "_rows"
 _SLICE = "_slice"
 _SLICES = "_slices"
+_BAND, _BANDS, _COLUMN, _COLUMNS, _NUMBER = "_band", "_bands", "_column", "_columns", "_number"
 
 
 @dataclass(frozen=True)
@@ -20,12 +22,14 @@ class Limits:
     """
     broadcast_keys: most fixed-width rows (about 100 bytes each in memory) to broadcast.
     hot_rows: fewest rows per slice of a key that is spread over tasks.
+    cell_pairs: most pairs that one task's share of a key makes where both sides have many rows.
     window_rows: largest n for which first-n uses windows, which Spark prunes inside each
         task up to this size, and not a distributed sort.
     """
 
     broadcast_keys: int = 250_000
     hot_rows: int = 100_000
+    cell_pairs: int = 1_000_000
     window_rows: int = 1_000
 
 
@@ -97,6 +101,42 @@ def member_join(
     return sliced_join(rows, members, how, counts, limits)
 
 
+def grid_join(left: DataFrame, right: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Inner join on ``_key`` where both sides may have very many rows of one key.
+
+    The rows of a hot key form a grid: left rows are dealt into bands and right
+    rows into columns, each is copied along the other side, and every cell is
+    joined by itself. A cell has ``hot_rows`` rows of a side and ``cell_pairs``
+    pairs at most (short of chance: rows are dealt round within each task). Cells are
+    near squares, so the copies stay a small share of the pairs.
+    """
+    keyed = [materialise(side.where(F.col(KEY).isNotNull()), "grid") for side in (left, right)]
+    left, right = _dealt(*keyed, limits)
+    return left.join(right.hint("merge"), [KEY, _BAND, _COLUMN]).drop(_BAND, _COLUMN)
+
+
+def _dealt(left: DataFrame, right: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
+    """Both sides of ``grid_join`` with the cell of each row. Both must be written tables, which are numbered alike each time."""
+    n, m, side = F.col("_left"), F.col("_right"), math.isqrt(limits.cell_pairs)
+    counts = key_counts(left).withColumnRenamed(ROWS, "_left").join(key_counts(right).withColumnRenamed(ROWS, "_right"), KEY)
+    height, width = (
+        F.least(F.lit(limits.hot_rows), F.greatest(F.lit(side), F.floor(limits.cell_pairs / other))) for other in (m, n)
+    )
+    grid = counts.select(KEY, F.ceil(n / height).alias(_BANDS), F.ceil(m / width).alias(_COLUMNS))
+    grid = materialise(grid.where((F.col(_BANDS) > 1) | (F.col(_COLUMNS) > 1)), "hot")
+
+    def deal(rows: DataFrame, own: str, owns: str, other: str, others: str) -> DataFrame:
+        numbered = rows.withColumn(_NUMBER, F.monotonically_increasing_id())
+        placed = member_join(numbered, grid, "left", limits=limits)
+        copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col(others), F.lit(1)) - 1))
+        return (
+            placed.withColumn(own, F.col(_NUMBER) % F.coalesce(F.col(owns), F.lit(1)))
+            .withColumn(other, copies).drop(owns, others, _NUMBER)
+        )
+
+    return deal(left, _BAND, _BANDS, _COLUMN, _COLUMNS), deal(right, _COLUMN, _COLUMNS, _BAND, _BANDS)
+
+
 def first_per_group(
     df: DataFrame, groups: list[str], order: list[Column], n: int, slices: int | None = None
 ) -> DataFrame:
