@@ -599,6 +599,17 @@ def acm_listing(spark, sf_dir):
     return harmonise.conform(items).select(*schema.ARTICLE_COLUMNS)
 
 
+@_query(f"""
+    SELECT 'On ' || lang || ' and ' || source AS title, 'Ann' || lang || ', Bo' AS authors, 'Jun ' || {_YEAR_SQL} AS date,
+           'Proc. ' || source || ' vol 1' AS journal_book, 'https://dl.acm.org/doi/' || doc_id AS url,
+           CASE WHEN lang <> 'de' THEN CAST(n_chars AS VARCHAR) END AS citation
+    FROM documents""")
+def nested_elements(spark, sf_dir):
+    """Items whose elements hold others of the same name, each taken up to its own closing tag."""
+    items = listing_source.read_items(landed.nested_pages(documents(spark, sf_dir)))
+    return items.select("title", "authors", "date", "journal_book", "url", "citation")
+
+
 @_query("SELECT doc_id // 20 AS page_id, CAST(1000 + count(*) AS BIGINT) AS hits FROM documents GROUP BY ALL")
 def reported_hits(spark, sf_dir):
     return listing_source.reported_hits(landed.listing_pages(documents(spark, sf_dir))[0])
@@ -816,16 +827,12 @@ def compare_again(spark, sf_dir):
 
 
 @_query("""
-    SELECT doc_id AS article_id, 'run_' || lang AS run_id, CAST(2000 + n_chars % 20 AS INT) AS year,
-           CASE WHEN count(*) OVER (PARTITION BY lang, text) > 1 THEN 'x' ELSE '' END AS duplicate
+    SELECT doc_id AS article_id, 'run=' || doc_id // 200 AS run_id, CAST(2000 + n_chars % 20 AS INT) AS year,
+           CASE WHEN count(*) OVER (PARTITION BY doc_id // 200, text) > 1 THEN 'x' ELSE '' END AS duplicate
     FROM documents""")
 def screen_exports(spark, sf_dir):
-    """Exported files as runs named after them, with years as tables with gaps write them."""
-    folder = runtime.scratch_path(spark, "exports")
-    docs = documents(spark, sf_dir).selectExpr(
-        "doc_id AS article_id", "concat(2000 + n_chars % 20, '.0') AS year", "text AS doi", "lang")
-    for lang in ("en", "de", "fr", "es"):
-        sinks.export_csv(docs.where(F.col("lang") == lang).drop("lang"), f"{folder}/run_{lang}.csv")
+    """A folder of exports of four shapes as runs named after them, with years as tables with gaps write them."""
+    folder = landed.export_folder(documents(spark, sf_dir))
     marked = screen_runs(delimited.read_exports(spark, folder), schema.Params())
     return marked.select("article_id", "run_id", "year", "duplicate")
 
@@ -858,7 +865,7 @@ _LONG_WORDS = r"""
     HAVING bool_or(length(word) >= 8) AND NOT bool_or(word IN (SELECT word FROM words WHERE lang = 'fr' AND length(word) >= 16))""")
 def boolean_search_many_terms(spark, sf_dir):
     """One strategy out of the long words of all documents, more than fit into one expression."""
-    docs = documents(spark, sf_dir)
+    docs = runtime.spread_small(documents(spark, sf_dir), "doc_id")
     words = docs.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"{_W}+"), F.lit(0))).alias("term"))
     wanted = words.where(F.length("term") >= 8).select("term", F.lit("long").alias("category"), F.lit(False).alias("is_exclusion"))
     left_out = words.where((F.col("lang") == "fr") & (F.length("term") >= 16)).select(

@@ -1,8 +1,9 @@
 """Fields of an ACM result list and of its detail pages, taken from HTML.
 
 A one-word class matches any of an element's classes; a class with blanks
-must be the whole attribute. A capture ends at the first closing tag of its
-own kind, so an element of the same name nested inside it cuts it short.
+must be the whole attribute. A capture ends at the element's own closing tag,
+whatever elements of the same name are nested in it. Where tags of that name do
+not balance, it ends at the first closing tag.
 """
 
 from __future__ import annotations
@@ -39,15 +40,52 @@ def opening(tag: str, **attributes: str) -> str:
     return rf"<{tag}\b{ahead}[^>]*>"
 
 
+def outermost(html: Column, tag: str) -> Column:
+    """Inner HTML of every element of this name that is in no other one of it.
+
+    A fold over the tags of that name counts how deep they are nested. Elements
+    that are never closed are left out, and so are closing tags without an opening one.
+    """
+    pattern = rf"</?{tag}(?=[\s/>])[^>]*>"
+    tags = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+    pieces = F.zip_with(
+        tags, F.slice(F.split(html, pattern), F.lit(2), F.size(tags)),
+        lambda t, after: F.struct(t.alias("tag"), after.alias("after")),
+    )
+
+    def step(state: Column, piece: Column) -> Column:
+        depth, text, found, mark = state["depth"], state["text"], state["found"], piece["tag"]
+        closing, empty = mark.startswith("</"), mark.endswith("/>")
+        below = F.when(closing, F.greatest(depth - 1, F.lit(0))).when(empty, depth).otherwise(depth + 1)
+        ends = F.when(closing, depth == 1).otherwise(empty & (depth == 0))
+        kept = F.when((depth > 0) & ~ends, F.concat(text, mark)).otherwise("")
+        return F.struct(
+            below.alias("depth"),
+            F.when(below > 0, F.concat(kept, piece["after"])).otherwise("").alias("text"),
+            F.when(ends, F.array_append(found, text)).otherwise(found).alias("found"),
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"), F.array().cast("array<string>").alias("found"))
+    return F.aggregate(pieces, start, step, lambda state: state["found"])
+
+
 def element(html: Column, tag: str, **attributes: str) -> Column:
     """Inner HTML of the first such element, null if there is none."""
-    return extract(html, rf"(?s){opening(tag, **attributes)}(.*?)</{tag}\s*>")
+    start = opening(tag, **attributes)
+    rest = extract(html, rf"(?s){start}.*", 0)
+    return let(
+        extract(html, rf"(?s){start}(.*?)</{tag}\s*>"),
+        lambda short: F.when(
+            short.rlike(rf"<{tag}[\s/>]"), F.coalesce(F.get(outermost(rest, tag), F.lit(0)), short)
+        ).otherwise(short),
+    )
 
 
 def items(html: Column) -> Column:
-    """The result items of a page, in page order."""
+    """The result items of a page, in page order, without what follows their closing tag."""
     parts = F.split(html, opening("li", class_=ITEM_CLASS))
-    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    parts = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.transform(parts, lambda p: F.coalesce(F.get(outermost(F.concat(F.lit("<li>"), p), "li"), F.lit(0)), p))
 
 
 def hits(html: Column) -> Column:
@@ -66,9 +104,7 @@ def url(item: Column) -> Column:
 
 def authors(item: Column) -> Column:
     """First span of every list entry; no list gives null."""
-    entries = F.regexp_extract_all(
-        element(item, "ul", class_=AUTHORS_CLASS), F.lit(r"(?s)<li\b[^>]*>(.*?)</li\s*>"), F.lit(1)
-    )
+    entries = outermost(element(item, "ul", class_=AUTHORS_CLASS), "li")
     names = F.transform(entries, lambda e: markup_text(element(e, "span"), ""))
     return comma_list(F.filter(names, lambda n: n.isNotNull()))
 

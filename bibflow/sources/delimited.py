@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bibflow.functions.keys import key_of
 from bibflow.functions.text import blank_to_null, in_natural_order, year_number
-from bibflow.operators.harmonise import replace_separators, union_sources
+from bibflow.operators.harmonise import replace_separators
+from bibflow.plans.skew import KEY, Limits, member_join
 from bibflow.runtime import materialise
-from bibflow.schema import IEEE_DROPS, IEEE_RENAMES
+from bibflow.schema import ARTICLE_COLUMNS, IEEE_DROPS, IEEE_RENAMES
 
 _CORRUPT = "_corrupt_record"
+_RUN_COLUMNS = ["run_id", "article_id", *ARTICLE_COLUMNS]
 
 # Separators that a .csv file may have; a .tsv file has tabs.
 CSV_SEPARATORS = [",", ";"]
@@ -26,34 +31,21 @@ def _reader(spark: SparkSession, sep: str):
     )
 
 
-def read_delimited(
-    spark: SparkSession, path: str | list[str], sep: str = ",", glob: str | None = None, arrival: bool = False
-) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
     """Files with one header, every column as text.
 
     A file is read by one task, since fields may hold line breaks. Blank
     fields are null; words such as ``NA`` stay text. Files whose headers
     differ raise instead of mixing up their columns. A row with fewer fields
     than the header ends in nulls; one with more stops the job, and so does a
-    quote that is not closed where fields are missing behind it. ``arrival``
-    adds the columns that give a record its place in arrival order.
+    quote that is not closed where fields are missing behind it.
     """
     reader = _reader(spark, sep)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     names = reader.csv(path).columns
     df, faults = _with_faults(reader, path, names, sep)
     stop = F.raise_error(F.concat(F.lit("malformed record: "), F.left(F.col(_CORRUPT), F.lit(200))))
     df = df.where(F.when(faults, stop).isNull())
-    texts = [blank_to_null(F.col(f"`{n}`")).alias(n) for n in names]
-    if not arrival:
-        return df.select(*texts)
-    return df.select(
-        in_natural_order(F.col("_metadata.file_path")).alias("ingest_file"),
-        F.lit(0).alias("record_kind"),
-        F.monotonically_increasing_id().alias("ingest_seq"),
-        *texts,
-    )
+    return df.select(*[blank_to_null(F.col(f"`{n}`")).alias(n) for n in names])
 
 
 def _with_faults(reader, path, names: list[str], sep: str) -> tuple[DataFrame, Column]:
@@ -79,25 +71,95 @@ def split_malformed(spark: SparkSession, path: str | list[str], sep: str = ",")
     return good, materialise(bad, "malformed").drop("first")
 
 
-def read_exports(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """A folder of exported runs as one table, each run named after its file.
+def _rows_by_header(
+    spark: SparkSession, path: str, sep: str, glob: str, required: list[str], known: list[str], max_columns: int, limits: Limits
+) -> tuple[DataFrame, list[str]]:
+    """The records of all files of a folder, whatever columns each has, and the names of all columns.
+
+    Files are read once, without a header and as arrays, and written. The first row of
+    a file names its columns; ``_at`` says for each name where a record's file has
+    it, -1 if nowhere. Names count without regard to case and are spelled as in ``known``; an
+    empty one is ``_c`` and its place, one that a file has twice gets its place at the end.
+    """
+    cells = [f"_c{i}" for i in range(max_columns)]
+    fields = [T.StructField(n, T.StringType()) for n in [*cells, _CORRUPT]]
+    reader = _reader(spark, sep).option("header", False).option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    read = reader.schema(T.StructType(fields)).option("columnNameOfCorruptRecord", _CORRUPT).csv(path)
+    bare = F.regexp_replace(_CORRUPT, '"[^"]*"', "")
+    signs = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))
+    filled = F.array_max(F.transform(F.col("_cells"), lambda v, i: F.when(v.isNotNull(), i + 1)))
+    rows = (
+        read.select("*", F.array(*cells).alias("_cells"), F.col("_metadata.file_path").alias("_file"))
+        .select(
+            "_file", F.monotonically_increasing_id().alias("_seq"), "_cells",
+            F.coalesce(F.greatest(signs + 1, filled), F.lit(max_columns)).alias("_width"),
+            F.coalesce(bare.rlike(f'(?:^|{re.escape(sep)})"'), F.lit(False)).alias("_open"),
+            F.coalesce(bare.contains('"'), F.lit(False)).alias("_odd"), F.left(_CORRUPT, F.lit(200)).alias("_start"),
+        )
+        .withColumn("_cells", F.slice("_cells", F.lit(1), F.least(F.col("_width"), F.lit(max_columns))))
+    )
+    rows = materialise(rows, "rows")
+    first = materialise(rows.groupBy("_file").agg(F.min("_seq").alias(KEY)), "first").select(KEY)
+    heads = member_join(rows.withColumn(KEY, F.col("_seq")), first, "left_semi", limits=limits)
+    named = F.transform("_cells", lambda v, i: F.coalesce(
+        F.nullif(F.regexp_replace(v, "^\ufeff", ""), F.lit("")), F.concat(F.lit("_c"), i.cast("string"))))
+    lower = F.transform("_named", lambda n: F.lower(n))
+    once = F.transform("_named", lambda n, i: F.when(
+        F.size(F.filter("_lower", lambda m: m == F.lower(n))) > 1, F.concat(n, i.cast("string"))).otherwise(n))
+    heads = heads.select("_file", F.col("_seq").alias("_first"), "_width", named.alias("_named")).withColumn("_lower", lower)
+    heads = materialise(heads.withColumn("_names", once).withColumn("_lower", F.transform("_names", lambda n: F.lower(n))), "heads")
+
+    wide = heads.where(F.col("_width") > max_columns).select("_file").first()
+    if wide:
+        raise ValueError(f"more than {max_columns} columns in {wide['_file']}")
+    wanted = F.array(*[F.lit(n.lower()) for n in required]).cast("array<string>")
+    lacking = heads.where(F.size(F.array_except(wanted, "_lower")) > 0).select("_file").limit(20).collect()
+    if lacking:
+        raise ValueError(f"no header with all needed columns in {', '.join(r['_file'] for r in lacking)}")
+    columns = heads.select(F.posexplode("_names").alias("place", "name")).groupBy(F.lower("name").alias("lower")).agg(
+        F.min("place").alias("place"), F.min("name").alias("name")).collect()  # one row per column of the result
+    columns = sorted(columns, key=lambda r: (r["place"], r["name"]))
+    spelled = {n.lower(): n for n in known}
+    names = [spelled.get(r["lower"], r["name"]) for r in columns]
+
+    at = F.transform(F.array(*[F.lit(n.lower()) for n in names]).cast("array<string>"),
+                     lambda n: F.array_position("_lower", n).cast("int") - 1)
+    maps = heads.select(key_of("_file").alias(KEY), "_first", F.col("_width").alias("_columns"), at.alias("_at"))
+    rows = member_join(rows.withColumn(KEY, key_of("_file")), materialise(maps, "maps"), "left", limits=limits)
+    faults = F.col("_open") | (F.col("_width") > F.col("_columns")) | (F.col("_odd") & (F.col("_width") < F.col("_columns")))
+    stop = F.raise_error(F.concat(F.lit("malformed record: "), F.coalesce("_start", F.lit(""))))
+    return rows.where(F.col("_seq") > F.col("_first")).where(F.when(faults, stop).isNull()), names
+
+
+def _field(place: int) -> Column:
+    """The value of a record's column, null where its file has none or it is blank."""
+    return blank_to_null(F.get("_cells", F.get("_at", F.lit(place))))
+
+
+def read_exports(
+    spark: SparkSession, path: str, sep: str = ";", max_columns: int = 200, limits: Limits = Limits()
+) -> DataFrame:
+    """A folder of exported runs as one table, each run named after its file or folder of files.
 
     Files need not have the same columns. Numbers and years are read as
-    numbers; a run without ``article_id`` is numbered as it is read.
+    numbers; a run without ``article_id`` is numbered as it is read. The plan is the same for any number of files.
     """
-    names = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(path)
-    folder = F.regexp_extract("file", r"^(.*?/[^/]+\.csv)(?:/|$)", 1)
-    found = names.select(F.col("_metadata.file_path").alias("file")).distinct().select(folder.alias("run")).distinct().collect()
-    runs = []
-    for row in sorted(found):  # one row per run
-        df = read_delimited(spark, row["run"], sep)
-        number = F.col("article_id").cast("bigint") if "article_id" in df.columns else F.monotonically_increasing_id()
-        run = row["run"].rsplit("/", 1)[-1].removesuffix(".csv")
-        df = df.withColumns({"run_id": F.lit(run), "article_id": number})
-        runs.append(df.withColumn("year", year_number(F.col("year"))) if "year" in df.columns else df)
-    if not runs:
+    rows, names = _rows_by_header(spark, path, sep, "*.csv", [], _RUN_COLUMNS, max_columns, limits)
+    if not names:
         raise ValueError(f"no exported run in {path}")
-    return union_sources(*runs)
+    file = F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B")))
+    run = F.regexp_extract(file, r"^.*?/([^/]+)\.csv(/|$)", 1)
+    in_folder = F.regexp_extract(file, r"^.*?/([^/]+)\.csv(/|$)", 2) != ""
+    number = F.when(in_folder, F.col("_seq")).otherwise(F.col("_seq") - F.col("_first") - 1)
+    known = {"article_id": number}
+    for place, name in enumerate(names):
+        if name == "article_id":
+            known[name] = F.when(F.get("_at", F.lit(place)) >= 0, _field(place).cast("bigint")).otherwise(number)
+        elif name == "year":
+            known[name] = year_number(_field(place))
+        elif name != "run_id":
+            known[name] = _field(place)
+    return rows.select(run.alias("run_id"), *[value.alias(name) for name, value in known.items()])
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, sep: str = ",") -> DataFrame:
@@ -114,47 +176,20 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, sep: str
     raise ValueError(f"cannot read {path}: unknown format {kind!r}")
 
 
-def _headers(spark: SparkSession, path: str) -> list[list[str]]:
-    """The files of a folder, grouped by header line.
-
-    The line is found by the column names that an export must have. Each task
-    reduces its lines to one row per file.
-    """
-    lines = spark.read.option("pathGlobFilter", "*.csv*").text(path)
-    is_header = F.lit(True)
-    for name in [*IEEE_RENAMES, *IEEE_DROPS]:
-        is_header = is_header & F.col("value").contains(name)
-    per_file = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        F.max(F.when(is_header, F.regexp_replace("value", "^\ufeff|\r$", ""))).alias("header")
-    )
-    # Paths only: as many as the driver lists for any scan of the folder.
-    plain_path = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
-    groups = per_file.groupBy("header").agg(F.array_sort(F.collect_list(plain_path)).alias("files")).collect()
-    for row in groups:
-        if row["header"] is None:
-            raise ValueError(f"no header with all columns of an IEEE export in {', '.join(row['files'])}")
-    return sorted(r["files"] for r in groups)
-
-
-def ieee_columns(df: DataFrame) -> DataFrame:
-    """Export columns to article columns; a column that should be dropped must be there."""
-    missing = [c for c in [*IEEE_DROPS, *IEEE_RENAMES] if c not in df.columns]
-    if missing:
-        raise ValueError(f"not an IEEE export, missing columns: {', '.join(missing)}")
-    return df.drop(*IEEE_DROPS).withColumnsRenamed(IEEE_RENAMES).withColumn("source", F.lit("IEEE"))
-
-
-def read_ieee(spark: SparkSession, path: str) -> DataFrame:
+def read_ieee(spark: SparkSession, path: str, max_columns: int = 200, limits: Limits = Limits()) -> DataFrame:
     """Every export in a folder as articles; further columns are kept.
 
-    Files are read once per header shape and matched by column name, so the
-    order of columns may differ between files.
+    Files are read once and matched by column name, so columns and their order may differ between files.
     """
-    shapes = _headers(spark, path)
-    if not shapes:
+    needed = [*IEEE_RENAMES, *IEEE_DROPS]
+    rows, names = _rows_by_header(spark, path, ",", "*.csv*", needed, needed, max_columns, limits)
+    if not names:
         raise ValueError(f"no IEEE export in {path}")
-    frames = []
-    for files in shapes:
-        frames.append(replace_separators(ieee_columns(read_delimited(spark, files, arrival=True))))
-    articles = union_sources(*frames)
+    records = rows.select(
+        in_natural_order(F.col("_file")).alias("ingest_file"),
+        F.lit(0).alias("record_kind"),
+        F.col("_seq").alias("ingest_seq"),
+        *[_field(place).alias(name) for place, name in enumerate(names) if name not in IEEE_DROPS],
+    )
+    articles = replace_separators(records.withColumnsRenamed(IEEE_RENAMES).withColumn("source", F.lit("IEEE")))
     return articles.withColumn("year", year_number(F.col("year")))

@@ -216,6 +216,43 @@ def listing_pages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pages, details
 
 
+_NESTED_ITEM = """<li class="search__item issue-item-container"><div><ul class="tools"><li>save</li>\
+<li>share<ul><li>mail</li></ul></li></ul>\
+<h5><span class="hlFld-Title"><span>On</span> <a href="/doi/{id}"><span class="hl">{lang}</span> and <span>{source}</span></a></span></h5>\
+<ul class="rlist--inline loa truncate-list"><li><span>Ann <span>{lang}</span></span><ul><li><span>mail</span></li></ul></li>\
+<li><span>Bo</span></li></ul><div class="bookPubDate simple-tooltip__block--b"><div>June</div><div>{year}</div></div>\
+<span class="epub-section__title"><span>Proc.</span> {source} <span>vol</span> 1</span>{cites}</div></li>"""
+
+
+def nested_pages(docs: DataFrame) -> DataFrame:
+    """Result pages whose elements hold others of their own name; German items have no count, the page's end has one."""
+    cites = F.when(F.col("lang") == "de", "").otherwise(
+        F.concat(F.lit('<span class="citation"><span><span>'), F.col("n_chars").cast("string"), F.lit("</span></span></span>")))
+    item = filled(_NESTED_ITEM, id=F.col("doc_id"), lang=F.col("lang"), source=F.col("source"), year=year(), cites=cites)
+    items = spread_small(docs, "doc_id").select(F.floor(F.col("doc_id") / 20).cast("bigint").alias("page_id"), "doc_id", item.alias("item"))
+    return items.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "item"))).alias("items")).select(
+        "page_id",
+        F.concat(F.lit("<ul>"), F.array_join(F.transform("items", lambda i: i["item"]), "\n"),
+                 F.lit('</ul><div><span class="citation">all of them</span></div>')).alias("html"),
+    )
+
+
+def export_folder(docs: DataFrame, rows: int = 200) -> str:
+    """A folder of exports: a run per ``rows`` documents, of four shapes of columns."""
+    path, docs = scratch_path(docs.sparkSession, "exports"), spread_small(docs, "doc_id")
+    run, columns = F.floor(F.col("doc_id") / rows).cast("bigint"), {
+        "article_id": F.col("doc_id"), "year": F.expr("concat(2000 + n_chars % 20, '.0')"), "doi": F.col("text"),
+        "note": F.lit("n"), "title": F.col("lang"), "Year": F.expr("concat(2000 + n_chars % 20, '.0')"), "DOI": F.col("text"),
+    }
+    shapes = [["article_id", "year", "doi"], ["doi", "note", "article_id", "year"], ["year", "article_id", "doi", "title"], ["DOI", "Year", "article_id"]]
+    for place, names in enumerate(shapes):
+        shape = docs.where(run % len(shapes) == place).select(
+            F.concat(run.cast("string"), F.lit(".csv")).alias("run"), *[columns[n].alias(n) for n in names])
+        shape.repartition("run").write.partitionBy("run").mode("append").options(
+            header=True, sep=";", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return path
+
+
 def answers(docs: DataFrame) -> DataFrame:
     """Landed answers of a service, two in four languages being error pages."""
     failed = F.lit("<ERROR>An error occurred while processing request. ")

@@ -7,8 +7,9 @@ from bibflow.operators.harmonise import conform
 from bibflow.operators.render import render_queries
 from bibflow.plans.runs import build_run
 from bibflow.schema import ARTICLE_COLUMNS, IEEE_DROPS, IEEE_RENAMES, Params
-from bibflow.sources.delimited import read_delimited, read_ieee, read_table
+from bibflow.sources.delimited import read_delimited, read_exports, read_ieee, read_table
 from bibflow.sources.listing import read_items, read_listing, reported_hits
+from bibflow.plans.skew import Limits
 from bibflow.sources.pubmed import read_bodies, read_pubmed, split_errors
 from bibflow.sources.strategy import read_search_types, read_syntax, read_terms
 from bibflow.streaming.ingest import ingest_pubmed
@@ -122,6 +123,53 @@ def test_ieee_export_without_a_column(spark, tmp_path):
         read_ieee(spark, str(tmp_path))
 
 
+def test_exports_of_many_shapes_are_one_plan(spark, tmp_path):
+    """Runs of single files and of folders of files, with and without a number; the plan has one branch."""
+    for i in range(12):
+        header, row = ["doi;article_id;year", "a;7;2014.0"] if i % 3 == 0 else (
+            ["\ufeffYear;x;x;DOI;", '2015;p;q;"b;""c""\n d";'] if i % 3 == 1 else ["doi;title", "c;\nd;t"])
+        (tmp_path / f"r {i}.csv").write_text(f"{header}\n{row}\n", encoding="utf-8")
+    (tmp_path / "set.csv").mkdir()
+    for part in "ab":
+        (tmp_path / "set.csv" / f"part-{part}.csv").write_text(f"doi\n{part}1\n{part}2\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "bare.csv").write_text("doi;year\n")
+    for limits in (Limits(), Limits(broadcast_keys=0, hot_rows=3)):
+        df = read_exports(spark, str(tmp_path), limits=limits)
+        rows = df.collect()
+        assert [r for r in rows if r["run_id"] == "r 4"][0].asDict() == {
+            "run_id": "r 4", "article_id": 0, "doi": 'b;"c"\n d', "year": 2015, "x1": "p", "x2": "q", "_c4": None, "title": None}
+        assert [(r["article_id"], r["doi"], r["year"]) for r in rows if r["run_id"] == "r 3"] == [(7, "a", 2014)]
+        assert sorted((r["article_id"], r["doi"], r["title"]) for r in rows if r["run_id"] == "r 2") == [(0, "c", None), (1, "d", "t")]
+        parts = [r for r in rows if r["run_id"] == "set"]
+        assert sorted(r["doi"] for r in parts) == ["a1", "a2", "b1", "b2"] and len({r["article_id"] for r in parts}) == 4
+        assert len(rows) == 4 + 4 + 8 + 4
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert " csv" not in plan and "Union" not in plan
+
+
+@pytest.mark.parametrize("row,fault", [
+    ("1;2;3", True), ("1;2;", True), ('1;"2\n', True), ("1", False), ('1;5" disk', False), ('"a;""b"";c";2', False)])
+def test_malformed_rows_of_exports(spark, tmp_path, row, fault):
+    (tmp_path / "a.csv").write_text(f"doi;year\n{row}\n")
+    df = read_exports(spark, str(tmp_path))
+    if fault:
+        with pytest.raises(Exception, match="malformed record"):
+            df.collect()
+    else:
+        assert df.count() == 1
+
+
+def test_exports_with_too_many_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a;b;c\n1;2;3\n")
+    assert read_exports(spark, str(tmp_path), max_columns=3).count() == 1
+    with pytest.raises(ValueError, match="a.csv"):
+        read_exports(spark, str(tmp_path), max_columns=2)
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no exported run"):
+        read_exports(spark, str(tmp_path / "none"))
+
+
 # PubMed
 
 ARTICLES = """<?xml version="1.0"?>
