@@ -434,26 +434,41 @@ def match_searches(spark, sf_dir):
     return search.match_searches(_searched(spark, sf_dir), *_strategy_tables(spark, list(_STRATEGIES)), ids=["doc_id"])
 
 
-@_query("""
+# Entries hold signs and wildcards, so a term is first met by the start of its first word and then tested as a pattern.
+@_query(r"""
     WITH words AS (
-        SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM documents),
+        SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS word FROM documents),
     entries AS (
-        SELECT page_id, generate_subscripts(list, 1) AS place, unnest(list) AS term FROM (
+        SELECT page_id, generate_subscripts(list, 1) AS place, unnest(list) AS entry FROM (
             SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS list FROM pages)),
     terms AS (
-        SELECT DISTINCT page_id, CASE WHEN place <= 3 THEN 'a' ELSE 'b' END AS category, lower(term) AS term
-        FROM entries WHERE regexp_full_match(term, '[\\p{L}\\p{N}]+')),
-    hits AS (SELECT doc_id, page_id, count(DISTINCT category) AS n FROM words JOIN terms ON word = term GROUP BY ALL)
+        SELECT DISTINCT page_id, CASE WHEN place <= 3 THEN 'a' ELSE 'b' END AS category,
+               trim(regexp_replace(replace(lower(entry), '"', ''), '\s+', ' ', 'g')) AS term
+        FROM entries WHERE regexp_matches(entry, '[\p{L}\p{N}]') AND NOT regexp_matches(entry, '(?:^|[^\p{L}\p{N}*])\*')),
+    starts AS (
+        SELECT DISTINCT term, regexp_extract(term, '[\p{L}\p{N}]+') AS start, regexp_full_match(term, '[\p{L}\p{N}]+') AS plain,
+               regexp_matches(term, '^[^\p{L}\p{N}]*[\p{L}\p{N}]+\*') AS open,
+               replace(replace(regexp_replace(term, '([^\p{L}\p{N}\s*])', '\\\1', 'g'), ' ', '\s+'), '*', '[\p{L}\p{N}]*') AS pattern
+        FROM terms),
+    met AS (
+        SELECT doc_id, term, plain, pattern FROM words JOIN starts ON word = start WHERE NOT open
+        UNION SELECT doc_id, term, plain, pattern FROM words JOIN starts ON left(word, 1) = left(start, 1) AND starts_with(word, start)
+        WHERE open),
+    fits AS (
+        SELECT doc_id, term FROM met WHERE plain
+        UNION ALL SELECT doc_id, term FROM met JOIN documents USING (doc_id)
+        WHERE NOT plain AND regexp_matches(lower(text), '(?:^|[^\p{L}\p{N}])(?:' || pattern || ')(?:[^\p{L}\p{N}]|$)')),
+    hits AS (SELECT doc_id, page_id, count(DISTINCT category) AS n FROM fits JOIN terms USING (term) GROUP BY ALL)
     SELECT doc_id, page_id AS search_id FROM hits
     JOIN (SELECT page_id, count(DISTINCT category) AS needed FROM terms GROUP BY page_id) USING (page_id)
-    WHERE n = needed""".replace("\\\\", "\\"))
+    WHERE n = needed""")
 def match_page_searches(spark, sf_dir):
-    """One saved search per web page, out of the words of its navigation list."""
+    """One saved search per web page, out of its navigation list: words, phrases, signs and wildcards."""
     pages = _table(spark, sf_dir, "pages")
     entries = F.regexp_extract_all("html", F.lit('<li><a href="[^"]*">([^<]*)</a></li>'), F.lit(1))
     terms = (
         pages.select("page_id", F.posexplode(entries).alias("place", "term"))
-        .where(F.col("term").rlike(rf"^{_W}+$"))
+        .where(F.col("term").rlike(_W) & ~F.col("term").rlike(rf"(?:^|[^\p{{L}}\p{{N}}*])\*"))
         .select(
             F.col("page_id").alias("search_id"),
             F.when(F.col("place") < 3, "a").otherwise("b").alias("category"),
@@ -487,7 +502,7 @@ _PARTS = """
     ('ACM', 'both', 0, 'Title:( ', ') '), ('ACM', 'both', 1, 'Abstract:(', ') '), ('ACM', 'title', 0, 'Title:( ', ') ')"""
 
 
-@_query(f"""
+_RENDERED = f"""
     WITH categories AS (
         SELECT conv_id, role, database,
                '(' || string_agg(before || text || after, ' OR ' ORDER BY part, turn) || ')' AS body
@@ -499,7 +514,10 @@ _PARTS = """
            regexp_replace(string_agg(CASE WHEN role = 'system' THEN ' NOT ' ELSE ' AND ' END || body, ''
                                      ORDER BY CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END),
                           '^ AND ', '') AS query
-    FROM categories GROUP BY conv_id, database""")
+    FROM categories GROUP BY conv_id, database"""
+
+
+@_query(_RENDERED)
 def render_queries(spark, sf_dir):
     """One saved search per conversation: a category per role, and system turns as exclusion."""
     turns = _table(spark, sf_dir, "conversations")
@@ -630,6 +648,53 @@ def strategy_terms(spark, sf_dir):
     return strategy.read_terms(spark, landed.strategy_files(_table(spark, sf_dir, "conversations")))
 
 
+@_query(f"""
+    SELECT CAST(conv_id AS VARCHAR) AS search_id, database, search_type, CAST(syntax_pos AS INT) AS syntax_pos, position, text
+    FROM (SELECT DISTINCT conv_id FROM conversations)
+    CROSS JOIN (VALUES {", ".join(map(str, _SYNTAX))}) p(database, search_type, syntax_pos, position, text)""")
+def strategy_syntax(spark, sf_dir):
+    """Syntax files that hold for one search each, read back."""
+    return strategy.read_syntax(spark, landed.syntax_files(_table(spark, sf_dir, "conversations"), _SYNTAX))
+
+
+@_query("""
+    SELECT DISTINCT CAST(conv_id AS VARCHAR) AS search_id,
+           CASE role WHEN 'system' THEN 'exclusion_category' ELSE role END AS category,
+           CASE role WHEN 'assistant' THEN 'title' ELSE 'Title/Abstract' END AS search_type
+    FROM conversations""")
+def strategy_types(spark, sf_dir):
+    """Search types out of a settings file per search, other sections left aside."""
+    return strategy.read_search_types(spark, landed.settings_files(_table(spark, sf_dir, "conversations")))
+
+
+@_query(_RENDERED.replace("conv_id AS search_id", "CAST(conv_id AS VARCHAR) AS search_id"))
+def render_from_files(spark, sf_dir):
+    """Search texts out of three kinds of files: strategies, syntax and settings."""
+    turns = _table(spark, sf_dir, "conversations")
+    terms = strategy.read_terms(spark, landed.strategy_files(turns))
+    syntax = strategy.read_syntax(spark, landed.syntax_files(turns, _SYNTAX))
+    return render.render_queries(terms, syntax, strategy.read_search_types(spark, landed.settings_files(turns)))
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN lang <> 'de' THEN source END AS source, text FROM documents")
+def mixed_folder(spark, sf_dir):
+    """Comma, tab and Parquet files of one folder as one table."""
+    return delimited.read_folder(spark, landed.mixed_folder(documents(spark, sf_dir)))
+
+
+@_query("""
+    SELECT strftime((SELECT max(ts) FROM events), '%Y-%m-%d_%H%M%S') || '_complete_articles' AS run_id,
+           row_number() OVER (ORDER BY source, doc_id) - 1 AS article_id, source, text AS title, lang AS keywords
+    FROM documents""")
+def export_run(spark, sf_dir):
+    """A numbered run exported under the time stamp of the last event, then found by its name and read."""
+    stamp = _table(spark, sf_dir, "events").agg(text.run_stamp(F.max("ts"))).first()[0]
+    folder = runtime.scratch_path(spark, "exports")
+    run = documents(spark, sf_dir).selectExpr("source", "doc_id", "text AS title", "lang AS keywords")
+    sinks.export_run(harmonise.assign_ids(run, ["source", "doc_id"]).drop("doc_id"), folder, stamp)
+    return delimited.read_exports(spark, folder)
+
+
 @_query("""
     SELECT doc_id, lang = 'de' OR lang = 'fr' AS failed,
            CASE lang WHEN 'de' THEN 'backend ' || source WHEN 'fr' THEN 'No ''Details'' found.' END AS details
@@ -703,7 +768,7 @@ def csv_malformed(spark, sf_dir):
     """Rows with a field too many are set apart; the others are read."""
     docs = documents(spark, sf_dir)
     line = F.concat_ws(";", "doc_id", "source", F.when(F.col("lang") == "de", "more"))
-    path = landed.in_files(docs.select("doc_id", line.alias("value")), "doc_id", "doc_id;source", None)
+    path = landed.in_files(docs.select("doc_id", line.alias("value")), "doc_id", "doc_id;source", None, landed.file_count(docs, 1_000_000))
     good, bad = delimited.split_malformed(spark, path, ";")
     number = F.substring_index("details", ";", 1).cast("bigint").alias("doc_id")
     return good.select(F.col("doc_id").cast("bigint"), "source", F.lit(False).alias("failed")).unionByName(
@@ -838,8 +903,9 @@ def screen_exports(spark, sf_dir):
 
 
 @_query("""
-    SELECT count(*) OVER (PARTITION BY source) AS total,
-           CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS position, CAST(doc_id AS VARCHAR) AS pmid
+    SELECT count(*) OVER (PARTITION BY source, doc_id // 500) AS total,
+           CAST(row_number() OVER (PARTITION BY source, doc_id // 500 ORDER BY doc_id) - 1 AS INT) AS position,
+           CAST(doc_id AS VARCHAR) AS pmid
     FROM documents""")
 def search_answers(spark, sf_dir):
     """Totals and ids out of landed answers to searches."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,10 +63,14 @@ def _code_point(number: Column) -> Column:
     return F.decode(bytes_, "UTF-32")
 
 
+def _names(table: dict[str, str]) -> Column:
+    return F.str_to_map(F.lit(" ".join(f"{name}={text}" for name, text in table.items())), F.lit(" "), F.lit("="))
+
+
 def decode_entities(html: Column) -> Column:
-    """Decode entities, each once: the names of HTML 4, decimal and hexadecimal numbers."""
-    table = " ".join(f"{name}={chr(code)}" for name, code in [*name2codepoint.items(), ("apos", 39)])
-    names = F.str_to_map(F.lit(table), F.lit(" "), F.lit("="))
+    """Decode entities, each once: the names of HTML 5 with their semicolon, decimal and hexadecimal numbers."""
+    common = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+    rare = {name[:-1]: text for name, text in html5.items() if name.endswith(";") and name[:-1] not in common}
 
     def piece(part: Column, index: Column) -> Column:
         body = F.regexp_extract(part, r"^(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
@@ -75,7 +79,8 @@ def decode_entities(html: Column) -> Column:
             hexa, F.conv(F.regexp_replace(body, "^#[xX]0*(?=.)", ""), 16, 10)
         ).when(body.startswith("#"), F.regexp_replace(body, "^#0*(?=.)", "")).try_cast("bigint")
         char = F.when(body.startswith("#"), _code_point(number)).otherwise(
-            F.try_element_at(names, body)
+            # A map is searched from its start, so the names of HTML 4 have one of their own.
+            F.coalesce(F.try_element_at(_names(common), body), F.try_element_at(_names(rare), body))
         )
         decoded = F.when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(
             F.concat(char, F.substr(part, F.length(body) + 2))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from bibflow.functions.keys import key_of
 from bibflow.functions.text import blank_to_null, in_natural_order, year_number
-from bibflow.operators.harmonise import replace_separators
+from bibflow.operators.harmonise import replace_separators, union_sources
 from bibflow.plans.skew import KEY, Limits, member_join
 from bibflow.runtime import materialise
 from bibflow.schema import ARTICLE_COLUMNS, IEEE_DROPS, IEEE_RENAMES
@@ -176,6 +176,35 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, sep: str
     raise ValueError(f"cannot read {path}: unknown format {kind!r}")
 
 
+def read_folder(spark: SparkSession, path: str, sep: str = ",", max_columns: int = 200, limits: Limits = Limits()) -> DataFrame:
+    """All ``.csv``, ``.tsv`` and ``.parquet`` files under a folder as one table, each read by its suffix.
+
+    Every column is text, as delimited files have no types. Files need not have the same columns: they are matched by
+    name, without regard to case, and a missing one is null; CSV files come first. A file with another suffix raises, an empty folder too.
+    """
+    if sep not in CSV_SEPARATORS:
+        raise ValueError(f"a csv file is separated by one of {CSV_SEPARATORS}, not {sep!r}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")  # no contents
+    suffix = F.regexp_extract("path", r"\.([^./]*)$", 1)
+    kinds = {r["suffix"]: r["path"] for r in files.groupBy(suffix.alias("suffix")).agg(F.min("path").alias("path")).collect()}
+    for kind, file in kinds.items():
+        if kind.lower() not in ("csv", "tsv", "parquet"):
+            raise ValueError(f"cannot read {file}: unknown format {kind!r}")
+    if not kinds:
+        raise ValueError(f"no table in {path}")
+    tables = []
+    for kind in sorted(kinds, key=str.lower):
+        if kind.lower() == "parquet":
+            reader = spark.read.option("pathGlobFilter", f"*.{kind}").option("recursiveFileLookup", True).option("mergeSchema", True)
+            table = reader.parquet(path)
+            tables.append(table.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in table.columns]))
+        else:
+            separator = sep if kind.lower() == "csv" else "\t"
+            rows, names = _rows_by_header(spark, path, separator, f"*.{kind}", [], [], max_columns, limits)
+            tables.append(rows.select(*[_field(place).alias(name) for place, name in enumerate(names)]))
+    return union_sources(*tables)
+
+
 def read_ieee(spark: SparkSession, path: str, max_columns: int = 200, limits: Limits = Limits()) -> DataFrame:
     """Every export in a folder as articles; further columns are kept.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bibflow.functions import listing as fields
 from bibflow.operators.compare import attach_detail
 from bibflow.plans.skew import Limits
+from bibflow.runtime import materialise
 from bibflow.schema import ARTICLE_COLUMNS
 
 
@@ -34,9 +35,12 @@ def read_items(pages: DataFrame) -> DataFrame:
 
 
 def read_listing(pages: DataFrame, details: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """ACM articles: the items of the result pages with the abstracts of their detail pages."""
+    """ACM articles: the items of the result pages with the abstracts of their detail pages.
+
+    Items are written before their keys are counted, so pages are parsed once.
+    """
     abstracts = details.select("page_id", "url", fields.detail_abstract(F.col("html")).alias("abstract"))
-    items = attach_detail(read_items(pages), abstracts, on="url", order="page_id", limits=limits)
+    items = attach_detail(materialise(read_items(pages), "items"), abstracts, on="url", order="page_id", limits=limits)
     none = F.lit(None).cast("string")
     articles = items.withColumns({"pmid": none, "keywords": none})
     return articles.select(

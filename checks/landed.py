@@ -80,7 +80,12 @@ _BOOK = """<PubmedBookArticle><BookDocument><PMID Version="1">{id}</PMID><Articl
 </Author></AuthorList><Abstract><AbstractText>{text}</AbstractText></Abstract></BookDocument></PubmedBookArticle>"""
 
 
-def in_files(rows: DataFrame, key: str, first: str, last: str | None, files: int = 16) -> str:
+def file_count(df: DataFrame, rows: int) -> int:
+    """Files of about ``rows`` rows, 16 at least."""
+    return max(16, df.count() // rows)
+
+
+def in_files(rows: DataFrame, key: str, first: str, last: str | None, files: int) -> str:
     """Lines (``value``) in files by hash of ``key``, each between the lines ``first`` and ``last``."""
     path = scratch_path(rows.sparkSession, "lines")
     rows = rows.select(F.pmod(F.xxhash64(key), F.lit(files)).cast("int").alias("file"), F.lit(1).alias("place"), "value")
@@ -95,13 +100,13 @@ def in_files(rows: DataFrame, key: str, first: str, last: str | None, files: int
     return f"{path}/*"
 
 
-def search_answers(docs: DataFrame) -> str:
-    """An answer per source: the number of its documents, and their ids."""
+def search_answers(docs: DataFrame, span: int = 500) -> str:
+    """An answer per source and ``span`` document ids: the number of its documents, and their ids."""
     tag = lambda name, body: F.concat(F.lit(f"<{name}>"), body, F.lit(f"</{name}>"))
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda d: tag("Id", d.cast("string"))), "")
-    answers = docs.groupBy("source").agg(
+    answers = docs.groupBy("source", F.floor(F.col("doc_id") / span).alias("range")).agg(
         tag("eSearchResult", F.concat(tag("Count", F.count("*").cast("string")), tag("IdList", ids))).alias("value"))
-    return in_files(answers, "source", "<Answers>", "</Answers>")
+    return in_files(answers, "value", "<Answers>", "</Answers>", file_count(docs, span * 1000))
 
 
 def search_pages(docs: DataFrame, search: int = 1000, page: int = 50) -> str:
@@ -117,7 +122,7 @@ def search_pages(docs: DataFrame, search: int = 1000, page: int = 50) -> str:
         tag("WebEnv", F.concat(F.lit("S"), F.col("search"))), tag("IdList", ids)))
     times = F.when(F.col("number") % 7 == 3, 0).when(F.col("number") % 5 == 1, 2).otherwise(1)
     copies = F.explode(F.array_repeat(value, times)).alias("value")
-    files = max(16, docs.count() // (page * 1000))  # some thousand pages a file
+    files = file_count(docs, page * 1000)  # some thousand pages a file
     return in_files(rows.select("search", "number", copies), "value", "<Answers>", "</Answers>", files)
 
 
@@ -287,7 +292,7 @@ def strategy_files(turns: DataFrame) -> str:
         for place, tag in [(0, name), (9, F.lit("</Categories></SearchConfig>"))]
     ]))
     around = opened.select("search_id").distinct().select("search_id", ends.alias("e")).select("search_id", "e.*")
-    file = F.pmod(F.xxhash64("search_id"), F.lit(16)).cast("int").alias("file")
+    file = F.pmod(F.xxhash64("search_id"), F.lit(file_count(turns, 100_000))).cast("int").alias("file")
     rows = lines.unionByName(opened).unionByName(closed).unionByName(around).select(file, F.lit(1).alias("place"), "*")
     root = F.explode(F.array(*[
         F.struct(F.lit(place).alias("place"), F.lit(tag).alias("value")) for place, tag in [(0, "<Strategies>"), (2, "</Strategies>")]]))
@@ -301,3 +306,40 @@ def strategy_files(turns: DataFrame) -> str:
         .text(path)
     )
     return path
+
+
+def syntax_files(turns: DataFrame, syntax: list[tuple]) -> str:
+    """The syntax of every database, given as rows of ``bibflow.schema.SYNTAX``, once per conversation as the search it holds for."""
+    databases: dict[str, dict[str, list]] = {}
+    for database, kind, _, position, value in sorted(syntax, key=lambda row: row[2]):
+        databases.setdefault(database, {}).setdefault(kind, []).append((position, value))
+    body = "".join(
+        f'<Database name="{database}">' + "".join(
+            f'<Syntax name="{kind}">' + "".join(f'<Term position="{at}">{value}</Term>' for at, value in parts) + "</Syntax>"
+            for kind, parts in kinds.items()) + "</Database>"
+        for database, kinds in databases.items())
+    start = F.concat(F.lit('<Databases search_id="'), F.col("search_id").cast("string"), F.lit('">'))
+    rows = turns.select(F.col("conv_id").alias("search_id")).distinct().select("search_id", F.concat(start, F.lit(body + "</Databases>")).alias("value"))
+    return in_files(rows, "search_id", "<Syntaxes>", "</Syntaxes>", file_count(turns, 100_000))
+
+
+def settings_files(turns: DataFrame) -> str:
+    """An INI file per conversation, in a folder named after the search: a search type per role, among other sections."""
+    path = scratch_path(turns.sparkSession, "settings")
+    name = F.when(F.col("role") == "system", EXCLUSION_CATEGORY).otherwise(F.initcap("role"))
+    kind = F.when(F.col("role") == "assistant", "_search_type = title").otherwise("_search_type: Title/Abstract")
+    lines = F.array_join(F.array_sort(F.collect_set(F.concat(name, kind))), "\n")
+    body = F.concat(F.lit("[general]\nuser_search_type = none\n\n[search]\n; types\n"), lines, F.lit("\n[output]\nother_search_type = none"))
+    settings = turns.groupBy(F.col("conv_id").alias("search_id")).agg(body.alias("value"))
+    settings.write.partitionBy("search_id").text(path)
+    return path
+
+
+def mixed_folder(docs: DataFrame) -> str:
+    """One folder of three formats; the delimited files have their columns in another order than the others."""
+    path, kept = scratch_path(docs.sparkSession, "mixed"), docs.select("doc_id", "source", "text")
+    export_csv(kept.where("lang = 'en'").select("text", "doc_id", "source"), path, ",")
+    kept.where("lang NOT IN ('en', 'de')").write.mode("append").parquet(path)
+    options = dict(sep="\t", header=True, escape='"', extension="tsv", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    kept.where("lang = 'de'").drop("source").write.mode("append").options(**options).csv(path)
+    return path

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bibflow.functions.listing import element, items, outermost
+from bibflow.sources.listing import read_items, read_listing
 
 
 def values(spark, html, column):
@@ -32,3 +33,10 @@ def test_items_end_at_their_own_closing_tag(spark):
     html = f"<ul>{start}a<ul><li>b</li></ul></li>\n{start}c</li></ul>footer<li>d</li>"
     assert values(spark, html, items) == ["a<ul><li>b</li></ul>", "c"]
     assert values(spark, f"{start}a{start}b</li>", items) == ["a", "b"]
+
+
+def test_pages_are_parsed_once(spark):
+    pages = spark.createDataFrame([(1, "https://x", "<li></li>")], "page_id BIGINT, url STRING, html STRING")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "hlFld" in plan(read_items(pages))
+    assert "hlFld" not in plan(read_listing(pages, pages))  # the join works on written items

@@ -7,7 +7,7 @@ from bibflow.operators.harmonise import conform
 from bibflow.operators.render import render_queries
 from bibflow.plans.runs import build_run
 from bibflow.schema import ARTICLE_COLUMNS, IEEE_DROPS, IEEE_RENAMES, Params
-from bibflow.sources.delimited import read_delimited, read_exports, read_ieee, read_table
+from bibflow.sources.delimited import read_delimited, read_exports, read_folder, read_ieee, read_table
 from bibflow.sources.listing import read_items, read_listing, reported_hits
 from bibflow.plans.skew import Limits
 from bibflow.sources.pubmed import read_bodies, read_pubmed, split_errors
@@ -32,7 +32,7 @@ def test_title_case(spark, label, want):
 @pytest.mark.parametrize("html,want", [
     ("a &amp; b", "a & b"), ("&amp;lt;", "&lt;"), ("&lt;i&gt;", "<i>"), ("&eacute;&nbsp;x", "é x"), ("&#8211;&#x2014;", "–—"),
     ("&#128512;", "😀"), ("&unknown; & &; &#; AT&T", "&unknown; & &; &#; AT&T"), ("&#55296;", "&#55296;"), ("", ""), (None, None),
-    ("&apos;&quot;", "'\""),
+    ("&apos;&quot;", "'\""), ("&lowbar;&equals;&NotEqualTilde;&Hat;", "_=\u2242\u0338^"), ("&lowbar &lowbars;", "&lowbar &lowbars;"),
 ])
 def test_entities(spark, html, want):
     assert column(spark, html, text.decode_entities) == want
@@ -74,6 +74,28 @@ def test_unknown_formats(spark, tmp_path):
             read_table(spark, str(tmp_path / path), sep=sep)
 
 
+def test_folder_of_several_formats(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.csv").write_text('a,b\n1,"x, ""y""\nz"\n')
+    (tmp_path / "b.csv").write_text("b,c\n2,3\n")
+    (tmp_path / "sub" / "C.TSV").write_text("B\ta\n4,5\t\n")
+    spark.createDataFrame([(6, 1.5)], "a INT, d DOUBLE").coalesce(1).write.parquet(str(tmp_path / "p"))
+    found = read_folder(spark, str(tmp_path))
+    assert [f.dataType.simpleString() for f in found.schema] == ["string"] * 4
+    rows = {tuple(r[c] for c in "abcd") for r in found.collect()}
+    assert rows == {("1", 'x, "y"\nz', None, None), (None, "2", "3", None), (None, "4,5", None, None), ("6", None, None, "1.5")}
+    (tmp_path / "sub" / "notes.txt").write_text("x")
+    with pytest.raises(ValueError, match="notes.txt: unknown format 'txt'"):
+        read_folder(spark, str(tmp_path))
+
+
+def test_folder_without_tables(spark, tmp_path):
+    with pytest.raises(ValueError, match="no table"):
+        read_folder(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="separated"):
+        read_folder(spark, str(tmp_path), sep="|")
+
+
 def test_differing_headers_raise(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n1,2\n")
     (tmp_path / "b.csv").write_text("y,x\n3,4\n")
