@@ -125,10 +125,13 @@ def fit_router(x: np.ndarray, parts: int, near: int = 20, recall: float = 0.95,
                epochs: int = 20) -> Router:
     """Learn parts from a sample, and how many a query must look into.
 
-    It is the smallest number with which the sample's rows find ``recall`` of
-    their ``near`` nearest rows in the sample, which lie further off than those in
-    the whole table. In the worst case it is all parts, and the search is exact.
+    A quarter of the sample is kept out of training. The number is the smallest with
+    which its rows find ``recall`` of their ``near`` nearest rows in that quarter, all
+    of them filed by the router as any row of the table will be; they lie further off than those
+    in the whole table. In the worst case it is all parts, and the search is exact.
     """
+    order = np.random.default_rng(7).permutation(len(x))
+    held, x = x[order[:len(x) // 4]], x[order[len(x) // 4:]]
     while parts > 1 and len(x) < 8 * parts:
         parts //= 2
     if parts <= 1:
@@ -140,10 +143,9 @@ def fit_router(x: np.ndarray, parts: int, near: int = 20, recall: float = 0.95,
     np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].ravel()), 1.0)
     target[np.arange(len(x)), part] += graph.shape[1] / 2
     router = Router(_train(x, target / target.sum(axis=1, keepdims=True), hidden, epochs), parts)
-    order = router.likeliest(x, parts)
-    rank = np.argsort(order, axis=1)
-    filed = order[:, 0]
-    needed = np.sort(np.take_along_axis(rank, filed[graph], axis=1).ravel())
+    likely = router.likeliest(held, parts)
+    rank = np.argsort(likely, axis=1)
+    needed = np.sort(np.take_along_axis(rank, likely[:, 0][neighbour_graph(held, near)], axis=1).ravel())
     probes = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
     return Router(router.layers, probes)
 

@@ -90,3 +90,16 @@ def test_one_ragged_row_takes_no_part(spark):
         assert found.keys() == {0, 20}
         expected = brute([r for r in some if r[0] != odd], 4, lambda i: i % 20 == 0)
         assert {q: [i for i, _ in near] for q, near in found.items()} == {q: [i for i, _ in near] for q, near in expected.items()}
+
+
+def test_probes_hold_for_rows_not_trained_on():
+    """The router of a sample, used on other rows, finds about the share of neighbours that it was fitted for."""
+    rng = np.random.default_rng(9)
+    middle = rng.standard_normal((40, 16)) * 2
+    draw = lambda n: middle[rng.integers(0, 40, n)] + rng.standard_normal((n, 16))
+    router, rows = ann.fit_router(draw(2000), 16), draw(3000)
+    assert router.parts == 16 and router.probes < 16
+    filed = router.likeliest(rows, 1)[:, 0]
+    looked = router.likeliest(rows, router.probes)
+    graph = ann.neighbour_graph(rows, 20)
+    assert (filed[graph][:, :, None] == looked[:, None, :]).any(axis=2).mean() >= 0.92

@@ -1,6 +1,7 @@
 """Quality and toxicity: held-out accuracy, what is learned, and odd rows."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -109,3 +110,45 @@ def test_sample_has_a_row_per_id(spark):
     labels = docs.select("doc_id").distinct().selectExpr("doc_id", "1 AS toxic")
     rows = labelled_sample(docs, labels, "toxic", 10).collect()
     assert len(rows) == len({r.doc_id for r in rows}) == 10
+
+
+def test_toxicity_scores_from_weights_computed_anew(spark, sf_dir):
+    """Scores against words cut and weights summed another way, from text and not from bytes."""
+    ship(spark)
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    weights = {k.decode("utf-8", "surrogateescape"): w for k, w in model.weights.items()}
+    assert len(weights) > 100
+
+    def again(text):
+        data = (text or "").encode()
+        data = "".join(chr(b + 32) if 65 <= b <= 90 else chr(b) for b in data)  # a character per byte
+        words = set(re.findall("[0-9a-z\x80-\xff]+", data))
+        held = words | {f"{n}:{w[:n]}" for n in (4, 5, 6) for w in words if len(w) > n}
+        return model.intercept + sum(weights.get(h.encode("latin-1").decode("utf-8", "surrogateescape"), 0.0) for h in held)
+
+    rows = toxicity.score(docs, model).select("text", "score").collect()
+    assert np.allclose([r.score for r in rows], [1 / (1 + np.exp(-again(r.text))) for r in rows])
+    assert len({round(r.score, 6) for r in rows}) > 100
+
+
+def test_toxicity_weights_equal_a_dense_fit():
+    """Sparse accelerated steps against Newton steps on the same penalised loss."""
+    rng = np.random.default_rng(2)
+    x = (rng.random((300, 12)) < 0.3).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(2 - 3 * x[:, 1] - 2 * x[:, 4]))).astype(float)
+    d = np.zeros((40, 12))
+    for row in d:
+        out, into = rng.choice(12, 2, replace=False)
+        row[out], row[into] = -1, 1
+    ridge, fairness = 0.01, 0.5
+    rows = toxicity._Rows([np.flatnonzero(r) for r in x], 12)
+    swaps = toxicity._Rows([np.flatnonzero(r) for r in d], 12, [r[r != 0] for r in d])
+    w, b = toxicity.fit_weights(rows, y, swaps, ridge, fairness, steps=5000)
+    a, penalty = np.c_[x, np.ones(300)], np.zeros((13, 13))
+    penalty[:12, :12] = ridge * np.eye(12) + fairness * d.T @ d / 40
+    v = np.zeros(13)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ v))
+        v -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) / 300 + penalty, a.T @ (p - y) / 300 + penalty @ v)
+    assert np.allclose(np.r_[w, b], v, atol=1e-4)
