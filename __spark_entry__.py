@@ -663,7 +663,7 @@ def strategy_syntax(spark, sf_dir):
            CASE role WHEN 'assistant' THEN 'title' ELSE 'Title/Abstract' END AS search_type
     FROM conversations""")
 def strategy_types(spark, sf_dir):
-    """Search types out of a settings file per search, other sections left aside."""
+    """Search types out of settings files with a section per search, other sections left aside."""
     return strategy.read_search_types(spark, landed.settings_files(_table(spark, sf_dir, "conversations")))
 
 

@@ -14,6 +14,8 @@ _DATABASES = (
     "Term: ARRAY<STRUCT<_position: STRING, _VALUE: STRING>>>>>>"
 )
 
+_NAMED_SECTION = r"^\[search[ \t]+([^\]\s][^\]\n]*?)[ \t]*\]"
+
 
 def _read(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     reader = spark.read.format("xml").option("rowTag", tag).option("ignoreSurroundingSpaces", False)
@@ -70,13 +72,19 @@ def read_syntax(spark: SparkSession, path: str) -> DataFrame:
 def read_search_types(spark: SparkSession, path: str, searches: str | DataFrame | None = None) -> DataFrame:
     """Search types from the ``<category>_search_type`` settings of INI files, in their ``search`` section.
 
-    Each file's settings hold for the search it is named after. With
-    ``searches``, one name or a table with ``search_id``, those of one file hold for all of these.
+    The first such section of a file holds for the search that the file is named after. A
+    section ``[search <name>]`` holds for the search of that name, so that a file can hold many
+    searches. With ``searches``, one name or a table with ``search_id``, the settings of one file hold for all of these.
     """
     text = F.regexp_replace("value", r"\r\n?", "\n")
-    section = F.regexp_extract(text, r"(?s)(?:^|\n)\[search\][^\n]*\n(.*?)(?=\n\[|$)", 1)
-    lines = spark.read.text(path, wholetext=True).select(
-        _search_id("ini").alias("search_id"), F.explode(F.split(section, "\n")).alias("line"))
+    sections = F.split(text, r"(?:^|\n)(?=\[)")
+    own = F.slice(F.filter(sections, lambda s: s.startswith("[search]")), 1, 1)
+    of_others = F.filter(sections, lambda s: s.rlike(_NAMED_SECTION))
+    settings = spark.read.text(path, wholetext=True).select(
+        _search_id("ini").alias("file"), F.explode(F.concat(own, of_others)).alias("section"))
+    named = F.nullif(F.regexp_extract("section", _NAMED_SECTION, 1), F.lit(""))
+    body = F.regexp_replace("section", r"^[^\n]*\n?", "")
+    lines = settings.select(F.coalesce(named, "file").alias("search_id"), F.explode(F.split(body, "\n")).alias("line"))
     setting = r"^([^=:#;\s][^=:]*?)_search_type\s*[=:]\s*(.*?)\s*$"
     types = lines.where(F.lower("line").rlike(setting)).select(
         "search_id", F.regexp_extract(F.lower("line"), setting, 1).alias("category"),

@@ -324,15 +324,15 @@ def syntax_files(turns: DataFrame, syntax: list[tuple]) -> str:
 
 
 def settings_files(turns: DataFrame) -> str:
-    """An INI file per conversation, in a folder named after the search: a search type per role, among other sections."""
-    path = scratch_path(turns.sparkSession, "settings")
+    """INI files of many searches, with a section for each conversation: a search type per role, among other sections."""
     name = F.when(F.col("role") == "system", EXCLUSION_CATEGORY).otherwise(F.initcap("role"))
     kind = F.when(F.col("role") == "assistant", "_search_type = title").otherwise("_search_type: Title/Abstract")
     lines = F.array_join(F.array_sort(F.collect_set(F.concat(name, kind))), "\n")
-    body = F.concat(F.lit("[general]\nuser_search_type = none\n\n[search]\n; types\n"), lines, F.lit("\n[output]\nother_search_type = none"))
+    start = F.concat(F.lit("[search "), F.coalesce(F.col("search_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit("]\n; types\n"))
+    body = F.concat(start, lines, F.lit("\n[output]\nother_search_type = none"))
     settings = turns.groupBy(F.col("conv_id").alias("search_id")).agg(body.alias("value"))
-    settings.write.partitionBy("search_id").text(path)
-    return path
+    general = "[general]\nuser_search_type = none\n"
+    return in_files(settings, "value", general, None, file_count(turns, 100_000))
 
 
 def mixed_folder(docs: DataFrame) -> str:

@@ -13,6 +13,7 @@ from bibflow.plans.skew import Limits
 from bibflow.sources.pubmed import read_bodies, read_pubmed, split_errors
 from bibflow.sources.strategy import read_search_types, read_syntax, read_terms
 from bibflow.streaming.ingest import ingest_pubmed
+from checks import landed as landed_files
 
 
 def column(spark, value, expression):
@@ -348,6 +349,22 @@ def test_strategy_files(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("gait", "ACM", '( Gait  OR  "motor control" ) NOT (Title:( robot*) )')]
 
 
+def test_one_settings_file_for_many_searches(spark, tmp_path):
+    (tmp_path / "own.ini").write_text(
+        "[search]\r\na_search_type = title\r\n[search two words ]\nA_search_type: Title/Abstract\nb_search_type = x\n"
+        "[other]\na_search_type = no\n[search 7]\n; none\n[search]\na_search_type = no\n[search 7]\nb_search_type = y")
+    assert sorted(map(tuple, read_search_types(spark, str(tmp_path)).collect())) == [
+        ("7", "b", "y"), ("own", "a", "title"), ("two words", "a", "Title/Abstract"), ("two words", "b", "x")]
+
+
+def test_settings_of_all_searches_are_in_few_files(spark):
+    turns = spark.createDataFrame([(i, r) for i in range(300) for r in ("user", "system")], "conv_id BIGINT, role STRING")
+    path = landed_files.settings_files(turns)
+    assert spark.read.text(path, wholetext=True).count() <= 16
+    got = sorted(map(tuple, read_search_types(spark, path).collect()))
+    assert got == sorted((str(i), c, "Title/Abstract") for i in range(300) for c in ("user", "exclusion_category"))
+
+
 # Tables
 
 def test_writing_one_run_again_keeps_the_others(spark, tmp_path):
