@@ -92,12 +92,16 @@ def write_batch(records: DataFrame, path: str, batch: int) -> None:
     """
     if "ingest_path" not in records.columns:
         return _commit(records, path, f"batch-{batch:09d}")
-    records = records.withColumnRenamed("ingest_path", _FILE)
-    taken = _taken(records.sparkSession, path)
-    if taken is not None:
-        same = F.col("run_id").cast("string").eqNullSafe(F.col("_run")) & (F.col(_FILE) == F.col("_file"))
-        records = records.join(taken, same, "left_anti")
-    _commit(records, path, f"files-{uuid.uuid4().hex}")
+    _commit(not_taken(records, path).withColumnRenamed("ingest_path", _FILE), path, f"files-{uuid.uuid4().hex}")
+
+
+def not_taken(rows: DataFrame, path: str) -> DataFrame:
+    """The rows, by ``run_id`` and ``ingest_path``, of landed files that the table has not taken yet."""
+    taken = _taken(rows.sparkSession, path.rstrip("/"))
+    if taken is None:
+        return rows
+    same = F.col("run_id").cast("string").eqNullSafe(F.col("_run")) & (F.col("ingest_path") == F.col("_file"))
+    return rows.join(taken, same, "left_anti")
 
 
 def _taken(spark: SparkSession, path: str) -> DataFrame | None:

@@ -83,13 +83,13 @@ def _parsed(record: Column, schema: str) -> Column:
     return F.from_xml(record, f"{schema}, {_CORRUPT} STRING", options)
 
 
-def _routed(bodies: DataFrame) -> DataFrame:
+def _routed(bodies: DataFrame, file: Column | None = None) -> DataFrame:
     """Every record of whole landed files (``value``), and every fault, with its ``details``, out of one pass.
 
     A file is cut where records start, and each piece is read by itself: as article, as book, or as
     a fault if it is cut off or not well formed. What stands before the first record may hold the service's error.
     """
-    file = F.col("_metadata.file_path")
+    file = F.col("_metadata.file_path") if file is None else file
     pieces = bodies.select(
         in_natural_order(file).alias("ingest_file"), file.alias("ingest_path"),
         F.posexplode(F.split("value", f"(?={_START})")).alias("ingest_seq", "piece"))
@@ -181,8 +181,18 @@ def read_search_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pubmed_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """The same records as a stream of newly landed files."""
+    return parse_bodies(stream_bodies(spark, path, files_per_batch))
+
+
+def stream_bodies(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Newly landed files as a stream, whole (``value``) and with their ``ingest_path``."""
     bodies = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True)
-    return _records(_sound(_routed(bodies)))
+    return bodies.select("value", F.col("_metadata.file_path").alias("ingest_path"))
+
+
+def parse_bodies(bodies: DataFrame) -> DataFrame:
+    """The records of whole files as ``stream_bodies`` gives them; a fault stops the job."""
+    return _records(_sound(_routed(bodies, F.col("ingest_path"))))
 
 
 def split_errors(bodies: DataFrame, body: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bibflow.operators.harmonise import conform
-from bibflow.sinks import write_batch
-from bibflow.sources.pubmed import read_pubmed_stream
+from bibflow.sinks import not_taken, write_batch
+from bibflow.sources.pubmed import parse_bodies, stream_bodies
 
 
 def ingest_pubmed(
@@ -25,11 +25,17 @@ def ingest_pubmed(
     The stream keeps no state between batches; the checkpoint remembers which
     files are done, and the table which files it has. So a batch that is repeated after a
     failure, or a new checkpoint over the same folder, adds only what is not there yet.
+    Files that the table has are not parsed, and a batch of such files alone writes nothing.
     """
-    records = read_pubmed_stream(spark, landed, files_per_batch).withColumn("run_id", F.lit(run_id))
+    def write(batch, number):
+        new = not_taken(batch, table)
+        if not new.select("ingest_path").isEmpty():
+            records = parse_bodies(new).withColumn("run_id", F.lit(run_id))
+            write_batch(conform(records, keep_extra=True).drop("publication_type"), table, number)
+
     return (
-        conform(records, keep_extra=True).drop("publication_type").writeStream
-        .foreachBatch(lambda batch, number: write_batch(batch, table, number))
+        stream_bodies(spark, landed, files_per_batch).withColumn("run_id", F.lit(run_id)).writeStream
+        .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

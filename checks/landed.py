@@ -127,10 +127,11 @@ def search_pages(docs: DataFrame, search: int = 1000, page: int = 50) -> str:
 
 
 def pubmed_files(docs: DataFrame, broken: bool = False) -> str:
-    """XML files of 200 records: Spanish documents as book chapters, the others as articles.
+    """XML files of 200 to 5,000 records, the more the larger the table: Spanish documents as book chapters, the others as articles.
 
-    With ``broken``, every third file has a record that is cut off.
+    With ``broken``, files have 200 records and every third one has a record that is cut off.
     """
+    span = 200 if broken else min(5000, max(200, docs.count() // 16))
     path, docs = scratch_path(docs.sparkSession, "pubmed"), spread_small(docs, "doc_id")
     own_doi = filled('<ArticleId IdType="doi">{doi}</ArticleId>', doi=doi())
     author = filled(
@@ -155,7 +156,7 @@ def pubmed_files(docs: DataFrame, broken: bool = False) -> str:
     book = filled(_BOOK, doi=doi(), **common)
     record = F.when(F.col("lang") == "es", book).otherwise(article)
     batches = docs.select(
-        F.floor(F.col("doc_id") / 200).cast("bigint").alias("batch"), F.lit(1).alias("place"), record.alias("value")
+        F.floor(F.col("doc_id") / span).cast("bigint").alias("batch"), F.lit(1).alias("place"), record.alias("value")
     )
     cut = F.when(F.lit(broken) & (F.col("batch") % 3 == 1), "<PubmedArticle><MedlineCitation><PMID>9</PMID>").otherwise("")
     ends = F.explode(F.array(*[

@@ -259,6 +259,23 @@ def test_stream_takes_new_files_once_and_equals_batch(spark, landed, tmp_path):
     assert sorted((r["article_id"], r["run_id"]) for r in run.collect()) == [(i, "r2") for i in range(8)]
 
 
+def test_files_that_were_taken_are_not_parsed_again(spark, landed, tmp_path):
+    def ingest(progress):
+        ingest_pubmed(spark, str(landed), str(tmp_path / "table"), str(tmp_path / progress), "r1", files_per_batch=1).awaitTermination()
+    ingest("first")
+    (landed / "batch_0.xml").write_text("<PubmedArticleSet><PubmedArticle></PubmedArticleSet>", encoding="utf-8")  # stops whoever parses it
+    ingest("second")
+    assert sinks.read_runs(spark, str(tmp_path / "table")).count() == 5
+
+
+def test_landed_files_grow_with_the_table(spark):
+    docs = spark.range(8000).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "'s' AS source", "id AS n_chars")
+    files = read_bodies(spark, landed_files.pubmed_files(docs))
+    assert files.count() == 16
+    assert read_bodies(spark, landed_files.pubmed_files(docs.where("doc_id < 1000"))).count() == 5
+    assert read_bodies(spark, landed_files.pubmed_files(docs, broken=True)).count() == 40
+
+
 def test_error_answers(spark, tmp_path):
     error = "<E>An error occurred while processing request</E>"
     for name, body in [("a", "<Set/>"), ("b", error), ("c", error + "\nDetails:\n  no backend</E>"), ("d", error + " Details: rest\nmore")]:
