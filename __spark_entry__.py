@@ -932,12 +932,14 @@ _LONG_WORDS = r"""
 def boolean_search_many_terms(spark, sf_dir):
     """One strategy out of the long words of all documents, more than fit into one expression."""
     docs = runtime.spread_small(documents(spark, sf_dir), "doc_id")
-    words = docs.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"{_W}+"), F.lit(0))).alias("term"))
-    wanted = words.where(F.length("term") >= 8).select("term", F.lit("long").alias("category"), F.lit(False).alias("is_exclusion"))
-    left_out = words.where((F.col("lang") == "fr") & (F.length("term") >= 16)).select(
-        "term", F.lit(schema.EXCLUSION_CATEGORY).alias("category"), F.lit(True).alias("is_exclusion"))
-    terms = wanted.unionByName(left_out).distinct().select(
-        F.lit("s").alias("search_id"), "category", F.lit(0).alias("category_pos"), "is_exclusion", F.lit(0).alias("term_pos"), "term")
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"{_W}+"), F.lit(0)))
+    words = docs.select("lang", F.explode(F.filter(found, lambda w: F.length(w) >= 8)).alias("term"))
+    # Texts are cut into words once, for both categories.
+    left_out = (F.col("lang") == "fr") & (F.length("term") >= 16)
+    categories = F.filter(F.array(F.lit("long"), F.when(left_out, schema.EXCLUSION_CATEGORY)), lambda c: c.isNotNull())
+    terms = words.select("term", F.explode(categories).alias("category")).distinct().select(
+        F.lit("s").alias("search_id"), "category", F.lit(0).alias("category_pos"),
+        (F.col("category") == schema.EXCLUSION_CATEGORY).alias("is_exclusion"), F.lit(0).alias("term_pos"), "term")
     types = spark.createDataFrame(
         [("s", c, "title/abstract") for c in ("long", schema.EXCLUSION_CATEGORY)], schema.SEARCH_TYPES)
     return search.boolean_search(docs.selectExpr("doc_id", "text AS abstract"), terms, types).select("doc_id")
