@@ -73,10 +73,12 @@ def element(html: Column, tag: str, **attributes: str) -> Column:
     """Inner HTML of the first such element, null if there is none."""
     start = opening(tag, **attributes)
     rest = extract(html, rf"(?s){start}.*", 0)
+    # Up to the first closing tag in whole runs of text, not by characters; possessive, so long ones take no stack.
+    inner = rf"(?:[^<]+|<(?!/{tag}\s*>))*+"
     return let(
-        extract(html, rf"(?s){start}(.*?)</{tag}\s*>"),
+        extract(html, rf"{start}({inner})</{tag}\s*>"),
         lambda short: F.when(
-            short.rlike(rf"<{tag}[\s/>]"), F.coalesce(F.get(outermost(rest, tag), F.lit(0)), short)
+            short.contains(f"<{tag}") & short.rlike(rf"<{tag}[\s/>]"), F.coalesce(F.get(outermost(rest, tag), F.lit(0)), short)
         ).otherwise(short),
     )
 

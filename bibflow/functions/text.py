@@ -93,8 +93,11 @@ def decode_entities(html: Column) -> Column:
 
 def markup_text(html: Column, joiner: str = " ") -> Column:
     """The text pieces of an HTML fragment, trimmed, blanks dropped, joined by ``joiner``."""
-    pieces = F.split(F.regexp_replace(html, _NOT_TEXT, ""), r"<[^>]+>")
-    cleaned = F.transform(pieces, lambda p: trimmed(decode_entities(p)))
+    def pieces(source: Column) -> Column:
+        parts = F.split(F.regexp_replace(source, _NOT_TEXT, ""), r"<[^>]+>")
+        return F.when(source.contains("<"), parts).when(source.isNotNull(), F.array(source))
+
+    cleaned = F.transform(let(html, pieces), lambda p: trimmed(decode_entities(p)))
     return F.array_join(F.filter(cleaned, lambda p: p != ""), joiner)
 
 

@@ -14,6 +14,7 @@ KEY = "_key"
 ROWS = "_rows"
 _SLICE = "_slice"
 _SLICES = "_slices"
+_MATCH = "_match"
 _BAND, _BANDS, _COLUMN, _COLUMNS, _NUMBER = "_band", "_bands", "_column", "_columns", "_number"
 
 
@@ -67,9 +68,16 @@ def sliced_join(
     A row's slice follows from the task it is in, so even rows that are equal
     in all columns are spread, and a task that runs again sends each row to
     the same place. ``counts`` are the rows per key of ``left``, if known.
+    Where no key is hot, a right side that is already dealt out by key stays so.
     """
     hot = hot_keys(key_counts(left) if counts is None else counts, limits)
     task = F.spark_partition_id()
+    if dict(left.dtypes)[KEY] == dict(right.dtypes)[KEY] == "string" and hot.isEmpty():
+        # Rows without a key are spread by a made-up one, which must not match.
+        spread = left.withColumn(_SLICE, F.coalesce(F.col(KEY), F.concat(F.lit("-"), task.cast("string"))))
+        match = (F.col(_SLICE) == F.col(_MATCH)) & F.col(KEY).isNotNull()
+        joined = spread.join(right.withColumnRenamed(KEY, _MATCH).hint("merge"), match, how).drop(_SLICE, _MATCH)
+        return joined.select(KEY, *[F.col(f"`{c}`") for c in joined.columns if c != KEY])
     sliced_left = left.join(F.broadcast(hot), KEY, "left").withColumn(
         _SLICE,
         F.when(F.col(KEY).isNull(), task).otherwise(F.coalesce(task % F.col(_SLICES), F.lit(0))),

@@ -171,10 +171,14 @@ def _commit(df: DataFrame, path: str, name: str) -> None:
         fs.delete(folder, True)
 
 
-def export_csv(df: DataFrame, path: str, sep: str = ";", mode: str = "error") -> None:
-    """Delimited files with a header. Line breaks, quotes and outer blanks of fields survive."""
+def export_csv(df: DataFrame, path: str, sep: str = ";", mode: str = "error", file_rows: int = 0) -> None:
+    """Delimited files with a header. Line breaks, quotes and outer blanks of fields survive.
+
+    With ``file_rows``, a task goes on in a new file after so many rows.
+    """
     (
         df.write.mode(mode)
+        .option("maxRecordsPerFile", file_rows)
         .option("sep", sep)
         .option("header", True)
         .option("escape", '"')

@@ -21,6 +21,9 @@ _RUN_COLUMNS = ["run_id", "article_id", *ARTICLE_COLUMNS]
 # Separators that a .csv file may have; a .tsv file has tabs.
 CSV_SEPARATORS = [",", ";"]
 
+# Columns that are read beyond those of the first header, before a folder is read again with all that may be.
+_SPARE_COLUMNS = 8
+
 
 def _reader(spark: SparkSession, sep: str):
     return (
@@ -71,34 +74,53 @@ def split_malformed(spark: SparkSession, path: str | list[str], sep: str = ",")
     return good, materialise(bad, "malformed").drop("first")
 
 
-def _rows_by_header(
-    spark: SparkSession, path: str, sep: str, glob: str, required: list[str], known: list[str], max_columns: int, limits: Limits
-) -> tuple[DataFrame, list[str]]:
-    """The records of all files of a folder, whatever columns each has, and the names of all columns.
+def _raw_rows(reader, path: str, sep: str, columns: int) -> DataFrame:
+    """Records as arrays of at most ``columns`` fields, with their width and faults.
 
-    Files are read once, without a header and as arrays, and written. The first row of
-    a file names its columns; ``_at`` says for each name where a record's file has
-    it, -1 if nowhere. Names count without regard to case and are spelled as in ``known``; an
-    empty one is ``_c`` and its place, one that a file has twice gets its place at the end.
+    ``_full`` is set where a record may have so many fields or more, so that its width is not known well.
     """
-    cells = [f"_c{i}" for i in range(max_columns)]
+    cells = [f"_c{i}" for i in range(columns)]
     fields = [T.StructField(n, T.StringType()) for n in [*cells, _CORRUPT]]
-    reader = _reader(spark, sep).option("header", False).option("pathGlobFilter", glob).option("recursiveFileLookup", True)
     read = reader.schema(T.StructType(fields)).option("columnNameOfCorruptRecord", _CORRUPT).csv(path)
+
+    def signs(text: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(sep), F.lit("")))
+
     bare = F.regexp_replace(_CORRUPT, '"[^"]*"', "")
-    signs = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))
+    # Quotes count at the start of a field only, as for the parser: never less separators than it found.
+    outside = F.regexp_replace(_CORRUPT, f'(?<![^{re.escape(sep)}])"[^"]*+(?:""[^"]*+)*+"', "")
     filled = F.array_max(F.transform(F.col("_cells"), lambda v, i: F.when(v.isNotNull(), i + 1)))
-    rows = (
+    return (
         read.select("*", F.array(*cells).alias("_cells"), F.col("_metadata.file_path").alias("_file"))
         .select(
             "_file", F.monotonically_increasing_id().alias("_seq"), "_cells",
-            F.coalesce(F.greatest(signs + 1, filled), F.lit(max_columns)).alias("_width"),
+            F.coalesce(F.greatest(signs(bare) + 1, filled), F.lit(columns)).alias("_width"),
             F.coalesce(bare.rlike(f'(?:^|{re.escape(sep)})"'), F.lit(False)).alias("_open"),
             F.coalesce(bare.contains('"'), F.lit(False)).alias("_odd"), F.left(_CORRUPT, F.lit(200)).alias("_start"),
+            F.coalesce(signs(outside) + 1 >= columns, F.lit(True)).alias("_full"),
         )
-        .withColumn("_cells", F.slice("_cells", F.lit(1), F.least(F.col("_width"), F.lit(max_columns))))
+        .withColumn("_cells", F.slice("_cells", F.lit(1), F.least(F.col("_width"), F.lit(columns))))
     )
-    rows = materialise(rows, "rows")
+
+
+def _rows_by_header(
+    spark: SparkSession, path: str, sep: str, glob: str, required: list[str], known: list[str], max_columns: int, limits: Limits
+) -> tuple[DataFrame, list[str]]:
+    """The records of all files of a folder, whatever columns each has, and the names of all columns.
+
+    Files are read once, without a header and as arrays, and written. The first row of
+    a file names its columns; ``_at`` says for each name where a record's file has
+    it, -1 if nowhere. Names count without regard to case and are spelled as in ``known``; an
+    empty one is ``_c`` and its place, one that a file has twice gets its place at the end.
+    """
+    reader = _reader(spark, sep).option("header", False).option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    # The parser takes long over each column that a row lacks, so the first header found says how many are read.
+    header = _raw_rows(reader, path, sep, max_columns).select("_width").first()
+    columns = min(max_columns, (header["_width"] if header else 0) + _SPARE_COLUMNS)
+    rows = materialise(_raw_rows(reader, path, sep, columns), "rows")
+    if columns < max_columns and not rows.where("_full").select("_full").isEmpty():
+        rows = materialise(_raw_rows(reader, path, sep, max_columns), "rows")
+    rows = rows.drop("_full")
     first = materialise(rows.groupBy("_file").agg(F.min("_seq").alias(KEY)), "first").select(KEY)
     heads = member_join(rows.withColumn(KEY, F.col("_seq")), first, "left_semi", limits=limits)
     named = F.transform("_cells", lambda v, i: F.coalesce(
@@ -124,7 +146,8 @@ def _rows_by_header(
 
     at = F.transform(F.array(*[F.lit(n.lower()) for n in names]).cast("array<string>"),
                      lambda n: F.array_position("_lower", n).cast("int") - 1)
-    maps = heads.select(key_of("_file").alias(KEY), "_first", F.col("_width").alias("_columns"), at.alias("_at"))
+    maps = heads.select(key_of("_file").alias(KEY), "_first", F.col("_width").alias("_columns"), at.alias("_at"),
+                        in_natural_order(F.col("_file")).alias("_in_order"))
     rows = member_join(rows.withColumn(KEY, key_of("_file")), materialise(maps, "maps"), "left", limits=limits)
     faults = F.col("_open") | (F.col("_width") > F.col("_columns")) | (F.col("_odd") & (F.col("_width") < F.col("_columns")))
     stop = F.raise_error(F.concat(F.lit("malformed record: "), F.coalesce("_start", F.lit(""))))
@@ -215,7 +238,7 @@ def read_ieee(spark: SparkSession, path: str, max_columns: int = 200, limits: Li
     if not names:
         raise ValueError(f"no IEEE export in {path}")
     records = rows.select(
-        in_natural_order(F.col("_file")).alias("ingest_file"),
+        F.col("_in_order").alias("ingest_file"),
         F.lit(0).alias("record_kind"),
         F.col("_seq").alias("ingest_seq"),
         *[_field(place).alias(name) for place, name in enumerate(names) if name not in IEEE_DROPS],

@@ -42,7 +42,10 @@ def filled(template: str, **values: Column) -> Column:
 
 
 def ieee_exports(docs: DataFrame) -> str:
-    """Two kinds of export files in one folder; the second has its columns the other way round."""
+    """Two kinds of export files in one folder; the second has its columns the other way round.
+
+    A file has 10,000 records at most, so larger splits of the table give more files and not larger ones.
+    """
     path, docs = scratch_path(docs.sparkSession, "ieee"), spread_small(docs, "doc_id")
     columns = {
         "Document Title": F.concat(F.lit('A "study"; of '), F.col("source")),
@@ -58,8 +61,8 @@ def ieee_exports(docs: DataFrame) -> str:
         "Document Number": F.col("doc_id").cast("string"),
     }
     selected = [value.alias(name) for name, value in columns.items()]
-    export_csv(docs.where("lang = 'en'").select(*selected), path, ",")
-    export_csv(docs.where("lang <> 'en'").select(*reversed(selected)), path, ",", mode="append")
+    export_csv(docs.where("lang = 'en'").select(*selected), path, ",", file_rows=10_000)
+    export_csv(docs.where("lang <> 'en'").select(*reversed(selected)), path, ",", mode="append", file_rows=10_000)
     return path
 
 
@@ -184,6 +187,16 @@ _ITEM = """<li class="search__item issue-item-container"><div class="issue-item_
 <span class="citation"><i></i> <span>{cites}</span></span></div></li>"""
 
 
+def _by_page(rows: DataFrame) -> DataFrame:
+    """Rows dealt out by ``page_id`` for grouping, in a fixed number of partitions.
+
+    Pages are small and costly to parse; Spark merges the partitions of a plain grouping by their bytes into a few.
+    """
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts, "page_id")
+
+
 def listing_pages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Result pages of 20 items, and detail pages for all but the French documents."""
     docs = spread_small(docs, "doc_id")
@@ -197,7 +210,8 @@ def listing_pages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         ).otherwise(""),
     )
     pages = (
-        docs.groupBy(F.floor(F.col("doc_id") / 20).cast("bigint").alias("page_id"))
+        _by_page(docs.withColumn("page_id", F.floor(F.col("doc_id") / 20).cast("bigint")))
+        .groupBy("page_id")
         .agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))).alias("items"))
         .select(
             "page_id",
@@ -236,7 +250,7 @@ def nested_pages(docs: DataFrame) -> DataFrame:
         F.concat(F.lit('<span class="citation"><span><span>'), F.col("n_chars").cast("string"), F.lit("</span></span></span>")))
     item = filled(_NESTED_ITEM, id=F.col("doc_id"), lang=F.col("lang"), source=F.col("source"), year=year(), cites=cites)
     items = spread_small(docs, "doc_id").select(F.floor(F.col("doc_id") / 20).cast("bigint").alias("page_id"), "doc_id", item.alias("item"))
-    return items.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "item"))).alias("items")).select(
+    return _by_page(items).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "item"))).alias("items")).select(
         "page_id",
         F.concat(F.lit("<ul>"), F.array_join(F.transform("items", lambda i: i["item"]), "\n"),
                  F.lit('</ul><div><span class="citation">all of them</span></div>')).alias("html"),

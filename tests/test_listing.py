@@ -28,6 +28,11 @@ def test_element_ends_at_its_own_closing_tag(spark, html, want):
     assert values(spark, html, lambda h: element(h, "b", class_="k")) == want
 
 
+def test_long_elements_take_no_stack(spark):
+    body = "<b>x </section" * 100_000
+    assert values(spark, f'<section role="k">{body}</section >y</section>', lambda h: element(h, "section", role="k")) == body
+
+
 def test_items_end_at_their_own_closing_tag(spark):
     start = '<li class="search__item issue-item-container">'
     html = f"<ul>{start}a<ul><li>b</li></ul></li>\n{start}c</li></ul>footer<li>d</li>"

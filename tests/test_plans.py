@@ -4,7 +4,7 @@ import re
 
 import __spark_entry__ as registered
 from bibflow.operators import compare, harmonise, screen, search
-from bibflow.plans.skew import Limits
+from bibflow.plans.skew import Limits, sliced_join
 
 
 def plan(df) -> str:
@@ -42,6 +42,22 @@ def test_long_key_lists_are_shuffled_not_broadcast(spark, sf_dir):
     assert re.search(r"hashpartitioning\(_key#\d+, _slice#\d+", text)
 
 
+def test_details_move_once_where_no_key_is_hot(spark):
+    items = spark.range(40).selectExpr("id", "IF(id % 4 = 0, NULL, CAST(id AS STRING)) AS url")
+    details = spark.range(80).selectExpr("id AS place", "IF(id > 70, NULL, CAST(id % 35 AS STRING)) AS url", "CAST(id AS STRING) AS text")
+    df = compare.attach_detail(items, details, order="place")
+    rows = {r["id"]: r["text"] for r in df.collect()}
+    assert rows == {i: None if i % 4 == 0 or i >= 35 else str(i) for i in range(40)}
+    assert plan(df).split("== Initial Plan ==")[0].count("hashpartitioning") == 2
+
+
+def test_rows_without_a_key_match_no_key(spark):
+    left = spark.createDataFrame([(None, 1), ("a", 2), (None, 3)], "_key STRING, v INT").repartition(1)
+    right = spark.createDataFrame([("-0", 1), ("a", 2), ("-", 3)], "_key STRING, w INT")
+    assert sorted(sliced_join(left, right, "left").collect(), key=lambda r: r["v"]) == [(None, 1, None), ("a", 2, 2), (None, 3, None)]
+    assert sliced_join(left, right, "left_semi").collect() == [("a", 2)]
+
+
 def test_caps_and_searches_do_not_move_wide_rows(spark, sf_dir):
     docs = registered.documents(spark, sf_dir)
     capped = plan(harmonise.cap_per_source(docs, 3, ["source"], ["doc_id"]))

@@ -1,12 +1,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from bibflow import sinks
+from bibflow import runtime, sinks
 from bibflow.functions import text
 from bibflow.operators.harmonise import conform
 from bibflow.operators.render import render_queries
 from bibflow.plans.runs import build_run
 from bibflow.schema import ARTICLE_COLUMNS, IEEE_DROPS, IEEE_RENAMES, Params
+from bibflow.sources import delimited
 from bibflow.sources.delimited import read_delimited, read_exports, read_folder, read_ieee, read_table
 from bibflow.sources.listing import read_items, read_listing, reported_hits
 from bibflow.plans.skew import Limits
@@ -193,6 +194,43 @@ def test_exports_with_too_many_columns(spark, tmp_path):
         read_exports(spark, str(tmp_path / "none"))
 
 
+def test_exports_are_read_with_as_many_columns_as_they_have(spark, tmp_path, monkeypatch):
+    """The first header says how many columns are read; a wider file, or a row that may be, has all read with the most there may be."""
+    plans = []
+    def written(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return runtime.materialise(df, label)
+    monkeypatch.setattr(delimited, "materialise", written)
+    (tmp_path / "a.csv").write_text("doi;year\n" + '"a; ""b""\n;;;;;;;;;;;;";2014\n' * 50)
+    assert read_exports(spark, str(tmp_path)).count() == 50
+    assert not any("_c10" in p for p in plans) and sum("_c9" in p for p in plans) == 1
+    wide = [f"n{i}" for i in range(30)]
+    (tmp_path / "b.csv").write_text(";".join(["doi", *wide]) + "\n" + ";".join(["b", *wide]) + "\n")
+    rows = read_exports(spark, str(tmp_path)).where("doi = 'b'").collect()
+    assert [r.asDict()[n] for r in rows for n in wide] == wide
+
+
+@pytest.mark.parametrize("row", [";" * 10, ";" * 11, "1;2" + ";" * 8, "1;2" + ";" * 20, 'a"b;c"d' + ";" * 9, 'a"b;c;d"' + ";" * 8 + "e"])
+def test_rows_wider_than_what_is_read(spark, tmp_path, row):
+    (tmp_path / "a.csv").write_text(f"doi;year\n{row}\n")
+    with pytest.raises(Exception, match="malformed record"):
+        read_exports(spark, str(tmp_path)).collect()
+
+
+def test_landed_exports_are_small_files(spark):
+    docs = spark.range(0, 100_000, 1, 4).selectExpr("id AS doc_id", "'en' AS lang", "'s' AS source", "'t' AS text", "1 AS n_chars")
+    lines = spark.read.text(landed_files.ieee_exports(docs)).groupBy(F.input_file_name()).count().agg(F.max("count"), F.sum("count"), F.count("*"))
+    assert lines.first()[0] <= 10_001 and lines.first()[1] == 100_000 + lines.first()[2]
+
+
+def test_landed_pages_are_not_merged_into_few_tasks(spark):
+    docs = spark.range(0, 1_000, 1, 4).selectExpr("id AS doc_id", "'en' AS lang", "'s' AS source", "'t' AS text", "1 AS n_chars")
+    for pages in (landed_files.listing_pages(docs)[0], landed_files.nested_pages(docs)):
+        assert pages.count() == 50
+        parts = pages.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert parts > spark.sparkContext.defaultParallelism
+
+
 # PubMed
 
 ARTICLES = """<?xml version="1.0"?>
