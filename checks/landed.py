@@ -187,19 +187,18 @@ _ITEM = """<li class="search__item issue-item-container"><div class="issue-item_
 <span class="citation"><i></i> <span>{cites}</span></span></div></li>"""
 
 
-def _by_page(rows: DataFrame) -> DataFrame:
-    """Rows dealt out by ``page_id`` for grouping, in a fixed number of partitions.
+def _by_page(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` dealt out by ``page_id`` for grouping, about 10,000 to a partition, with four partitions for each core at least.
 
     Pages are small and costly to parse; Spark merges the partitions of a plain grouping by their bytes into a few.
     """
-    spark = rows.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return rows.repartition(parts, "page_id")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(4 * cores, docs.count() // 10_000), "page_id")
 
 
 def listing_pages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Result pages of 20 items, and detail pages for all but the French documents."""
-    docs = spread_small(docs, "doc_id")
+    table, docs = docs, spread_small(docs, "doc_id")
     item = filled(
         _ITEM,
         id=F.col("doc_id"), lang=F.col("lang"), source=F.col("source"), doi=doi(), cites=F.col("n_chars"),
@@ -210,7 +209,7 @@ def listing_pages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         ).otherwise(""),
     )
     pages = (
-        _by_page(docs.withColumn("page_id", F.floor(F.col("doc_id") / 20).cast("bigint")))
+        _by_page(docs.withColumn("page_id", F.floor(F.col("doc_id") / 20).cast("bigint")), table)
         .groupBy("page_id")
         .agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))).alias("items"))
         .select(
@@ -250,7 +249,7 @@ def nested_pages(docs: DataFrame) -> DataFrame:
         F.concat(F.lit('<span class="citation"><span><span>'), F.col("n_chars").cast("string"), F.lit("</span></span></span>")))
     item = filled(_NESTED_ITEM, id=F.col("doc_id"), lang=F.col("lang"), source=F.col("source"), year=year(), cites=cites)
     items = spread_small(docs, "doc_id").select(F.floor(F.col("doc_id") / 20).cast("bigint").alias("page_id"), "doc_id", item.alias("item"))
-    return _by_page(items).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "item"))).alias("items")).select(
+    return _by_page(items, docs).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "item"))).alias("items")).select(
         "page_id",
         F.concat(F.lit("<ul>"), F.array_join(F.transform("items", lambda i: i["item"]), "\n"),
                  F.lit('</ul><div><span class="citation">all of them</span></div>')).alias("html"),
